@@ -1,10 +1,74 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Language ID drops documents without a language, exact and SimHash deduplication leave one document of
+each group, substring deduplication cuts passages that an earlier document has, and packing lays what
+is left into sequences.  A null text has no language and goes in the first stage; repeated rows go in
+the second; an empty table stays empty; other columns pass through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glasshouse.llm.common import ascii_lower, written
+from glasshouse.llm.exact_dedup import exact_groups
+from glasshouse.llm.langid import keep_identified, train
+from glasshouse.llm.packing import pack
+from glasshouse.llm.simhash import near_groups
+from glasshouse.llm.substring_dedup import dedup_passages
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language, by a model fitted on a bounded sample of the labelled ones."""
+    return keep_identified(spark, docs, train(spark, docs))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id; of rows that repeat it, one."""
+    kept = exact_groups(spark, docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("digest").alias("_digest")).distinct()
+    rows = docs.withColumn("_digest", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)).join(
+        kept.withColumnRenamed("_digest", "_of"), (F.col("_digest") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi"
+    )
+    one = F.row_number().over(Window.partitionBy("_digest", "doc_id").orderBy(F.xxhash64("doc_id")))
+    return rows.withColumn("_one", one).where("_one = 1").select(*docs.columns)
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id; rows without a doc_id stay."""
+    gone = near_groups(spark, docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has; n_chars follows the text."""
+    left = dedup_passages(spark, docs, rewrite=True)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    import public_tokenizers
+
+    return pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("simhash", simhash),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
+
+#: Language ID and SimHash components are beyond SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

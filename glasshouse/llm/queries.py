@@ -17,6 +17,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glasshouse.llm.substring_dedup import dedup_passages
+
+    return dedup_passages(spark, _read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glasshouse.llm.exact_dedup import exact_groups
 
@@ -24,9 +30,26 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glasshouse.llm.langid import identify, train
+
+    docs = _read(spark, sf_dir, "documents")
+    return identify(spark, docs, train(spark, docs))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from glasshouse.llm.packing import pack
+
+    return pack(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_packing": op9_packing,
 }
 
 ORACLES = {
