@@ -44,12 +44,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from glasshouse.llm.bpe import digests
+
+    return digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op9_packing": op9_packing,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
