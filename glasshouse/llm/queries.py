@@ -29,6 +29,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(spark, _read(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in directories by source and identifier; statements may stand in any line."""
+    from glasshouse.llm.license_scan import document_files, scan
+
+    found = scan(spark, document_files(_read(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "path", F.col("own").alias("own_license"), F.round("score", 6).alias("score"), "line", "license", "inherited_from", "distance")
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glasshouse.llm.html_extract import main_text
+
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glasshouse.llm.exact_dedup import exact_groups
 
@@ -67,6 +81,8 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_html_extract": op5_html_extract,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_id": op7_language_id,
     "op8_suffix_dedup": op8_suffix_dedup,
