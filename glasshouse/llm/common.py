@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on.
 STEP_BYTES = 4 << 20
 #: Bytes of text in one block of documents that is exchanged and read again as a unit.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: White space of the word pattern [^\x20\x09-\x0D]+.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

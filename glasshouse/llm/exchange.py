@@ -22,16 +22,20 @@ from pyspark.sql.types import StructType
 from glasshouse.llm.common import BLOCK_BYTES, LANES, mix, partitions, text_bytes
 
 QUESTIONS = "phase int, shard int, block int, entries binary"
+#: Bytes of text for each shard of the key space, and the least for a block or shard of a small input.
+SHARD_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
 ANSWERS = "phase int, shard int, block int, bits binary"
 
 
 def blocked(spark: SparkSession, docs: DataFrame, carry: bool = False) -> tuple[DataFrame, int, int]:
     """(doc_id, text, block), with the other columns as a struct `carry` if asked for; the bytes of text; the number of shards."""
     total = text_bytes(docs)
-    count = max(2 * partitions(spark), total // BLOCK_BYTES + 1)
+    # blocks and shards follow the bytes; small inputs are spread over the partitions, but no thinner than LEAST_BYTES
+    count = int(max(total // BLOCK_BYTES + 1, min(2 * partitions(spark), total // LEAST_BYTES + 1)))
+    shards = int(max(total // SHARD_BYTES + 1, min(partitions(spark), total // LEAST_BYTES + 1)))
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("carry")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    return rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(count)).cast("int")), total, max(partitions(spark), total // (64 << 20) + 1)
+    return rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(count)).cast("int")), total, shards
 
 
 def pack_sorted(keys: np.ndarray, many: np.ndarray) -> bytes:
