@@ -203,7 +203,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SIZE, end:
     keys, sequences, offsets = slots(plan(histogram), size)
     shared = spark.sparkContext.broadcast((keys, sequences, offsets))  # bounded by the number of patterns for `size`
 
-    salt = max(64, 4 * partitions(spark))
+    salt = max(16, partitions(spark))
     rows = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salt)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ahead = rows.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")).select("length", "chunk", before.alias("ahead"))
