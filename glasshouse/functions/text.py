@@ -22,7 +22,7 @@ def replace_all(col: Column, *pairs: tuple[str, str]) -> Column:
 
 def clean(col: Column) -> Column:
     """Control characters and white space of any length to one space, trimmed."""
-    return F.trim(replace_all(col, (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), (r"[\s ]+", " ")))
+    return F.trim(replace_all(col, (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), (r"[\s\u00a0]+", " ")))
 
 
 def without_accents(col: Column) -> Column:
@@ -31,7 +31,7 @@ def without_accents(col: Column) -> Column:
 
 def normalise(col: Column) -> Column:
     """Without accents, white space collapsed, lower case; punctuation stays."""
-    return F.lower(F.trim(F.regexp_replace(without_accents(col), r"[\s ]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(without_accents(col), r"[\s\u00a0]+", " ")))
 
 
 def normalise_words(col: Column) -> Column:
@@ -74,7 +74,7 @@ def sentences(block: Column) -> Column:
         (rf"\s+(?=\d+(?:{_MARK}\d+)*[).]\s+[{_UPPER}])", "\n"),
         (r"\s+(?=\((?:[ivxlcdm]{1,5}|[a-z])\)\s)", "\n"),
     )
-    return F.filter(F.transform(F.split(F.replace(marked, F.lit(_MARK), F.lit(".")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.replace(marked, F.lit(_MARK), F.lit(".")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def segments(pages: DataFrame, key: str, html: str) -> DataFrame:

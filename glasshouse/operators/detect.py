@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from glasshouse.functions import lexicon as L
 from glasshouse.functions.html import anchors_of, banner_elements, visible_of
@@ -51,7 +52,7 @@ def robots_allows(status: Column, permitted: Column) -> Column:
 
 def cookies(header: Column) -> Column:
     """A Set-Cookie header as name, value and attributes."""
-    parts = F.transform(F.split(header, ";"), F.trim)
+    parts = F.transform(F.split(header, ";"), lambda x: F.trim(x))
     pair = F.element_at(parts, 1)
     rest = F.slice(parts, 2, 100)
 
@@ -209,7 +210,7 @@ def channel_features(page: str, url: str, categories: set[str], pdf: str = "", w
     }
 
 
-@F.pandas_udf("F1 int, F2 int, F3 int, F4 int, F5 int, F6 int, F7 int, F8 int")
+@F.pandas_udf(StructType([StructField(f"F{i}", IntegerType()) for i in range(1, 9)]))
 def channel_features_udf(page: pd.Series, url: pd.Series, categories: pd.Series, pdf: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([channel_features(p or "", u or "", set(c if c is not None else []), t or "") for p, u, c, t in zip(page, url, categories, pdf, strict=True)], columns=[f"F{i}" for i in range(1, 9)])
 
@@ -246,7 +247,7 @@ def banner_verdict(page: str, consent: bool = False, containers: list[str] = L.B
     return False, 0.95, "none"
 
 
-@F.pandas_udf("present boolean, confidence double, method string")
+@F.pandas_udf(StructType([StructField("present", BooleanType()), StructField("confidence", DoubleType()), StructField("method", StringType())]))
 def banner(page: pd.Series, consent: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([banner_verdict(p or "", bool(c)) for p, c in zip(page, consent, strict=True)], columns=["present", "confidence", "method"])
 

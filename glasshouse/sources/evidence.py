@@ -90,7 +90,7 @@ def package_sections(packages: DataFrame, text: str = "text") -> DataFrame:
     rows = packages.select(*[c for c in packages.columns if c != text], F.posexplode(parts).alias("seq", "part"))
     return rows.select(
         *[c for c in rows.columns if c != "part"], F.regexp_extract("part", r"^\[(SUBPAGINA|POLITICA EM PDF)", 1).alias("kind"),
-        F.trim(F.regexp_extract("part", r"^\[(?:SUBPAGINA|POLITICA EM PDF)([^\]]*)\]", 1)).alias("name"), F.trim(F.regexp_replace("part", r"^\[[^\]]*\][^\n]*\n?", "")).alias("body"),
+        F.trim(F.regexp_extract("part", r"^\[(?:SUBPAGINA|POLITICA EM PDF)([^\]]*)\]", 1)).alias("name"), F.regexp_replace(F.regexp_replace("part", r"^\[[^\]]*\][^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"),
     )
 
 
