@@ -117,10 +117,12 @@ def terms(text: Column, most: int = 3) -> Column:
     """Tokens of two or more word characters and their n-grams, shorter ones first, with repetition."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), 0)
 
-    def grams(n: int) -> Column:
-        return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def grams(words: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[grams(n) for n in range(1, most + 1)])
+    # bound to a lambda's variable, the tokens are found once and not again for every n-gram
+    return F.transform(F.array(tokens), lambda words: F.concat(words, *[grams(words, n) for n in range(2, most + 1)]))[0]
 
 
 def mask_email(col: Column) -> Column:
