@@ -62,7 +62,7 @@ class Protocol:
         """The protocol's text with the list's digest in its source."""
         import yaml
 
-        for s in self.data.get("sources", [self.data.get("source") or {}]):
+        for s in self.data.get("sources") or [self.data.setdefault("source", {"name": "csv"})]:
             s.setdefault("params", {})["sha256"] = digest
         return yaml.safe_dump(self.data, allow_unicode=True, sort_keys=False)
 
