@@ -68,7 +68,11 @@ class Scorer:
                     break
                 self.heavy.add(t)
                 rest -= w * w
-        self.first = {t.split(" ")[0] for t in self.heavy}
+        # the words of each heavy term, the rarest first: a text without them cannot hold the term
+        self.needs = sorted({tuple(sorted(set(t.split(" ")), key=lambda w: (frequency.get(w, 0), w))) for t in self.heavy})
+
+    def may(self, low: str) -> bool:
+        return any(all(w in low for w in n) for n in self.needs)
 
     def unit(self, count: Counter) -> dict[str, float]:
         v = {t: n * self.idf.get(t, self.unseen) for t, n in count.items()}
@@ -81,12 +85,11 @@ class Scorer:
 
     def best(self, text: str) -> tuple[str, float, int] | None:
         """Licence, score and line of the best line that reaches the threshold."""
-        low = text.lower()
-        if not any(w in low for w in self.first):
+        if not self.may(text.lower()):
             return None
         found = None
         for i, line in enumerate(text.split("\n")):
-            if not self.heavy.isdisjoint(terms(line)):
+            if self.may(line.lower()) and not self.heavy.isdisjoint(terms(line)):
                 score, k = self.line(line)
                 if score >= self.threshold and (found is None or (round(score, 9), k) > (found[0], found[1])):
                     found = round(score, 9), k, i
