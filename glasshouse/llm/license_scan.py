@@ -1,7 +1,7 @@
 """Licence scan: sparse TF-IDF cosine of lines to licence statements, then inheritance from the nearest ancestor directory.
 
 Files are (path, text).  Inverse document frequencies of the templates' terms are counted over all files; a term of a
-file that no template has counts as one seen in no file.  A line is compared only if it has one of a template's heavy terms: the rest
+file that no template has counts as one seen in no file.  A line is compared only if it has one of a few rare terms of a template: the rest
 of the template's terms together are lighter than the threshold, so no line that reaches it is missed.
 The best line of a file is its header licence (ties: the earlier template, then the earlier line).  A directory's licence is
 that of its licence file if it has one (LICENSE, COPYING and the like), else of its best-scored file (ties: the smallest path).  A file
@@ -63,7 +63,7 @@ class Scorer:
         self.heavy: set[str] = set()
         for v in self.vectors:
             rest = 1.0
-            for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
+            for t, w in sorted(v.items(), key=lambda x: (frequency.get(x[0], 0), -x[1], x[0])):  # any set whose rest is light enough will do: the rarest
                 if rest < (0.99 * threshold) ** 2:
                     break
                 self.heavy.add(t)
@@ -71,9 +71,6 @@ class Scorer:
         # the words of each heavy term, the rarest first: a text without them cannot hold the term
         self.needs = sorted({tuple(sorted(set(t.split(" ")), key=lambda w: (frequency.get(w, 0), w))) for t in self.heavy})
 
-    def may(self, low: str) -> bool:
-        return any(all(w in low for w in n) for n in self.needs)
-
     def unit(self, count: Counter) -> dict[str, float]:
         v = {t: n * self.idf.get(t, self.unseen) for t, n in count.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
@@ -85,11 +82,14 @@ class Scorer:
 
     def best(self, text: str) -> tuple[str, float, int] | None:
         """Licence, score and line of the best line that reaches the threshold."""
-        if not self.may(text.lower()):
+        words = set(_TERM.findall(text.lower()))
+        needs = [n for n in self.needs if words.issuperset(n)]
+        if not needs:
             return None
         found = None
         for i, line in enumerate(text.split("\n")):
-            if self.may(line.lower()) and not self.heavy.isdisjoint(terms(line)):
+            low = line.lower()
+            if any(all(w in low for w in n) for n in needs) and not self.heavy.isdisjoint(terms(line)):
                 score, k = self.line(line)
                 if score >= self.threshold and (found is None or (round(score, 9), k) > (found[0], found[1])):
                     found = round(score, 9), k, i
