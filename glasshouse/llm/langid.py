@@ -219,12 +219,11 @@ def held_out(id_col: str = "doc_id"):
 
 def train(spark: SparkSession, docs: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Fits on at most `per_label` documents of each label that are not held out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    sample = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).select("lang", "place", "text").orderBy("lang", "place").collect()
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # identifiers first, without the texts: each task keeps at most per_label of a label before anything is shuffled
+    chosen = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_label).select("doc_id", "lang").distinct()
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").isNotNull()).orderBy("lang", "doc_id", F.xxhash64("text")).collect()  # per_label rows a label
     return fit([r.text for r in sample], [r.lang for r in sample])
 
 

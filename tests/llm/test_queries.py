@@ -1,0 +1,25 @@
+"""The opN queries against their SQL, and the rows that each must return."""
+
+import duckdb
+import pytest
+
+pytest.importorskip("public_tokenizers")
+from glasshouse.llm.queries import ORACLES, QUERIES  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted(tuple(r[c] for c in cols) for r in df.select(cols).collect()) if name in ORACLES else df.collect()
+    table, key = ("pages", "page_id") if name.startswith("op5") else ("documents", "doc_id")
+    ids = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()}
+    assert {r[key] for r in df.select(key).collect()} == ids
+    if name in ORACLES:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        res = con.execute(ORACLES[name])
+        names = [d[0] for d in res.description]
+        assert got == sorted(tuple(r[names.index(c)] for c in cols) for r in res.fetchall())
