@@ -128,9 +128,3 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple
         out.append(mix(np.add.reduceat(values[taken] * powers[within], begin)))
     return out[0], out[1]
 
-
-def digest_runs(texts: pa.LargeStringArray) -> Iterator[bytes]:
-    raw, offsets = buffers(texts)
-    data = raw.tobytes()
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        yield data[a:b]
