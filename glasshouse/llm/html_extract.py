@@ -46,6 +46,10 @@ FURNITURE_WORDS = set(
     " login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies"
     " respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert cta".split()
 )
+# Words that only say how a page is laid out, and words of content containers.
+MODIFIERS = set("has with no without is js".split())
+LAYOUT = set("layout page wrapper grid".split())
+CONTENT_WORDS = set("content article post story entry text main body".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=\d)")
@@ -77,11 +81,14 @@ def _marks(tag: str, attributes: str, inside_content: bool) -> tuple[str, bool]:
             hidden |= value in ("", "true", "hidden")
         elif name.lower() != "itemprop":
             words += value.split()
-    found = set()
-    for w in words:
-        found.update(_SPLIT.split(w))
     label = tag + "".join("." + re.sub(r"\d+", "0", w) for w in words[:3])
-    bad = bool(found & FURNITURE_WORDS) and tag not in ("html", "body", "article", "main") or tag in ("article",) and bool(found & {"comment", "ad", "advert", "promo", "related", "sponsored"})
+    parts = [p for w in words if (p := [x for x in _SPLIT.split(w) if x])]
+    marked = [p for p in parts if p[0] not in MODIFIERS and p[-1] not in LAYOUT and FURNITURE_WORDS.intersection(p)]
+    # a container of content stays if furniture is only named in passing: class="content sidebar-left"
+    if marked and any(p[-1] in CONTENT_WORDS and p not in marked for p in parts):
+        marked = [p for p in marked if p[-1] in FURNITURE_WORDS]
+    found = {x for p in marked for x in p}
+    bad = bool(found) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(found & {"comment", "ad", "advert", "promo", "related", "sponsored"})
     return label, hidden or bad or tag in FURNITURE or tag == "header" and not inside_content
 
 
