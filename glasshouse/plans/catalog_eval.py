@@ -223,6 +223,27 @@ def i2(spark, sf):
     return G.minus_used(first, [table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")], "c_custkey").select("o_orderkey")
 
 
+@query("i3_live_sample", "SELECT c_custkey FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')) WHERE n <= 25")
+def i3(spark, sf):
+    used = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    left = G.minus_used(table(spark, sf, "customer").where("c_mktsegment != 'BUILDING'"), [used], "c_custkey")
+    return left.orderBy(F.desc("c_acctbal"), "c_custkey").limit(25).select("c_custkey")
+
+
+@query("i14_length_baseline", f"WITH {_PRED}, t AS (SELECT unnest([200, 600, 1200, 2400]) AS cut), c AS (SELECT cut, CAST(count(*) FILTER (WHERE n > cut AND actual) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE n > cut AND NOT actual) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE n <= cut AND actual) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE n <= cut AND NOT actual) AS DOUBLE) AS tn FROM (SELECT p.*, d.n_chars AS n FROM pred p JOIN documents d USING (doc_id)), t GROUP BY cut) SELECT cut, round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END, 6) AS mcc FROM c")
+def i14(spark, sf):
+    rows = _pred(spark, sf).select("doc_id", "actual").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    long = rows.withColumn("cut", F.explode(F.array(*[F.lit(c) for c in (200, 600, 1200, 2400)])))
+    marked = long.select("cut", F.when(F.col("n_chars") > F.col("cut"), "true").otherwise("false").alias("predicted"), "actual")
+    return E.balanced(E.confusion(marked, by=["cut"])).select("cut", F.round("mcc", 6).alias("mcc"))
+
+
+@query("m5_model_by_name", "SELECT doc_id, round(1 / (1 + exp(-(-0.5 + 1.25 * (doc_id % 2) - 0.75 * (doc_id % 3)))), 9) AS p FROM documents")
+def m5(spark, sf):
+    p = S.channel_probability({"b": F.col("doc_id") % 3, "a": F.col("doc_id") % 2}, {"intercept": -0.5, "a": 1.25, "b": -0.75})
+    return table(spark, sf, "documents").select("doc_id", F.round(p, 9).alias("p"))
+
+
 @query("i4_quota_sample", None)
 def i4(spark, sf):
     rows = _pred(spark, sf).select("doc_id", (F.col("toxic") == 1).alias("is_toxic"), (F.col("quality") == 1).alias("is_good"), (F.col("lang") == "es").alias("is_es"))

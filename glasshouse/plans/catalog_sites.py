@@ -324,6 +324,27 @@ def l6(spark, sf):
     return K.capped(K.first_of(ok, ["page_id", "url"], "seq"), ["page_id"], "seq", 2).select("page_id", "url")
 
 
+_PDFS = f"{_LINKS}, sel AS (SELECT page_id, seq AS pos, 'https://s/' || page_id || '/' || (seq % 3) || '.pdf' AS u FROM l WHERE seq % 2 = 0), s1 AS (SELECT page_id, u, min(pos) AS pos FROM sel GROUP BY ALL)"
+
+
+def _selection(spark, sf) -> DataFrame:
+    rows = K.link_rows(_pages(spark, sf)).where("seq % 2 = 0")
+    url = F.concat(F.lit("https://s/"), F.col("page_id").cast("string"), F.lit("/"), (F.col("seq") % 3).cast("string"), F.lit(".pdf"))
+    return rows.select("page_id", F.lit("politica_privacidade").alias("category"), F.col("seq").alias("pos"), url.alias("url"))
+
+
+@query("l5_pdf_selection", f"WITH {_PDFS} SELECT page_id, u AS url, CAST(pos AS INTEGER) AS pos FROM s1")
+def l5(spark, sf):
+    return K.pdf_from_selection(_selection(spark, sf)).select("page_id", "url", "pos")
+
+
+@query("l8_pdf_union", f"WITH {_PDFS}, f AS (SELECT page_id, 'https://s/' || page_id || '/' || (seq % 4) || '.pdf' AS u, min(seq) AS seq FROM l GROUP BY 1, 2), b AS (SELECT page_id, u, 0 AS part, pos AS seq FROM s1 UNION ALL SELECT page_id, u, 1, seq FROM f), d AS (SELECT *, row_number() OVER (PARTITION BY page_id, u ORDER BY part, seq) AS n FROM b), o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY part, seq) AS k FROM d WHERE n = 1) SELECT page_id, u AS url FROM o WHERE k <= 3")
+def l8(spark, sf):
+    url = F.concat(F.lit("https://s/"), F.col("page_id").cast("string"), F.lit("/"), (F.col("seq") % 4).cast("string"), F.lit(".pdf"))
+    found = K.first_of(K.link_rows(_pages(spark, sf)).select("page_id", "seq", url.alias("url")), ["page_id", "url"], "seq")
+    return K.pdf_union(K.pdf_from_selection(_selection(spark, sf)), found, 3).select("page_id", "url")
+
+
 @query("l7_clean_href", "SELECT page_id, '/a/b/' || page_id AS href FROM pages")
 def l7(spark, sf):
     bad = F.concat(F.lit("///a\\b\\\\"), F.col("page_id").cast("string"))
@@ -512,6 +533,24 @@ def o5(spark, sf):
     return R.nested_rows(_rendered(spark, sf)).select("dominio", F.size(F.map_keys(F.from_json("json", "map<string, string>"))).cast("long").alias("n"))
 
 
+@query("o4_typed_parquet", f"WITH {_LATEST} SELECT run_id, variable_name, count(*) AS n, round(avg(event_id % 7), 6) AS mean_flagged FROM latest GROUP BY ALL")
+def o4(spark, sf):
+    typed = R.typed_rows(_latest(spark, sf).withColumn("computed_at", F.col("computed_at.ts")))
+    return typed.groupBy("run_id", "variable_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_sentencas_sinalizadas"), 6).alias("mean_flagged"))
+
+
+@query("w6_root_cause", "SELECT user_id AS site, coalesce(arg_min(event_type, event_id) FILTER (WHERE event_type <> 'view'), arg_min(event_type, event_id)) AS motivo FROM events GROUP BY user_id")
+def w6(spark, sf):
+    first = F.min(F.struct((F.col("event_type") == "view").alias("later"), "event_id", "event_type"))
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("site")).agg(first.alias("m")).select("site", F.col("m.event_type").alias("motivo"))
+
+
+@query("v18_collision_guard", "SELECT variable_name || suffix AS written, count(*) AS n FROM (SELECT event_type AS variable_name, CASE WHEN event_id % 2 = 0 THEN '_b' ELSE '' END AS suffix FROM events WHERE event_id < 40) GROUP BY 1 HAVING count(*) > 1")
+def v18(spark, sf):
+    rows = table(spark, sf, "events").where("event_id < 40").select(F.concat("event_type", F.when(F.col("event_id") % 2 == 0, "_b").otherwise("")).alias("written"))
+    return rows.groupBy("written").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 @query("o8_label_template", "SELECT 'd' || doc_id AS domain_url, '' AS quality, '' AS toxic, '' AS notes FROM labels")
 def o8(spark, sf):
     return R.label_template(table(spark, sf, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("domain_url")), ["quality", "toxic"])
