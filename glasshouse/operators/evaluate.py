@@ -54,10 +54,25 @@ def triage_metrics(c: DataFrame) -> DataFrame:
     return c.select("*", F.try_divide(F.col("tp") + F.col("fp"), n).alias("flag_rate"), F.try_divide("tn", F.col("tn") + F.col("fn")).alias("absence_precision"), F.try_divide(F.col("tp") + F.col("fp"), "tp").alias("nnr"))
 
 
+def global_rank(rows: DataFrame, score: str, key: str, counted: str, buckets: int = 64) -> DataFrame:
+    """Adds n, the place by descending score and then key, and hits, the running count of `counted`.
+
+    Places are taken within buckets of scores and moved by the sizes of the buckets before, so no task sorts all rows."""
+    cuts = sorted(set(rows.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.005)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col(score))) if cuts else F.lit(0)  # the first holds the highest scores
+    part = rows.withColumn("_bucket", bucket)
+    w = Window.partitionBy("_bucket").orderBy(F.desc(score), key)
+    placed = part.withColumn("n", F.row_number().over(w)).withColumn("hits", F.sum(F.col(counted).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = part.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(counted).cast("int")).alias("_h"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over `buckets` rows
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_h"))
+    moved = placed.join(F.broadcast(offsets), "_bucket")  # `buckets` rows at most
+    return moved.withColumn("n", F.col("n") + F.col("_n")).withColumn("hits", F.col("hits") + F.col("_h")).drop("_bucket", "_n", "_h")
+
+
 def average_precision(rows: DataFrame, score: str, actual: str, key: str) -> DataFrame:
-    """By rank; ties by the key.  The rank is global by definition; it is taken over (score, key, label) only."""
-    w = Window.orderBy(F.desc(score), key)
-    ranked = rows.select(score, actual, key).withColumn("n", F.row_number().over(w)).withColumn("hits", F.sum(F.col(actual).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """By rank; ties by the key."""
+    ranked = global_rank(rows.select(score, actual, key), score, key, actual)
     return ranked.where(F.col(actual)).agg((F.sum(F.col("hits") / F.col("n")) / F.count(F.lit(1))).alias("average_precision"))
 
 
