@@ -228,9 +228,9 @@ def r3(spark, sf):
     return V.verified_only(manifest, files).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r5_slug", "SELECT doc_id, substring(regexp_replace(regexp_replace(lower(substring(text, 1, 60)), '[^a-z0-9._-]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g'), 1, 20) AS slug FROM documents")
+@query("r5_slug", "SELECT page_id, substring(regexp_replace(regexp_replace(lower(url), '[^a-z0-9._-]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g'), 1, 80) AS slug FROM pages")
 def r5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", V.slug(F.substring("text", 1, 60), 20).alias("slug"))
+    return _pages(spark, sf).select("page_id", V.slug(F.col("url")).alias("slug"))
 
 
 @query("r7_upsert_last_wins", f"WITH {_LATEST} SELECT run_id, domain_url, variable_name, value, event_id FROM latest")
@@ -520,12 +520,13 @@ def o1(spark, sf):
     return long.select("run_id", F.col("domain_url").cast("long").alias("event_id"), F.col("n_sentencas_sinalizadas").cast("string").alias("flagged"), F.col("densidade_sinalizacao").alias("density"))
 
 
-@query("o3_evidence_sentences", "SELECT doc_id, 1 AS posicao, substring(text, 1, 20) AS texto FROM documents WHERE doc_id % 3 = 0")
+@query("o3_evidence_sentences", "SELECT doc_id, 1 AS posicao, md5(text) AS digest FROM documents WHERE n_chars > 1000")
 def o3(spark, sf):
+    """Texts above a threshold are the flagged ones; the audit trail of the others has none."""
     d = table(spark, sf, "documents")
-    audit = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("posicao"), F.lit(0.5).alias("escore"), F.substring("text", 1, 20).alias("texto"))).alias("sentencas"))))
+    audit = F.when(F.col("n_chars") > 1000, F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("posicao"), F.lit(0.5).alias("escore"), F.col("text").alias("texto"))).alias("sentencas"))))
     rows = d.select(F.col("doc_id").cast("string").alias("domain_url"), F.lit("v").alias("variable_name"), F.lit("r").alias("run_id"), audit.alias("audit_trail_json"))
-    return R.evidence_rows(rows).select(F.col("domain_url").cast("long").alias("doc_id"), "posicao", "texto")
+    return R.evidence_rows(rows).select(F.col("domain_url").cast("long").alias("doc_id"), "posicao", F.md5("texto").alias("digest"))
 
 
 @query("o5_nested_json", f"WITH {_STATES} SELECT 'd' || site || '.com' AS dominio, count(*) AS n FROM resolved GROUP BY site")
@@ -545,9 +546,9 @@ def w6(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("site")).agg(first.alias("m")).select("site", F.col("m.event_type").alias("motivo"))
 
 
-@query("v18_collision_guard", "SELECT variable_name || suffix AS written, count(*) AS n FROM (SELECT event_type AS variable_name, CASE WHEN event_id % 2 = 0 THEN '_b' ELSE '' END AS suffix FROM events WHERE event_id < 40) GROUP BY 1 HAVING count(*) > 1")
+@query("v18_collision_guard", "SELECT event_type || '_' || user_id AS written, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
 def v18(spark, sf):
-    rows = table(spark, sf, "events").where("event_id < 40").select(F.concat("event_type", F.when(F.col("event_id") % 2 == 0, "_b").otherwise("")).alias("written"))
+    rows = table(spark, sf, "events").select(F.concat("event_type", F.lit("_"), F.col("user_id").cast("string")).alias("written"))
     return rows.groupBy("written").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 

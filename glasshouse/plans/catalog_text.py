@@ -182,13 +182,13 @@ _GRAMS = f"""toks AS (SELECT doc_id, {_TOKENS} AS w FROM docs),
     grams AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS term FROM toks)"""
 
 
-def _short(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").where("n_chars < 1500").select("doc_id", "text")
+def _docs(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
-@query("t15_ngrams", f"WITH docs AS (SELECT doc_id, text FROM documents WHERE n_chars < 1500), {_GRAMS} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
+@query("t15_ngrams", f"WITH docs AS (SELECT doc_id, text FROM documents), {_GRAMS} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
 def t15(spark, sf):
-    g = _short(spark, sf).select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    g = _docs(spark, sf).select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
     return g.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("df")).where("df >= 5")
 
 
@@ -283,9 +283,11 @@ def t24(spark, sf):
     return E.divergent_marks(rows, T.normalise_ascii(F.col("text")), "label")
 
 
-@query("t25_licence_citations", "SELECT doc_id, source FROM documents WHERE regexp_matches(text, '(?i)licen[sc]ed (under|by)|public license') AND doc_id % 2 = 0")
+@query("t25_licence_citations", "SELECT d.doc_id, source FROM documents d JOIN labels l USING (doc_id) WHERE regexp_matches(text, '(?i)licen[sc]ed (under|by)|public license') AND quality = 1")
 def t25(spark, sf):
-    return table(spark, sf, "documents").where(F.col("text").rlike("(?i)licen[sc]ed (under|by)|public license") & (F.col("doc_id") % 2 == 0)).select("doc_id", "source")
+    """Citations of a licence among the texts marked positive."""
+    marked = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf, "documents").where(F.col("text").rlike("(?i)licen[sc]ed (under|by)|public license")).join(marked, "doc_id").select("doc_id", "source")
 
 
 @query("t26_foreign_sources", "SELECT source, count(*) FILTER (WHERE lang = 'es') AS n_es, count(*) AS n FROM documents GROUP BY source HAVING count(*) FILTER (WHERE lang = 'es') > 0 AND count(*) FILTER (WHERE lang = 'pt') = 0")
@@ -325,17 +327,17 @@ def t30(spark, sf):
 
 # --- models on text ---
 
-_VOCAB = f"WITH docs AS (SELECT doc_id, text FROM documents WHERE n_chars < 1500), {_GRAMS}, tf AS (SELECT doc_id, term, count(*) AS n FROM grams GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3), n AS (SELECT count(*) AS n FROM docs), vocab AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, n)"
+_VOCAB = f"WITH docs AS (SELECT doc_id, text FROM documents), {_GRAMS}, tf AS (SELECT doc_id, term, count(*) AS n FROM grams GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3), n AS (SELECT count(*) AS n FROM docs), vocab AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, n)"
 
 
 @query("m14_fit_idf", f"{_VOCAB} SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def m14(spark, sf):
-    return S.fit_idf(_short(spark, sf), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
+    return S.fit_idf(_docs(spark, sf), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("m1_tfidf_norms", f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w FROM tf JOIN vocab USING (term)) SELECT doc_id, count(*) AS n_terms, round(sqrt(sum(w * w)), 4) AS norm FROM w GROUP BY doc_id")
 def m1(spark, sf):
-    docs = _short(spark, sf)
+    docs = _docs(spark, sf)
     rows = S.tfidf(docs, ["doc_id"], S.fit_idf(docs, "doc_id"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sqrt(F.sum(F.col("raw") * F.col("raw"))), 4).alias("norm"))
 
@@ -348,14 +350,14 @@ _COEF = "(CAST(length(term) % 7 AS DOUBLE) - 3) / 10"
     f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w, {_COEF} AS c FROM tf JOIN vocab USING (term)), s AS (SELECT doc_id, sum(w * c) / sqrt(sum(w * w)) AS dot FROM w GROUP BY doc_id) SELECT doc_id, round(1 / (1 + exp(-(coalesce(dot, 0) - 0.25))), 6) AS probability FROM docs LEFT JOIN s USING (doc_id)",
 )
 def m2(spark, sf):
-    docs = _short(spark, sf)
+    docs = _docs(spark, sf)
     vocabulary = S.fit_idf(docs, "doc_id").withColumn("coef", ((F.char_length("term") % 7).cast("double") - 3) / 10)
     return S.probabilities(docs, ["doc_id"], vocabulary, -0.25).select("doc_id", F.round("probability", 6).alias("probability"))
 
 
 @query("m3_vocab_coverage", f"{_VOCAB} SELECT doc_id, round(sum(CASE WHEN v.term IS NULL THEN 0 ELSE n END) / sum(n), 6) AS coverage FROM tf LEFT JOIN vocab v USING (term) GROUP BY doc_id")
 def m3(spark, sf):
-    docs = _short(spark, sf)
+    docs = _docs(spark, sf)
     return S.coverage(docs, ["doc_id"], S.fit_idf(docs, "doc_id")).select("doc_id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -363,7 +365,7 @@ def m3(spark, sf):
 def m18(spark, sf):
     from glasshouse.operators.train import coverage_quantiles
 
-    docs = _short(spark, sf)
+    docs = _docs(spark, sf)
     q = coverage_quantiles(S.coverage(docs, ["doc_id"], S.fit_idf(docs, "doc_id")))
     return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
