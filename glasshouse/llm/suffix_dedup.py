@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasshouse.llm.common import LANES, buffers, mix, steps, strings
-from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, merge_sketch, per_block, replies, table
+from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, member, merge_sketch, per_block, replies, table
 
 LENGTH = 200
 SPREAD = 64
@@ -220,23 +220,48 @@ def merge(questions: pa.Table) -> pa.Table:
 
 
 def sampled_splitters(docs: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters for `buckets` from the suffixes of a hash sample of documents (about SAMPLE_BYTES of them, whole texts)."""
+    """Splitters for `buckets` from the suffixes of a hash sample of documents (about SAMPLE_BYTES of them, whole texts).
+
+    Half of them divide all of the sample's suffixes, half the distinct ones at anchors that repeat within the sample:
+    what follows a very frequent passage is rare among all suffixes and common among those that are sent."""
     rate = max(1, total // SAMPLE_BYTES)
+    texts = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0).select(F.col("text").cast("string").alias("text"))
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text"):
+            for c in chunks(strings(b.column("text"))):
+                yield pa.RecordBatch.from_arrays([pa.array(c.fingerprints(c.anchor, c.anchor + CORE)[0].view(np.int64))], names=["core"])
+
+    # bounded by the sample: an anchor for every 32 bytes at most
+    found = texts.mapInArrow(cores, "core long").groupBy("core").count().where("count > 1").select("core").toArrow().column("core").combine_chunks()
+    repeated = np.sort(found.to_numpy(zero_copy_only=False).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
             for c in chunks(strings(b.column("text"))):
-                at, token, one, _ = c.suffixes(np.arange(len(c.begin)))
-                pick = mix(one) % np.uint64(512) == 0
-                yield pa.RecordBatch.from_arrays([pa.array(token[pick].view(np.int64)), pa.array(one[pick].view(np.int64))], names=["token", "one"])
+                again = member(c.fingerprints(c.anchor, c.anchor + CORE)[0], repeated)
+                for sent, runs, one_in in ((False, np.arange(len(c.begin)), 512), (True, np.flatnonzero(again), 16)):
+                    _, token, one, _ = c.suffixes(runs)
+                    pick = mix(one) % np.uint64(one_in) == 0
+                    yield pa.RecordBatch.from_arrays([pa.array(token[pick].view(np.int64)), pa.array(one[pick].view(np.int64)), pa.array(np.full(int(pick.sum()), sent))], names=["token", "one", "sent"])
 
-    rows = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, one long").toArrow()
+    rows = texts.mapInArrow(run, "token long, one long, sent boolean").distinct().toArrow()
     token, one = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64) for c in ("token", "one"))
+    sent = rows.column("sent").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+    half = (buckets - 1) // 2
+    parts = [_quantiles(token[~sent], one[~sent], buckets - 1 - half), _quantiles(token[sent], one[sent], half)]
+    token, one = (np.concatenate([p[i] for p in parts]) for i in range(2))
     order = np.lexsort((one, token))
-    if not len(order):
-        edges = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+    return token[order], one[order]
+
+
+def _quantiles(token: np.ndarray, one: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n records that divide the ordered records evenly; without records, n even places of the token's range."""
+    if not len(token):
+        edges = np.array([(i << 64) // (n + 1) for i in range(1, n + 1)], dtype=np.uint64)
         return edges, np.zeros_like(edges)
-    at = order[np.arange(1, buckets) * len(order) // buckets]
+    order = np.lexsort((one, token))
+    at = order[np.arange(1, n + 1) * len(order) // (n + 1)]
     return token[at], one[at]
 
 
