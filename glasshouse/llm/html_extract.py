@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glasshouse.llm.common import steps, strings
+from glasshouse.llm.common import steps, strings, written
 
 MOST_NODES = 2000
 TEXTS = 32  # texts that a template node remembers (frequent ones survive)
 SALTS = 64
+BROADCAST_BYTES = 32 << 20  # templates are broadcast up to this measured size
 
 # Fixed values of HTML: elements by how they lay out or end.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -482,7 +483,11 @@ def induce(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host("url").alias("host"))
-    templates = induce(rows.select("host", "html"))
+    spark = pages.sparkSession
+    templates = written(spark, induce(rows.select("host", "html")), "templates")
+    size = templates.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")).cast("long"), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:  # else a join on the host, whose hot hosts Spark splits
+        templates = F.broadcast(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}
@@ -497,4 +502,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(extract(page, t))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(templates, "host").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(templates, "host", "inner").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
