@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasshouse.llm.common import steps, strings
+from glasshouse.llm.common import steps, strings, written
 
 THRESHOLD = 0.8
 #: Common licence statements (public, from the licences' own "how to apply" sections).
@@ -136,7 +136,7 @@ def headers(files: DataFrame, templates: list[tuple[str, str]], threshold: float
 
 def scan(spark: SparkSession, files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files(id, path, text) to id, path, own, score, line, license, inherited_from and distance."""
-    own = headers(files, templates, threshold).withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("dir", F.when(F.col("path").contains("/"), F.col("dir")))
+    own = written(spark, headers(files, templates, threshold), "headers").withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).withColumn("dir", F.when(F.col("path").contains("/"), F.col("dir")))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     licensed = own.where("own IS NOT NULL AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct(~name.rlike(_LICENCE_FILE), -F.col("score"), F.col("path"), F.col("own"))).alias("best")).select(F.col("dir").alias("above"), F.col("best.own").alias("given"))
     dirs = own.where("dir IS NOT NULL").select("dir").distinct()
