@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from glasshouse.llm.common import ascii_lower, shared_folder, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "digest string, n long, locator struct<doc_id: long, file: string>"
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
@@ -68,21 +69,20 @@ def stream_state(spark: SparkSession, table: str, schema, files_per_batch: int)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    updates = "digest string, n long, locator struct<doc_id: long, file: string>"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(out)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], updates)
+        return spark.createDataFrame([], STATE)
     # the last update of a digest has the largest count and identifier
-    return spark.read.schema(updates).parquet(f"{out}/*").groupBy("digest").agg(F.max("n").alias("n"), F.max("locator").alias("locator"))
+    return spark.read.schema(STATE).parquet(f"{out}/*").groupBy("digest").agg(F.max("n").alias("n"), F.max("locator").alias("locator"))
 
 
 def exact_groups(spark: SparkSession, docs: DataFrame, files_per_batch: int = 1000, digest=None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest.  The largest doc_id of equal texts stays."""
     rows = written(spark, fingerprints(docs, digest), "fingerprints")
-    state = stream_state(spark, rows.inputFiles()[0].rsplit("/", 1)[0] if rows.inputFiles() else shared_folder(spark, "none"), rows.schema, files_per_batch) if rows.inputFiles() else None
-    if state is None:
-        state = spark.createDataFrame([], "digest string, n long, locator struct<doc_id: long, file: string>")
+    files = rows.inputFiles()
+    # a table of its own, so that the join below deals out a hot digest's rows
+    state = written(spark, stream_state(spark, files[0].rsplit("/", 1)[0], rows.schema, files_per_batch), "digests") if files else spark.createDataFrame([], STATE)
     norm = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     whole = docs.select((digest(norm) if digest else F.sha2(norm, 256)).alias("digest"), norm.alias("norm"))
     differing = (
