@@ -1,17 +1,21 @@
 """Main-text extraction by wrapper induction.
 
 Pages of a host are parsed into trees of blocks and folded, by simple tree matching, into one template tree:
-runs of like siblings become one repeated node, and every node counts the pages and the texts it had.
-Nodes whose text stays the same are template; slots whose text varies are content.  The content
-root is the template node that holds most of the varying, unlinked text outside of page furniture
+runs of like siblings become one repeated node.  Then every page is aligned with its host's template and the texts of each
+template node are counted exactly, a text once for each distinct page body.  Texts that stay the same are template; slots whose
+text varies are content.  The content root is the template node that holds most of the varying, unlinked text outside of page furniture
 (menus, page headers, footers, sidebars, notices, adverts, forms, comments, by element and by words in class, id
-and role).  A page is then aligned with its host's template and gives the slots under the root.
+and role).  A page gives what its nodes have under the roots; nodes that the
+template does not have vary by definition, and a page without text under a root gives all its varying slots.
 
 Templates fold per task, then per host and salt, then per host, so a host with a third of all pages sends one
 small row a task.  A template is bounded: rare nodes go beyond MOST_NODES (they are not constant anyway).
 
+The elements article and main decide one thing: below them a text is constant from 95% of 20 bodies on and linked blocks
+stay, elsewhere it is constant from 60% of 3 bodies on and blocks that are mostly links go.
+
 Nulls: null html is empty text; pages without a url are one host.  A host with one page has nothing to compare, so
-only furniture is dropped.  Pages that are all copies of one page have no constant nodes inside the content root.
+only furniture is dropped; so it is if all its pages are copies of one.
 Repeated rows get equal values.  Empty table: empty result.  Other columns are ignored.
 """
 
@@ -24,15 +28,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasshouse.llm.common import steps, strings, written
 
 MOST_NODES = 2000
-TEXTS = 32  # texts that a template node remembers (frequent ones survive)
 SALTS = 64
 BROADCAST_BYTES = 32 << 20  # templates are broadcast up to this measured size
+CONSTANT = {True: (0.95, 20), False: (0.6, 3)}  # share of the bodies, and least bodies, of a constant text: below article or main, elsewhere
+BODY_WORDS = 8  # texts of so many words make a page's body (all texts if none has them)
 
 # Fixed values of HTML: elements by how they lay out or end.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -179,39 +184,32 @@ def clean(piece: str) -> str:
     return " ".join(entities.unescape(piece).split()) if "&" in piece else " ".join(piece.split())
 
 
-def _digest(piece: str) -> str:
-    return hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
+def _digest(piece: str) -> int:
+    return int.from_bytes(hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
 
 
 # --- templates ---
 
 
 class Template:
-    """A node of a host's template: pages that had it, its texts, and how much of them is inside links."""
+    """A node of a host's template: pages that had it and, once texts are counted, its bodies, constant texts and varying characters."""
 
-    __slots__ = ("label", "furniture", "pages", "texts", "chars", "linked", "children")
+    __slots__ = ("label", "furniture", "pages", "children", "at", "marked", "constant", "varying", "root")
 
     def __init__(self, label: str, furniture: bool):
-        self.label, self.furniture, self.pages, self.chars, self.linked = label, furniture, 0, 0, 0
-        self.texts: dict[str, int] = {}
+        self.label, self.furniture, self.pages = label, furniture, 0
         self.children: list[Template] = []
-
-    def count(self, digest: str, n: int = 1) -> None:
-        if digest in self.texts or len(self.texts) < TEXTS:
-            self.texts[digest] = self.texts.get(digest, 0) + n
-        else:  # all give way by as much as the new one holds (Misra and Gries)
-            least = min(n, min(self.texts.values()))
-            self.texts = {k: v - least for k, v in self.texts.items() if v > least}
-            if n > least:
-                self.texts[digest] = n - least
+        self.at, self.marked, self.root = -1, False, False  # place in the template, below article or main, content root
+        self.constant: set[int] = set()
+        self.varying = 0  # characters of unlinked texts that are not constant
 
     def pack(self) -> list:
-        return [self.label, self.furniture, self.pages, self.texts, self.chars, self.linked, [c.pack() for c in self.children]]
+        return [self.label, self.furniture, self.pages, [c.pack() for c in self.children]]
 
     @classmethod
     def unpack(cls, x: list) -> Template:
         t = cls(x[0], x[1])
-        t.pages, t.texts, t.chars, t.linked, t.children = x[2], x[3], x[4], x[5], [cls.unpack(c) for c in x[6]]
+        t.pages, t.children = x[2], [cls.unpack(c) for c in x[3]]
         return t
 
     def size(self) -> int:
@@ -293,21 +291,9 @@ def own_texts(node: Node) -> list[str]:
     return [t for x in node.items if isinstance(x, str) and (t := clean(x))]
 
 
-def _absorb(t: Template, g: Group) -> None:
-    t.pages += 1
-    seen = set()
-    for m in g.members:
-        for piece in own_texts(m):
-            t.chars += len(piece)
-            seen.add(_digest(piece))
-        t.linked += m.linked
-    for d in sorted(seen):
-        t.count(d)
-
-
 def fold(t: Template, g: Group) -> None:
     """Adds a page's tree to the template."""
-    _absorb(t, g)
+    t.pages += 1
     children = []
     for x, y in match(t.children, g.children):
         if y is None:
@@ -321,9 +307,7 @@ def fold(t: Template, g: Group) -> None:
 
 def join(t: Template, other: Template) -> None:
     """Adds another template of the same host."""
-    t.pages, t.chars, t.linked = t.pages + other.pages, t.chars + other.chars, t.linked + other.linked
-    for d in sorted(other.texts):
-        t.count(d, other.texts[d])
+    t.pages += other.pages
     children = []
     for x, y in match(t.children, other.children):
         if x is not None and y is not None:
@@ -358,35 +342,66 @@ def align(t: Template, g: Group) -> None:
 # --- the wrapper ---
 
 
+def numbered(t: Template, marked: bool = False) -> list[Template]:
+    """The nodes of a template in order; each knows its place and whether it is below article or main."""
+    out: list[Template] = []
+
+    def walk(n: Template, marked: bool) -> None:
+        n.at, n.marked = len(out), marked or n.label.split(".")[0] in ("article", "main")
+        out.append(n)
+        for c in n.children:
+            walk(c, n.marked)
+
+    walk(t, marked)
+    return out
+
+
+def visible(n: Node, marked: bool = False) -> Iterator[Node]:
+    """The nodes outside of furniture whose texts can be content: below article or main all, elsewhere those that are not mostly links."""
+    if n.furniture:
+        return
+    marked = marked or n.tag in ("article", "main")
+    if marked or n.linked * 2 <= sum(len(x) for x in n.items if isinstance(x, str)):
+        yield n
+    for c in n.nodes():
+        yield from visible(c, marked)
+
+
+def slots(root: Node) -> tuple[int, dict[int, dict[int, int]]]:
+    """The digest of an aligned page's body; its template nodes with their texts and the texts' lengths."""
+    found: dict[int, dict[int, int]] = {}
+    texts: list[str] = []
+    for n in visible(root):
+        own = own_texts(n)
+        texts += own
+        if n.template is not None:
+            found.setdefault(n.template.at, {}).update((_digest(x), len(x)) for x in own)
+    return _digest("\n".join(texts)), found
+
+
 def _content(t: Template) -> int:
     """Varying, unlinked characters below a template node, without furniture."""
-    if t.furniture:
-        return 0
-    own = max(0, t.chars - 2 * t.linked)
-    if t.pages >= 3 and t.texts and max(t.texts.values()) > 0.6 * t.pages and len(t.texts) <= 2:
-        own = 0  # the same text on most pages
-    return own + sum(map(_content, t.children))
+    return 0 if t.furniture else t.varying + sum(map(_content, t.children))
 
 
 def content_roots(t: Template) -> list[Template]:
-    """The template nodes that hold the host's content: articles or main if they hold half of it, else the deepest node with most of it."""
+    """The template node that holds the host's content: the deepest node with most of it."""
     marked: list[Template] = []
 
     def find(n: Template) -> None:
         if n.furniture:
             return
-        if re.split(r"\.", n.label)[0] == "article":
+        if n.label.split(".")[0] == "article":
             marked.append(n)
             return
         before = len(marked)
         for c in n.children:
             find(c)
-        if len(marked) == before and (n.label.split(".")[0] == "main"):
+        if len(marked) == before and n.label.split(".")[0] == "main":
             marked.append(n)
 
     find(t)
-    total = _content(t)
-    if marked and sum(map(_content, marked)) * 2 >= total:
+    if marked and sum(map(_content, marked)) * 2 >= _content(t):
         return marked
     here = t
     while True:
@@ -396,44 +411,39 @@ def content_roots(t: Template) -> list[Template]:
         here = best
 
 
-def _constant(t: Template | None, digest: str, share: float, least: int) -> bool:
-    return t is not None and t.pages >= least and t.texts.get(digest, 0) >= share * t.pages
+def wrapper(packed: str) -> Template:
+    """A template with its counted texts: the content roots are marked, constant texts known."""
+    x = json.loads(packed)
+    t = Template.unpack(x["template"])
+    nodes = numbered(t)
+    for s in x.get("slots", ()):
+        n = nodes[s["slot"]]
+        share, least = CONSTANT[n.marked]
+        found = [c for c in s["often"] if s["bodies"] >= least and c["n"] >= share * s["bodies"]]
+        n.constant = {c["text"] for c in found}
+        n.varying = s["chars"] - sum(c["chars"] for c in found)
+    for r in content_roots(t):
+        r.root = True
+    return t
 
 
-def extract(page: str, template: Template | None) -> str:
+def extract(page: str, template: Template) -> str:
     """The page's content slots, in page order."""
     root = parse(page)
-    group = Group([root])
-    if template is None:
-        template = Template("#", False)
-        fold(template, group)
-    align(template, group)
-    roots = content_roots(template)
-    marked = any(r.label.split(".")[0] in ("article", "main") for r in roots)
-    # do the pages of this host differ at all inside the root?
-    differ = any(not n.texts or max(n.texts.values()) < 0.5 * n.pages for r in roots for n in _below(r) if n.chars)
-    out: list[str] = []
-
-    def walk(n: Node, inside: bool) -> None:
+    align(template, Group([root]))
+    seen = {id(n) for n in visible(root)}
+
+    def walk(n: Node, inside: bool) -> Iterator[str]:
         if n.furniture:
             return
-        inside = inside or n.template in roots or n.template is None and not marked and n.up is not None and n.up.template in roots or (n.tag in ("article", "main") and marked)
-        skip = not marked and n.linked and n.linked * 2 > sum(len(x) for x in n.items if isinstance(x, str))
+        inside = inside or n.template is not None and n.template.root
         for x in n.items:
             if isinstance(x, Node):
-                walk(x, inside)
-            elif inside and not skip and (piece := clean(x)) and not (differ and _constant(n.template, _digest(piece), 0.95 if marked else 0.6, 20 if marked else 3)):
-                out.append(piece)
-
-    walk(root, False)
-    return " ".join(out)
-
+                yield from walk(x, inside)
+            elif inside and id(n) in seen and (piece := clean(x)) and not (n.template is not None and n.template.constant and _digest(piece) in n.template.constant):
+                yield piece
 
-def _below(t: Template) -> Iterator[Template]:
-    if not t.furniture:
-        yield t
-        for c in t.children:
-            yield from _below(c)
+    return " ".join(walk(root, False))
 
 
 # --- on columns ---
@@ -480,14 +490,53 @@ def induce(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInArrow(merge, schema).select("host", "template")
 
 
+def counted(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """host and slots (places in the template with their bodies, characters and frequent texts): pages(host, html, template)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Template] = {}
+        for b in steps(batches, "html", 1 << 20):
+            out: list[tuple] = []
+            for host, page, packed in zip(b.column("host").to_pylist(), strings(b.column("html")).to_pylist(), b.column("template").to_pylist(), strict=True):
+                t = known.get(packed)
+                if t is None:
+                    if len(known) > 500:
+                        known.clear()
+                    t = known[packed] = Template.unpack(json.loads(packed))
+                    numbered(t)
+                root = parse(page)
+                align(t, Group([root]))
+                body, found = slots(root)
+                for slot, texts in found.items():
+                    out.append((host, slot, 0, body, 0))  # text 0 is the slot itself
+                    out += [(host, slot, d, body, n) for d, n in texts.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "slot", "text", "body", "chars"])
+
+    once = pages.mapInArrow(run, "host string, slot int, text long, body long, chars long").groupBy("host", "slot", "text", "body").agg(F.max("chars").alias("chars"))
+    texts = written(spark, once.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "texts")
+    itself = F.col("text") == 0
+    sums = texts.groupBy("host", "slot").agg(F.max(F.when(itself, F.col("n"))).alias("bodies"), F.sum("chars").alias("chars"))
+    share, least = map(min, zip(*CONSTANT.values(), strict=True))
+    often = texts.where(~itself & (F.col("n") >= share * least)).select("host", "slot", F.struct("text", "n", "chars").alias("c"))
+    often = often.join(sums.select("host", "slot", "bodies"), ["host", "slot"]).where(F.col("c.n") >= share * F.col("bodies")).groupBy("host", "slot").agg(F.sort_array(F.collect_list("c")).alias("often"))
+    slot = F.struct("slot", "bodies", "chars", F.coalesce("often", F.array().cast(often.schema["often"].dataType)).alias("often"))
+    return sums.join(often, ["host", "slot"], "left").groupBy("host").agg(F.sort_array(F.collect_list(F.to_json(slot))).alias("slots"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host("url").alias("host"))
     spark = pages.sparkSession
+
+    def small(table: DataFrame) -> DataFrame:
+        size = table.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")).cast("long"), F.lit(0))).first()[0]
+        return F.broadcast(table) if size <= BROADCAST_BYTES else table  # else a join on the host, whose hot hosts Spark splits
+
     templates = written(spark, induce(rows.select("host", "html")), "templates")
-    size = templates.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")).cast("long"), F.lit(0))).first()[0]
-    if size <= BROADCAST_BYTES:  # else a join on the host, whose hot hosts Spark splits
-        templates = F.broadcast(templates)
+    texts = counted(spark, rows.join(small(templates), "host", "inner").select("host", "html", "template"))
+    both = F.concat(F.lit('{"template":'), F.col("template"), F.lit(',"slots":['), F.array_join(F.coalesce("slots", F.array().cast("array<string>")), ","), F.lit("]}"))
+    wrappers = written(spark, templates.join(texts, "host", "left").select("host", both.alias("template")), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template] = {}
@@ -498,8 +547,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if t is None:
                     if len(known) > 500:
                         known.clear()
-                    t = known[packed] = Template.unpack(json.loads(packed))
+                    t = known[packed] = wrapper(packed)
                 texts.append(extract(page, t))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(templates, "host", "inner").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(small(wrappers), "host", "inner").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -279,3 +279,20 @@ def test_licences(spark):
     for i, (_, text) in enumerate(texts):
         best = max(sum(w * unit(t).get(k, 0) for k, w in unit(line).items()) for line in (text or "").split("\n") for _, t in license_scan.TEMPLATES)
         assert (got[i].score is None) == (best < 0.8) and (got[i].score is None or got[i].score == pytest.approx(best, abs=1e-6))
+
+
+def words(n, count=12):
+    r = random.Random(n)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(count))
+
+
+def extracted(spark, pages):
+    rows = [(n, "https://h.com/x", PAGE.format(n=n, main=main)) for n, main in enumerate(pages)]
+    return [r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).orderBy("page_id").collect()]
+
+
+def test_html_constant_lines_are_counted_exactly(spark):
+    """A line on all pages of a long slot goes, however many texts the slot has."""
+    line = "Read more of this in our printed edition"
+    got = extracted(spark, ["<article>" + "".join(f"<p>{words(100 * n + i)}</p>" for i in range(15)) + f"<p>{line}</p></article>" for n in range(60)])
+    assert got == [" ".join(words(100 * n + i) for i in range(15)) for n in range(60)]
