@@ -376,7 +376,7 @@ def slots(root: Node) -> tuple[int, dict[int, dict[int, int]]]:
         texts += own
         if n.template is not None:
             found.setdefault(n.template.at, {}).update((_digest(x), len(x)) for x in own)
-    return _digest("\n".join(texts)), found
+    return _digest("\n".join([x for x in texts if x.count(" ") >= BODY_WORDS - 1] or texts)), found
 
 
 def _content(t: Template) -> int:

@@ -291,6 +291,12 @@ def extracted(spark, pages):
     return [r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).orderBy("page_id").collect()]
 
 
+def test_html_copies_are_no_template(spark):
+    copy = words(0)
+    got = extracted(spark, [f'<div class="post"><p>{copy if n < 8 else words(n)}</p><div class="day">Day {n}</div></div>' for n in range(10)])
+    assert got == [f"{copy if n < 8 else words(n)} Day {n}" for n in range(10)]
+
+
 def test_html_constant_lines_are_counted_exactly(spark):
     """A line on all pages of a long slot goes, however many texts the slot has."""
     line = "Read more of this in our printed edition"
