@@ -386,23 +386,6 @@ def _content(t: Template) -> int:
 
 def content_roots(t: Template) -> list[Template]:
     """The template node that holds the host's content: the deepest node with most of it."""
-    marked: list[Template] = []
-
-    def find(n: Template) -> None:
-        if n.furniture:
-            return
-        if n.label.split(".")[0] == "article":
-            marked.append(n)
-            return
-        before = len(marked)
-        for c in n.children:
-            find(c)
-        if len(marked) == before and n.label.split(".")[0] == "main":
-            marked.append(n)
-
-    find(t)
-    if marked and sum(map(_content, marked)) * 2 >= _content(t):
-        return marked
     here = t
     while True:
         best = max(here.children, key=_content, default=None)
@@ -436,14 +419,14 @@ def extract(page: str, template: Template) -> str:
     def walk(n: Node, inside: bool) -> Iterator[str]:
         if n.furniture:
             return
-        inside = inside or n.template is not None and n.template.root
+        inside = inside or n.template is None or n.template.root
         for x in n.items:
             if isinstance(x, Node):
                 yield from walk(x, inside)
             elif inside and id(n) in seen and (piece := clean(x)) and not (n.template is not None and n.template.constant and _digest(piece) in n.template.constant):
                 yield piece
 
-    return " ".join(walk(root, False))
+    return " ".join(walk(root, False)) or " ".join(walk(root, True))  # all varying slots if nothing of this page is under a root
 
 
 # --- on columns ---

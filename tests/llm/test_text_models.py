@@ -291,6 +291,12 @@ def extracted(spark, pages):
     return [r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).orderBy("page_id").collect()]
 
 
+def test_html_layout_beside_articles(spark):
+    """A second layout without article keeps its text; the template decides, not the element."""
+    got = extracted(spark, [f"<article><p>{words(n)}</p></article>" if n % 3 else f'<div class="story"><p>{words(n)}</p></div>' for n in range(30)])
+    assert got == [words(n) for n in range(30)]
+
+
 def test_html_copies_are_no_template(spark):
     copy = words(0)
     got = extracted(spark, [f'<div class="post"><p>{copy if n < 8 else words(n)}</p><div class="day">Day {n}</div></div>' for n in range(10)])
