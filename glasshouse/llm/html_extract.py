@@ -3,9 +3,9 @@
 Pages of a host are parsed into trees of blocks and folded, by simple tree matching, into one template tree:
 runs of like siblings become one repeated node.  Then every page is aligned with its host's template and the texts of each
 template node are counted exactly, a text once for each distinct page body.  Texts that stay the same are template; slots whose
-text varies are content.  The content root is the template node that holds most of the varying, unlinked text outside of page furniture
+text varies are content.  The content roots are the template nodes that hold the varying, unlinked text outside of page furniture
 (menus, page headers, footers, sidebars, notices, adverts, forms, comments, by element and by words in class, id
-and role).  A page gives what its nodes have under the roots; nodes that the
+and role): one for each layout or sibling that has some.  A page gives what its nodes have under the roots; nodes that the
 template does not have vary by definition, and a page without text under a root gives all its varying slots.
 
 Templates fold per task, then per host and salt, then per host, so a host with a third of all pages sends one
@@ -385,13 +385,14 @@ def _content(t: Template) -> int:
 
 
 def content_roots(t: Template) -> list[Template]:
-    """The template node that holds the host's content: the deepest node with most of it."""
-    here = t
-    while True:
-        best = max(here.children, key=_content, default=None)
-        if best is None or best.label.split(".")[0] in ("p", "h1", "h2", "h3", "li", "pre", "td") or _content(best) < 0.8 * _content(here):
-            return [here]
-        here = best
+    """The template nodes that hold the host's content: the deepest ones that have varying text of their own or most of theirs in paragraphs, on every branch."""
+    total = _content(t)
+    if not total:
+        return []
+    paragraphs = sum(_content(c) for c in t.children if c.label.split(".")[0] in ("p", "h1", "h2", "h3", "li", "pre", "td"))
+    if t.varying or paragraphs > 0.2 * total:
+        return [t]
+    return [r for c in t.children for r in content_roots(c)]
 
 
 def wrapper(packed: str) -> Template:

@@ -297,6 +297,11 @@ def test_html_layout_beside_articles(spark):
     assert got == [words(n) for n in range(30)]
 
 
+def test_html_two_layouts_without_articles(spark):
+    got = extracted(spark, [f'<div class="post"><p>{words(n, 40)}</p></div>' if n % 7 else f'<div class="story"><p>{words(n)}</p></div><div>Always the same line</div>' for n in range(42)])
+    assert got == [words(n, 40) if n % 7 else words(n) for n in range(42)]
+
+
 def test_html_copies_are_no_template(spark):
     copy = words(0)
     got = extracted(spark, [f'<div class="post"><p>{copy if n < 8 else words(n)}</p><div class="day">Day {n}</div></div>' for n in range(10)])
