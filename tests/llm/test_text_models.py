@@ -281,6 +281,24 @@ def test_licences(spark):
         assert (got[i].score is None) == (best < 0.8) and (got[i].score is None or got[i].score == pytest.approx(best, abs=1e-6))
 
 
+def test_licence_headers_over_lines_and_whole_files(spark):
+    def wrapped(text):
+        import textwrap
+
+        return "\n".join("# " + line for line in textwrap.wrap(text, 60))
+
+    by = [k for k, (name, text) in enumerate(license_scan.TEMPLATES) if len(text) > 100]
+    texts = [(f"/h/{k}/x.py", "import os\n" + wrapped(license_scan.TEMPLATES[k][1]) + "\nprint(1)") for k in by]
+    full = dict(license_scan.full_texts())
+    texts += [(f"/f/{name}/LICENSE", "Copyright 2020 A. Holder\n" + text) for name, text in full.items()]
+    texts += [("/p/x.txt", "This tool is made by us and released under the MIT License. All other rights stay with us."), ("/f/GPL-2.0/src/x.py", "print(1)"), ("/n/LICENSE", "You may ask us for a license of this software.")]
+    got = {r.path: r for r in license_scan.scan(spark, spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "id long, path string, text string")).collect()}
+    assert [got[f"/h/{k}/x.py"].own for k in by] == [license_scan.TEMPLATES[k][0] for k in by] and all(got[f"/h/{k}/x.py"].line == 1 for k in by)
+    assert {n: got[f"/f/{n}/LICENSE"].own for n in full} == {n: n for n in full}
+    assert got["/p/x.txt"].own == "MIT" and got["/n/LICENSE"].own is None
+    assert (got["/f/GPL-2.0/src/x.py"].license, got["/f/GPL-2.0/src/x.py"].distance) == ("GPL-2.0", 1)
+
+
 def words(n, count=12):
     r = random.Random(n)
     return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(count))
