@@ -1,11 +1,11 @@
-"""SimHash near-duplicates through an inverted index on positional bytes with count filtering.
+"""SimHash near-duplicates through an inverted index on choices of 4 positional bytes.
 
 Fingerprints of 64 bits have 8 positional bytes.  Two that differ in at most 4 bits differ in at most
 4 bytes, so they share at least 4 positional bytes: the guaranteed minimum.  A posting list for each
 single byte would hold a 256th of all fingerprints, so the index is kept on the 70 choices of 4
 positions instead: a fingerprint enters one list for each choice, keyed by its bytes there, and all
-pairs with the minimum number of matches meet in some list.  Within a list the shared positional bytes of a
-pair are tallied, pairs below the minimum go (other keys of the same shard), and the rest are
+pairs with the minimum number of matches meet in some list.  These keys stand in for count filtering:
+every pair of a list shares the minimum by construction, so nothing is tallied per pair, and pairs are
 verified by their differing bits.  Lists never emit all their pairs: each shard keeps a spanning
 forest of the verified links, which has the same components.
 
@@ -81,11 +81,6 @@ def posting_keys(fps: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield k, key
 
 
-def shared_bytes(x: np.ndarray) -> np.ndarray:
-    """The tally of positional bytes that a pair shares, from its difference."""
-    return (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) == 0).sum(1)
-
-
 def linked(fps: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[int, int]]:
     """A spanning forest of one posting list: reaches out from a fingerprint to the ones not yet reached."""
     rest = fps
@@ -96,7 +91,7 @@ def linked(fps: np.ndarray, most: int = MOST_BITS) -> Iterator[tuple[int, int]]:
             near = np.zeros(len(rest), dtype=bool)
             for at in range(0, len(rest), 1 << 20):
                 x = rest[at : at + (1 << 20)] ^ one
-                near[at : at + len(x)] = (shared_bytes(x) >= 8 - most) & (np.bitwise_count(x) <= most)
+                near[at : at + len(x)] = np.bitwise_count(x) <= most
             if near.any():
                 for other in rest[near]:
                     yield int(one), int(other)
@@ -132,7 +127,7 @@ def candidate_links(spark: SparkSession, fps: DataFrame, shards: int) -> DataFra
             size = np.diff(edge)
             two = edge[:-1][size == 2]  # most lists with a pair hold just one
             x = values[two] ^ values[two + 1]
-            near = (shared_bytes(x) >= 8 - MOST_BITS) & (np.bitwise_count(x) <= MOST_BITS)
+            near = np.bitwise_count(x) <= MOST_BITS
             pairs += zip(values[two[near]].tolist(), values[two[near] + 1].tolist(), strict=True)
             for a, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 pairs += linked(values[a : a + n])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glasshouse.llm import suffix_dedup
 from glasshouse.llm.components import components
 from glasshouse.llm.exact_dedup import exact_groups
-from glasshouse.llm.simhash import linked, near_groups, text_fingerprints
+from glasshouse.llm.simhash import linked, near_groups, posting_keys, text_fingerprints
 from glasshouse.llm.substring_dedup import dedup_passages
 
 SCHEMA = "doc_id long, text string, block string, digest int, carry int"
@@ -100,6 +100,19 @@ def test_near_edges(spark):
     assert {tuple(r) for r in near_groups(spark, frame(spark, [(None, "a b"), (5, None), (None, ""), (5, None)])).collect()} == {(None, xxhash.xxh64_intdigest(b"a b", 42) - 2**64 if xxhash.xxh64_intdigest(b"a b", 42) >= 2**63 else xxhash.xxh64_intdigest(b"a b", 42), None), (5, 0, 5), (None, 0, 5)}
 
 
+def test_posting_keys_are_the_guaranteed_minimum():
+    """Pairs of at most 4 differing bits meet under a key, and pairs that meet share 4 positional bytes."""
+    import numpy as np
+
+    r = random.Random(4)
+    one = [r.getrandbits(64) for _ in range(300)]
+    other = [x ^ sum(1 << b for b in r.sample(range(64), 4)) if n % 2 else x ^ sum(r.randrange(1, 256) << 8 * b for b in r.sample(range(8), r.randint(3, 6))) for n, x in enumerate(one)]
+    keys = [list(zip(*(k.tolist() for _, k in posting_keys(np.array(x, dtype=np.uint64))), strict=True)) for x in (one, other)]
+    for a, b, ka, kb in zip(one, other, *keys, strict=True):
+        shared = sum(a >> s & 255 == b >> s & 255 for s in range(0, 64, 8))
+        assert (not set(ka).isdisjoint(kb)) == (shared >= 4) and ((a ^ b).bit_count() > 4 or shared >= 4)
+
+
 def test_posting_list_keeps_components():
     import numpy as np
 
