@@ -63,7 +63,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Language ID and SimHash components are beyond SQL; the tests hold run() against a brute-force version.
+#: Language ID and SimHash components are beyond SQL; the tests hold run() after language ID against a brute-force version.
 ORACLE_SQL = None
 
 

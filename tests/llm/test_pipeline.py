@@ -30,3 +30,69 @@ def test_stages(spark, tmp_path):
     empty = all_docs.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def brute_pieces(rows):
+    """Plain Python for the stages after language ID: (doc_id, text) to rows of pieces, and how many documents each stage leaves."""
+    import itertools
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from test_dedup import brute_passages, fingerprint
+
+    from glasshouse.llm import packing
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    last = {}
+    for i, t in rows:
+        last[t.translate(lower)] = max(i, last.get(t.translate(lower), i))
+    exact = {i: t for i, t in rows if last[t.translate(lower)] == i}
+    fps, root = {i: fingerprint(t) for i, t in exact.items()}, {i: i for i in exact}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 4:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    near = [(i, t) for i, t in exact.items() if find(i) == i]
+    cut = brute_passages(near)
+    left = [(i, cut[i][4] if cut[i][2] else t) for i, t in near if not cut[i][2] or cut[i][2] < cut[i][1]]
+    path, out = public_tokenizers.path("byte_bpe_50k.json"), []
+    for i, t in left:
+        ids = np.append(packing.token_ids(t, path), np.uint32(0)).astype("<u4")
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]  # whole pieces last
+        out += [(i, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    return sorted(out), [len(exact), len(near), len(left), sum(cut[i][2] > 0 for i, _ in near)]
+
+
+def test_run_is_brute_force(spark, tmp_path):
+    import random
+
+    r = random.Random(8)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = [tuple(x) for x in table.orderBy("doc_id").limit(120).collect()]
+    long = [d for d in docs if 80 <= len(d[1].split()) <= 2000]
+    extra = []
+    for n, (_, text, lang, source, _) in enumerate(r.sample(long, 12)):
+        words = text.split()
+        near = " ".join([*words[:-1], f"changed{n}"])
+        own = r.choice(long)[1].split()
+        passage = " ".join([*own[::-1][:60], *words[20:50], *own[::-1][60:90]])
+        extra += [(7000 + n, text, lang, source, len(text)), (7100 + n, text.upper() if text.isascii() else text, lang, source, len(text)), (7200 + n, near, lang, source, len(near)), (7300 + n, passage, lang, source, len(passage))]
+    spark.createDataFrame([*docs, *extra, extra[0]], table.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(x) for x in corpus_pipeline.language_id(spark, now, str(tmp_path)).select("doc_id", "text").collect()]
+    want, (exact, near, left, cut) = brute_pieces(rows)
+    assert len(rows) > exact > near >= left > 50 and cut > 5  # each stage has something to do
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in got) == want
+    places = {}
+    for p in got:
+        places.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for s in places.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
