@@ -197,7 +197,7 @@ def t16(spark, sf):
     d, b = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("excerpt"))
     # the citations are a stated, short query set against all documents
     hit = d.join(b, F.contains("text", F.substring("excerpt", 1, 50)))
-    return hit.select("doc_id", "item_id", F.when(F.instr(F.col("text"), F.col("excerpt")) > 0, F.instr(F.col("text"), F.col("excerpt")) - 1).otherwise(F.instr(F.col("text"), F.substring("excerpt", 1, 50)) - 1).cast("long").alias("place"))
+    return hit.select("doc_id", "item_id", T.locate_excerpt(F.col("text"), F.col("excerpt")).cast("long").alias("place"))
 
 
 _EVIDENCE = "ev AS (SELECT doc_id, 100 + 37 * (doc_id % 11) AS e_begin, 260 + 37 * (doc_id % 11) AS e_end FROM documents)"

@@ -65,3 +65,13 @@ def test_small_functions(spark):
     assert one(spark, "x", lambda c: T.safe_decode(F.lit(b"caf\xe9"))) == "café"
     assert one(spark, "mail a@b.co fim", T.redact) == "mail [correio] fim"
     assert one(spark, "abcdef", lambda c: T.locate_excerpt(c, F.lit("cd"))) == 2 and one(spark, "abc", lambda c: T.locate_excerpt(c, F.lit("zz"))) == -1
+
+
+def test_excerpt_query_tries_longer_starts_first(spark, tmp_path):
+    from glasshouse.plans.catalog import QUERIES
+
+    excerpt = "a" * 50 + "b" * 30 + "c" * 40 + "d" * 20
+    texts = [excerpt, "a" * 50 + " " + excerpt[:120], "a" * 50 + " " + excerpt[:80], "x" + "a" * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, excerpt)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted((r.doc_id, r.place) for r in QUERIES["t16_locate_excerpt"](spark, str(tmp_path)).collect()) == [(0, 0), (1, 51), (2, 51), (3, 1)]
