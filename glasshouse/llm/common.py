@@ -24,11 +24,13 @@ ASCII_LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a local folder that then becomes it."""
+    """A new path under spark.checkpoint.dir.  Where that is unset only a session on one machine (tests) gets a local folder, which then becomes it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glasshouse-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/glasshouse-{name}-{uuid.uuid4().hex}"
@@ -41,6 +43,33 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes a table that written() made and that nothing will read again."""
+    files = df.inputFiles()
+    folders = {f[: f.index("/", f.index("glasshouse-"))] for f in files if "/glasshouse-" in f}
+    sc = df.sparkSession.sparkContext
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of one key from which on a join treats it as hot: this many, or this share of all rows if that is more.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
+
+
+def join_hot(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with one row for each key; known[count] is the number of rows with the key.
+
+    Keys of more than HOT_ROWS rows, and of more than 1 / HOT_SHARE of all, are broadcast: there are fewer than HOT_SHARE of
+    them however large the table is.  The others are shuffled, and no task gets many rows of one key."""
+    total = known.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_SHARE)
+    few, rest = known.where(hot).drop(count), known.where(~hot).drop(count)
+    if few.isEmpty():
+        return rows.join(rest, key)
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

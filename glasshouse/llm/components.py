@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glasshouse.llm.common import written
+from glasshouse.llm.common import drop, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     now = written(spark, edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        now = written(spark, _edges(small_star(_edges(large_star(now)))), "edges")
+        before, now = now, written(spark, _edges(small_star(_edges(large_star(now)))), "edges")
+        drop(before)
         found = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
         if tuple(found) == mark:
             break

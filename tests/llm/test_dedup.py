@@ -5,15 +5,16 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glasshouse.llm import suffix_dedup
+from glasshouse.llm import simhash, suffix_dedup
 from glasshouse.llm.components import components
 from glasshouse.llm.exact_dedup import exact_groups
-from glasshouse.llm.simhash import linked, near_groups, posting_keys, text_fingerprints
+from glasshouse.llm.simhash import near_groups, text_fingerprints
 from glasshouse.llm.substring_dedup import dedup_passages
 
 SCHEMA = "doc_id long, text string, block string, digest int, carry int"
@@ -100,25 +101,86 @@ def test_near_edges(spark):
     assert {tuple(r) for r in near_groups(spark, frame(spark, [(None, "a b"), (5, None), (None, ""), (5, None)])).collect()} == {(None, xxhash.xxh64_intdigest(b"a b", 42) - 2**64 if xxhash.xxh64_intdigest(b"a b", 42) >= 2**63 else xxhash.xxh64_intdigest(b"a b", 42), None), (5, 0, 5), (None, 0, 5)}
 
 
-def test_posting_keys_are_the_guaranteed_minimum():
-    """Pairs of at most 4 differing bits meet under a key, and pairs that meet share 4 positional bytes."""
-    import numpy as np
+def near_and_far(seed, n=300):
+    """Pairs that differ in 4 bits, and pairs that differ in 3 to 6 whole bytes."""
+    r = random.Random(seed)
+    one = [r.getrandbits(64) for _ in range(n)]
+    return one, [x ^ sum(1 << b for b in r.sample(range(64), 4)) if k % 2 else x ^ sum(r.randrange(1, 256) << 8 * b for b in r.sample(range(8), r.randint(3, 6))) for k, x in enumerate(one)]
+
+
+def shared_bytes(a, b):
+    return sum(a >> s & 255 == b >> s & 255 for s in range(0, 64, 8))
+
+
+def test_lists_hold_every_pair_with_the_minimum():
+    """At every depth of splitting, pairs of at most 4 differing bits meet; with whole bytes, so do all that share 4."""
+    one, other = (np.array(x, dtype=np.uint64) for x in near_and_far(4))
+    close = np.array([(int(a) ^ int(b)).bit_count() <= 4 for a, b in zip(one, other)])
+    four = np.array([shared_bytes(int(a), int(b)) >= 4 for a, b in zip(one, other)])
+    now = simhash.paths(1)
+    for depth in range(1, 9):
+        assert all(p.bit_count() == depth for p in now) and len(set(now)) == len(now)
+        assert depth > 4 or now == sorted(simhash.paths(depth))
+        meet = np.zeros(len(one), dtype=bool)
+        for p in now:
+            meet |= simhash.keys(one, p) == simhash.keys(other, p)
+        assert meet[close].all() and (depth > 4 or meet[four].all())
+        now = sorted({q for p in now for q in simhash.longer(p)})
+    assert not now
 
-    r = random.Random(4)
-    one = [r.getrandbits(64) for _ in range(300)]
-    other = [x ^ sum(1 << b for b in r.sample(range(64), 4)) if n % 2 else x ^ sum(r.randrange(1, 256) << 8 * b for b in r.sample(range(8), r.randint(3, 6))) for n, x in enumerate(one)]
-    keys = [list(zip(*(k.tolist() for _, k in posting_keys(np.array(x, dtype=np.uint64))), strict=True)) for x in (one, other)]
-    for a, b, ka, kb in zip(one, other, *keys, strict=True):
-        shared = sum(a >> s & 255 == b >> s & 255 for s in range(0, 64, 8))
-        assert (not set(ka).isdisjoint(kb)) == (shared >= 4) and ((a ^ b).bit_count() > 4 or shared >= 4)
 
+def test_the_tally_rejects():
+    """Pairs that meet in a list and share fewer than 4 positional bytes are tallied and go."""
+    one, other = (np.array(x, dtype=np.uint64) for x in near_and_far(5))
+    shared = np.array([shared_bytes(int(a), int(b)) for a, b in zip(one, other)])
+    assert (simhash.tally(one ^ other) == shared).all()
+    assert simhash.retained(one, other, 64).tolist() == (shared >= 4).tolist() and (shared < 4).any()
+    assert simhash.retained(one, other).tolist() == [(int(a) ^ int(b)).bit_count() <= 4 for a, b in zip(one, other)]
 
-def test_posting_list_keeps_components():
-    import numpy as np
 
+def test_lists_keep_components():
     fps = np.array([0, 1, 3, 7, 15, 31, 1 << 40, (1 << 40) | 1, 0xFFFF << 8], dtype=np.uint64)
-    pairs = list(linked(fps))
-    assert len(pairs) == 7 and all((a ^ b).bit_count() <= 4 for a, b in pairs)
+    a, b = simhash.long_list(fps)
+    assert len(a) == 7 and all((int(x) ^ int(y)).bit_count() <= 4 for x, y in zip(a, b))
+    x, y = simhash.short_lists(np.r_[fps, fps[:3]], np.array([0, 9, 12]))
+    assert len(x) == 7 + 2 and set(x.tolist()) == {0}
+
+
+@pytest.mark.parametrize(("level", "longest"), [(1, 4), (2, 8), (3, 2), (4, 1 << 20)])
+def test_frequent_lists_are_split(spark, level, longest):
+    """Links connect the same components whatever the lists' lengths, with dense groups that every split leaves together."""
+    r = random.Random(9)
+    fps = {r.getrandbits(64) for _ in range(40)} | {0x1234 ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for _ in range(60)} | {5 << 32 | x for x in range(30)}
+    root = {x: x for x in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def union(pairs):
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+
+    signed = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
+    got = [(p.a % 2**64, p.b % 2**64) for p in simhash.candidate_links(spark, signed, level, longest).collect()]
+    union(got)
+    found = {x: find(x) for x in fps}
+    root = {x: x for x in fps}
+    union((a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 4)
+    assert found == {x: find(x) for x in fps}
+
+
+def test_near_groups_of_one_hot_fingerprint(spark, monkeypatch):
+    """Copies beyond the bound of a hot key, null identifiers and clashing columns."""
+    from glasshouse.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(100 + i, text) for i in range(30)] + [(3, text.upper()), (None, text), (4, "other words here now"), (5, "x " * 50_000)]
+    got = [(r.doc_id, r.component_id) for r in near_groups(spark, frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(i, 3 if t.lower() == text else i) for i, t in rows], key=str)
 
 
 def test_components(spark):
