@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
@@ -64,7 +65,7 @@ def join_hot(rows: DataFrame, known: DataFrame, key: str, count: str) -> DataFra
     them however large the table is.  The others are shuffled, and no task gets many rows of one key."""
     total = known.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = F.col(count) > max(HOT_ROWS, total // HOT_SHARE)
-    few, rest = known.where(hot).drop(count), known.where(~hot).drop(count)
+    few, rest = known.where(hot), known.where(~hot)
     if few.isEmpty():
         return rows.join(rest, key)
     return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
@@ -137,23 +138,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Odd multipliers of the two lanes of a 128-bit polynomial fingerprint, and random values for the bytes.
+#: Odd multipliers of the two lanes of a 128-bit fingerprint.
 LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
-BYTE_VALUES = tuple(mix(np.arange(256, dtype=np.uint64) * lane + lane) for lane in LANES)
+LONG_WORD = 1024  # bytes from which on a word is hashed by itself
+
+
+def combined(one: np.ndarray, other: np.ndarray, lane: np.uint64) -> np.ndarray:
+    """A fingerprint of pairs of fingerprints; the order counts, and no sum of terms that could cancel out is involved."""
+    return mix(mix(one * lane + np.uint64(1)) + other)
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 128-bit fingerprint of each word, as two lanes of 64 bits."""
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    """A 128-bit fingerprint of each word, as two lanes of 64 bits: its 8-byte pieces are taken in one after the other, each behind a mixing step."""
     size = stops - starts
-    at = np.arange(int(size.sum()), dtype=np.int64)
-    begin = np.cumsum(size) - size
-    within = at - np.repeat(begin, size)
-    taken = raw[within + np.repeat(starts, size)]
-    out = []
-    for lane, values in zip(LANES, BYTE_VALUES, strict=True):
-        powers = np.cumprod(np.full(int(size.max()), lane, dtype=np.uint64))
-        out.append(mix(np.add.reduceat(values[taken] * powers[within], begin)))
+    out = [mix(size.astype(np.uint64) + lane) for lane in LANES]
+    if not len(starts):
+        return out[0], out[1]
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    at = np.flatnonzero(size <= LONG_WORD)
+    place, left = starts[at], size[at]
+    while len(at):
+        piece = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[place]).view("<u8").reshape(-1)
+        part = np.minimum(left, 8).astype(np.uint64) * np.uint64(8)
+        piece = piece & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - part))
+        for i, lane in enumerate(LANES):
+            out[i][at] = combined(out[i][at], piece, lane)
+        more = left > 8
+        at, place, left = at[more], place[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        import xxhash
+
+        whole = xxhash.xxh3_128_intdigest(raw[starts[i] : stops[i]].tobytes())
+        out[0][i], out[1][i] = np.uint64(whole >> 64), np.uint64(whole & (1 << 64) - 1)
     return out[0], out[1]
 
+
+#: Places of a set of marks(): 2 MB, whatever the number of keys.
+MARKS = 1 << 24
+
+
+def marks(spark: SparkSession, keys: DataFrame) -> Callable[[Column], Column]:
+    """A test on a column of long that is true for every one of keys(key long), and for others by chance only.
+
+    The more keys there are the more others pass; at the size of MARKS and beyond nearly all do.  So it saves a shuffle and decides nothing."""
+    place = F.pmod(F.xxhash64("key"), F.lit(MARKS))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
+    found = words.toArrow()  # at most MARKS / 64 rows
+    bitmap = np.zeros(MARKS // 64, dtype=np.int64)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def marked(p: pd.Series) -> pd.Series:
+        v = p.to_numpy()
+        return pd.Series((shared.value[v >> 6] >> (v & 63) & 1).astype(bool))
+
+    return lambda column: marked(F.pmod(F.xxhash64(column), F.lit(MARKS)))

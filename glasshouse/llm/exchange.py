@@ -1,8 +1,8 @@
 """Questions from blocks of documents to shards of a key space, and the answers back.
 
-A block is a set of documents (by a hash of the identifier) of about BLOCK_BYTES of text.  It sorts its
-keys, drops repeats and sends each shard one packed row; the shard answers one bit for each key, in
-the same order.  So a hot key crosses the network once for each block, however many rows hold it,
+A block is a set of documents (by a hash of identifier and text) of about BLOCK_BYTES of text.  It sorts its
+keys, drops repeats and sends one packed row to each shard that it has keys for; the shard answers one bit for each key, in
+the same order.  A block's work follows its keys, not the number of shards.  So a hot key crosses the network once for each block, however many rows hold it,
 and no table of all keys is ever broadcast.  The text is shuffled into blocks once; Spark reuses that
 exchange in every round.
 """
@@ -32,10 +32,10 @@ def blocked(spark: SparkSession, docs: DataFrame, carry: bool = False) -> tuple[
     total = text_bytes(docs)
     # blocks and shards follow the bytes; small inputs are spread over the partitions, but no thinner than LEAST_BYTES
     count = int(max(total // BLOCK_BYTES + 1, min(2 * partitions(spark), total // LEAST_BYTES + 1)))
-    shards = int(max(total // SHARD_BYTES + 1, min(partitions(spark), total // LEAST_BYTES + 1)))
+    shards = 1 << int(max(total // SHARD_BYTES + 1, min(partitions(spark), total // LEAST_BYTES + 1)) - 1).bit_length()  # a power of two: a shard is a key's leading bits
     others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("carry")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    return rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(count)).cast("int")), total, shards
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")), total, shards
 
 
 def pack_sorted(keys: np.ndarray, many: np.ndarray) -> bytes:
@@ -57,6 +57,18 @@ def distinct_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)]) > 1
 
 
+def shard_runs(shard: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each shard that occurs among sorted shard numbers, with the begin and end of its run."""
+    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+    return list(zip(shard[first].tolist(), first.tolist(), np.r_[first[1:], len(shard)].tolist() if len(first) else [], strict=True))
+
+
+def leading_shard(keys: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
+    """The shard of keys of `bits` bits: their leading bits."""
+    width = shards.bit_length() - 1
+    return (keys >> np.uint64(bits - width)).astype(np.int64) if width else np.zeros(len(keys), np.int64)
+
+
 # --- first rounds: a count-min sketch, kept as its touched cells, sharded by cell ---
 
 
@@ -64,22 +76,20 @@ class Sketch:
     """Rows of 2**bits counters.  A block holds only the cells that it touched; a shard adds up a range of cells."""
 
     def __init__(self, total: int, shards: int, depth: int = 2, least_bits: int = 16):
-        self.bits, self.shards, self.depth = max(least_bits, int(total).bit_length()), shards, depth
+        self.bits, self.shards, self.depth = max(least_bits, int(total).bit_length(), shards.bit_length()), shards, depth
 
     def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
         return mix(keys + LANES[row % 2] + np.uint64(row)) >> np.uint64(64 - self.bits)
 
-    def cuts(self, cells: np.ndarray) -> np.ndarray:
-        """Where the sorted cells go from one shard to the next."""
-        edges = (np.arange(self.shards + 1, dtype=object) * (1 << self.bits) // self.shards).astype(np.uint64)
-        return np.searchsorted(cells, edges)
+    def runs(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
+        """The shards of sorted cells."""
+        return shard_runs(leading_shard(cells, self.shards, self.bits))
 
     def questions(self, block: int, keys: np.ndarray) -> pa.Table:
         rows: list[tuple] = []
         for row in range(self.depth):
             cells, many = distinct_counts(self.cells(keys, row))
-            cuts = self.cuts(cells)
-            rows += [(row, s, block, pack_sorted(cells[a:b], many[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            rows += [(row, s, block, pack_sorted(cells[a:b], many[a:b])) for s, a, b in self.runs(cells)]
         return table(rows, QUESTIONS)
 
     def repeated(self, keys: np.ndarray, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
@@ -90,7 +100,7 @@ class Sketch:
             order = np.argsort(mine)  # cheaper than a binary search for every key
             ordered = mine[order]
             new = np.r_[True, ordered[1:] != ordered[:-1]] if len(order) else np.zeros(0, dtype=bool)
-            flags = answered(self.cuts(ordered[new]), row, answers)
+            flags = answered(self.runs(ordered[new]), row, answers)
             out[order] &= flags[np.cumsum(new) - 1] if len(order) else flags
         return out
 
@@ -131,9 +141,9 @@ def replies(questions: pa.Table, bits: list[np.ndarray]) -> pa.Table:
     return pa.table({"phase": questions.column("phase"), "shard": questions.column("shard"), "block": questions.column("block"), "bits": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
 
-def answered(cuts: np.ndarray, phase: int, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
+def answered(runs: list[tuple[int, int, int]], phase: int, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
     """One flag for each key that was asked, in the order asked."""
-    parts = [np.unpackbits(np.frombuffer(answers[phase, s], dtype=np.uint8), count=int(b - a)).astype(bool) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    parts = [np.unpackbits(np.frombuffer(answers[phase, s], dtype=np.uint8), count=b - a).astype(bool) for s, a, b in runs]
     return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 

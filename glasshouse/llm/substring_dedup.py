@@ -9,7 +9,8 @@ cells; nothing is broadcast.
 
 Nulls: a null text has no words; a null doc_id counts as smaller than any other.  Rows that repeat a
 doc_id are judged as one document: they do not remove each other's words.  Empty texts give zero words
-and the digest of nothing.  Empty table: empty result.  Other columns are ignored.
+and the digest of nothing.  Long texts are read whole.  Empty table: empty result.  Other columns are ignored,
+or carried unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +24,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from glasshouse.llm.common import LANES, buffers, mix, strings, word_hashes, word_spans
-from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, merge_least, merge_sketch, per_block, table
+from glasshouse.llm.common import LANES, buffers, combined, strings, word_hashes, word_spans
+from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, leading_shard, merge_least, merge_sketch, per_block, shard_runs, table
 
 WINDOW = 13
 EXACT = 9  # phase of the exact round, after the sketch's rows
 _NONE = np.iinfo(np.int64).min
 
 
+def _sequences(words: np.ndarray, size: int, count: int, lane: np.uint64) -> np.ndarray:
+    """A fingerprint of every `size` consecutive words, put together from those of 1, 2, 4, ... words."""
+    total, done, power = None, 0, 1
+    while done < size and count:
+        if size & power:
+            part = words[done : done + count]
+            total = part if total is None else combined(total, part, lane)
+            done += power
+        words, power = combined(words[:-power], words[power:], lane) if len(words) > power else words[:0], power * 2
+    return np.zeros(0, dtype=np.uint64) if total is None else total
+
+
 class Windows:
     """The windows of one block: two fingerprint lanes, the document and the first word of each."""
 
@@ -39,12 +52,7 @@ class Windows:
         self.starts, self.stops, self.first = word_spans(self.raw, offsets)
         self.ids = rows.column("doc_id").combine_chunks().fill_null(_NONE).to_numpy(zero_copy_only=False)
         count = max(0, len(self.starts) - size + 1)
-        lanes = []
-        for lane, words in zip(LANES, word_hashes(self.raw, self.starts, self.stops), strict=True):
-            total = np.zeros(count, dtype=np.uint64)
-            for j in range(size if count else 0):
-                total = total * lane + words[j : j + count]
-            lanes.append(mix(total))
+        lanes = [_sequences(words, size, count, lane) for lane, words in zip(LANES, word_hashes(self.raw, self.starts, self.stops), strict=True)]
         doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         whole = np.flatnonzero(doc[:count] == doc[size - 1 : size - 1 + count]) if count else np.zeros(0, np.int64)
         self.at, self.one, self.two, self.doc = whole, lanes[0][whole], lanes[1][whole], self.ids[doc[:count][whole]] if count else np.zeros(0, np.int64)
@@ -59,16 +67,11 @@ def _records(w: Windows, answers: dict, sketch: Sketch) -> tuple[np.ndarray, ...
     return order, np.cumsum(new) - 1, one[new], two[new], w.doc[order][new]
 
 
-def _cuts(one: np.ndarray, shards: int) -> np.ndarray:
-    edges = [(i << 64) // shards for i in range(shards)]
-    return np.r_[np.searchsorted(one, np.array(edges, dtype=np.uint64)), len(one)]
-
-
-def dedup_passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, rewrite: bool = False) -> DataFrame:
+def dedup_passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, rewrite: bool = False, length: str | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256; or, to rewrite, the documents with their columns and what is left of the text.
 
     A rewritten text is its kept words joined by one space; a text that loses nothing stays as it is, and a
-    document that loses every word goes."""
+    document that loses every word goes.  Column `length`, if there is one, follows a text that was cut."""
     blocks, total, shards = blocked(spark, docs, carry=rewrite)
     sketch = Sketch(total, shards)
 
@@ -77,13 +80,12 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, r
 
     def second(block: int, rows: pa.Table, answers: dict) -> pa.Table:
         _, _, one, two, least = _records(Windows(rows, window), answers, sketch)
-        cuts = _cuts(one, shards)
-        return table([(EXACT, s, block, one[a:b].tobytes() + two[a:b].tobytes() + least[a:b].tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], QUESTIONS)
+        return table([(EXACT, s, block, one[a:b].tobytes() + two[a:b].tobytes() + least[a:b].tobytes()) for s, a, b in shard_runs(leading_shard(one, shards))], QUESTIONS)
 
     def last(block: int, rows: pa.Table, answers: dict) -> pa.Table:
         w = Windows(rows, window)
         order, group, one, _, least = _records(w, answers, sketch)
-        earlier = answered(_cuts(one, shards), EXACT, answers)
+        earlier = answered(shard_runs(leading_shard(one, shards)), EXACT, answers)
         gone = w.at[order][earlier[group] | (w.doc[order] > least[group])] if len(order) else np.zeros(0, np.int64)
         cover = np.zeros(len(w.starts) + 1, dtype=np.int32)
         np.add.at(cover, gone, 1)
@@ -113,4 +115,12 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, r
         return per_block(blocks, found, last, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     schema = StructType([*blocks.schema.fields[:3], StructField("n_removed", LongType())])
     left = per_block(blocks, found, last, schema)
-    return left.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"carry.`{c}`") for c in docs.columns], "n_removed")
+
+    def column(name: str):
+        kind = docs.schema[name].dataType
+        if name in ("doc_id", "text"):
+            return F.col(name).cast(kind).alias(name)
+        kept = F.col(f"carry.`{name}`")
+        return F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(kept).alias(name) if name == length else kept
+
+    return left.select(*map(column, docs.columns))

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasshouse.llm.common import LANES, buffers, mix, steps, strings
-from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, member, merge_sketch, per_block, replies, table
+from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, leading_shard, member, merge_sketch, per_block, replies, shard_runs, table
 
 LENGTH = 200
 SPREAD = 64
 CORE = LENGTH - SPREAD + 1  # bytes from an anchor on that every string tied to it contains
 CHUNK = 1 << 20
-SAMPLE_BYTES = 8 << 20
+SAMPLE_BYTES, BUCKET_SAMPLE = 8 << 20, 8 << 10  # sampled text for the splitters: at least, and for each bucket (16 suffixes)
 CONTEXT, GROUP, SUFFIX = 10, 11, 12  # phases of the questions after the sketch
 _INVERSE = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in LANES)
 _powers: dict[int, tuple[np.ndarray, ...]] = {}
@@ -149,10 +149,15 @@ def distinct_records(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> tup
     return order, np.cumsum(new) - 1, (t[new], a[new], b[new], np.diff(np.r_[first, len(t)]) > 1)
 
 
-def record_cuts(token: np.ndarray, one: np.ndarray, splitters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Where ordered records go from one bucket to the next."""
-    low, high = np.searchsorted(token, splitters[0]), np.searchsorted(token, splitters[0], side="right")
-    return np.array([0, *(a + int(np.searchsorted(one[a:z], k)) for a, z, k in zip(low.tolist(), high.tolist(), splitters[1], strict=True)), len(token)])
+def record_runs(token: np.ndarray, one: np.ndarray, splitters: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """The buckets of ordered records: a record's bucket is the number of splitters up to it."""
+    bucket, high = np.searchsorted(splitters[0], token), np.searchsorted(splitters[0], token, side="right")
+    tied = np.flatnonzero(bucket < high)  # the token of a splitter: the fingerprint decides
+    for a, z in {(int(a), int(z)) for a, z in zip(bucket[tied], high[tied], strict=True)}:
+        same = tied[(bucket[tied] == a) & (high[tied] == z)]
+        bucket[same] = a + np.searchsorted(splitters[1][a:z], one[same], side="right")
+        tied = np.setdiff1d(tied, same, assume_unique=True)
+    return shard_runs(bucket)
 
 
 def pack_records(token: np.ndarray, one: np.ndarray, two: np.ndarray, many: np.ndarray) -> bytes:
@@ -170,8 +175,7 @@ def unpack_records(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def record_questions(phase: int, block: int, records: tuple[np.ndarray, ...], splitters: tuple) -> list[tuple]:
-    cuts = record_cuts(records[0], records[1], splitters)
-    return [(phase, s, block, pack_records(*(r[a:b] for r in records))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return [(phase, s, block, pack_records(*(r[a:b] for r in records))) for s, a, b in record_runs(records[0], records[1], splitters)]
 
 
 def merge_records(questions: pa.Table) -> pa.Table:
@@ -194,10 +198,6 @@ def core_groups(runs: Runs, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return core[first], context[first], context[first] != context[last], np.searchsorted(core[first], runs.core[take])
 
 
-def _core_cuts(core: np.ndarray, shards: int) -> np.ndarray:
-    return np.r_[np.searchsorted(core, np.array([(i << 64) // shards for i in range(shards)], dtype=np.uint64)), len(core)]
-
-
 def merge_groups(questions: pa.Table) -> pa.Table:
     """Answers which cores have more than one context."""
     asked = [(np.frombuffer(x[: len(x) // 17 * 16], np.uint64).reshape(2, -1), np.frombuffer(x[len(x) // 17 * 16 :], np.uint8)) for x in questions.column("entries").to_pylist()]
@@ -220,11 +220,11 @@ def merge(questions: pa.Table) -> pa.Table:
 
 
 def sampled_splitters(docs: DataFrame, total: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Splitters for `buckets` from the suffixes of a hash sample of documents (about SAMPLE_BYTES of them, whole texts).
+    """Splitters for `buckets` from the suffixes of a hash sample of documents (whole texts), which follows the number of buckets.
 
     Half of them divide all of the sample's suffixes, half the distinct ones at anchors that repeat within the sample:
     what follows a very frequent passage is rare among all suffixes and common among those that are sent."""
-    rate = max(1, total // SAMPLE_BYTES)
+    rate = max(1, total // max(SAMPLE_BYTES, BUCKET_SAMPLE * buckets))
     texts = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rate)) == 0).select(F.col("text").cast("string").alias("text"))
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,17 +281,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False
 
     def second(block: int, rows: pa.Table, answers: dict) -> pa.Table:
         _, _, (_, _, records), (core, context, several, _) = candidates(strings(rows.column("text")), answers)
-        cuts = _core_cuts(core, shards)
         asked = record_questions(CONTEXT, block, records, splitters)
-        asked += [(GROUP, s, block, core[a:b].tobytes() + context[a:b].tobytes() + several[a:b].astype(np.uint8).tobytes()) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        asked += [(GROUP, s, block, core[a:b].tobytes() + context[a:b].tobytes() + several[a:b].astype(np.uint8).tobytes()) for s, a, b in shard_runs(leading_shard(core, shards))]
         return table(asked, QUESTIONS)
 
     def open_suffixes(texts: pa.LargeStringArray, answers: dict) -> tuple:
         """What the contexts settle, and the suffixes of the other runs."""
         runs, take, (order, group, records), (core, _, _, of) = candidates(texts, answers)
-        several = answered(_core_cuts(core, shards), GROUP, answers)[of]
+        several = answered(shard_runs(leading_shard(core, shards)), GROUP, answers)[of]
         twice = np.zeros(len(take), dtype=bool)
-        twice[order] = answered(record_cuts(records[0], records[1], splitters), CONTEXT, answers)[group]
+        twice[order] = answered(record_runs(records[0], records[1], splitters), CONTEXT, answers)[group]
         wanted = np.zeros(len(runs.begin), dtype=bool)
         wanted[take[several]] = True
         parts, seen = [], 0
@@ -311,7 +310,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False
         raw, offsets = buffers(texts)
         begin, end, (at, token, one, two) = open_suffixes(texts, answers)
         order, group, records = distinct_records(token, one, two)
-        hit = at[order][answered(record_cuts(records[0], records[1], splitters), SUFFIX, answers)[group]] if len(at) else at
+        hit = at[order][answered(record_runs(records[0], records[1], splitters), SUFFIX, answers)[group]] if len(at) else at
         cover = np.zeros(len(raw) + 1, dtype=np.int32)
         for where, step in ((begin, 1), (end + LENGTH, -1), (hit, 1), (hit + LENGTH, -1)):
             np.add.at(cover, where, step)
