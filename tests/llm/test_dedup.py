@@ -66,6 +66,61 @@ def test_exact_edges(spark):
     assert sorted(got, key=str) == sorted([(None, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True), (None, None, 1, True)], key=str)
 
 
+def test_exact_state_goes_on(spark, tmp_path):
+    """File by file, over two calls and a call made again: the state counts every row once."""
+    rows = [r for r in corpus(11, 60) if r[0] is not None]
+    groups = {}
+    for i, t in rows:
+        groups.setdefault((t or "").translate(LOWER), []).append(i)
+    halves = rows[::2], rows[1::2]
+    folder = f"file://{tmp_path}/state"
+    for n, half in enumerate(halves):
+        frame(spark, half).repartition(3).write.parquet(f"{tmp_path}/docs{n}")
+    docs = [spark.read.parquet(f"file://{tmp_path}/docs{n}") for n in range(2)]
+    exact_groups(spark, docs[0], files_per_batch=1, folder=folder, call="one").count()
+    # as if the driver had been lost after the second table was written: the state takes it in on the next call
+    for _ in range(2):
+        got = {r.doc_id: r for r in exact_groups(spark, docs[1], files_per_batch=1, folder=folder, call="two").collect()}
+        assert set(got) == {i for i, _ in halves[1]}
+        for i, t in halves[1]:
+            members = groups[(t or "").translate(LOWER)]
+            assert (got[i].keep_id, got[i].group_size, got[i].kept) == (max(members), len(members), i == max(members))
+            assert got[i].keep_file.split("/")[-2] == ("docs0" if any(max(members) == j for j, _ in halves[0]) else "docs1")
+
+
+def test_exact_checks_the_bytes_of_earlier_calls(spark, tmp_path):
+    short = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    for n in range(2):
+        frame(spark, [(100 * n + i, f"text {n} {i}") for i in range(20)]).write.parquet(f"{tmp_path}/docs{n}")
+    docs = [spark.read.parquet(f"file://{tmp_path}/docs{n}") for n in range(2)]
+    one = docs[0].limit(1)
+    exact_groups(spark, one, digest=short, folder=f"file://{tmp_path}/state").count()
+    with pytest.raises(ValueError, match="earlier call"):
+        exact_groups(spark, docs[1], digest=short, folder=f"file://{tmp_path}/state")
+
+
+def test_marks_hold_every_key(spark):
+    from glasshouse.llm.common import marks
+
+    test = marks(spark, spark.range(0, 3000, 3).select(F.col("id").alias("key")))
+    got = {r.id for r in spark.range(3000).where(test(F.col("id"))).collect()}
+    assert set(range(0, 3000, 3)) <= got and len(got) < 1010
+    none = marks(spark, spark.range(0).select(F.col("id").alias("key")))
+    assert spark.range(100).where(none(F.col("id"))).count() == 0
+
+
+def test_word_hashes_tell_words_apart():
+    """Words on which polynomials modulo 2**64 collide (a sequence of a and b and its complement), and words of all lengths."""
+    from glasshouse.llm.common import word_hashes
+
+    morse = "".join("ab"[n.bit_count() % 2] for n in range(1024))
+    words = [morse, morse.translate(str.maketrans("ab", "ba")), morse + "a", morse.translate(str.maketrans("ab", "ba")) + "a", *("x" * n for n in range(1, 40)), "abcdefgh", "hgfedcba", "abcdefghabcdefgi", "abcdefgiabcdefgh", "a\0", "a"]
+    raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    stops = np.cumsum([len(w) + 1 for w in words]) - 1
+    for lane in word_hashes(raw, stops - [len(w) for w in words], stops):
+        assert len(set(lane.tolist())) == len(words)
+
+
 def test_fingerprints():
     rows = corpus(2)
     got = text_fingerprints(pa.array([t or "" for _, t in rows], pa.large_string()))
@@ -242,6 +297,23 @@ def test_passages_edges(spark):
     assert [r.n_removed for r in dedup_passages(spark, frame(spark, [(7, text), (7, text)])).collect()] == [0, 0]
 
 
+def test_passages_other_columns_and_widths(spark):
+    """Columns named like the operator's own pass through; a window of any width; rows without identifier are spread over blocks."""
+    rows = corpus(12, 50)
+    docs = spark.createDataFrame([(t, i, i % 5, f"{i}", "c", 7, {"k": "v"}) for i, t in rows], "text string, doc_id long, n_removed int, block string, carry string, n_chars int, shard map<string, string>")
+    left = dedup_passages(spark, docs, rewrite=True, length="n_chars")
+    assert left.columns == docs.columns and [f.dataType for f in left.schema] == [f.dataType for f in docs.schema]
+    want = brute_passages(rows)
+    for r in left.collect():
+        assert (r.n_removed, r.block, r.carry, r.shard) == (r.doc_id % 5, str(r.doc_id), "c", {"k": "v"}) and r.n_chars == (len(r.text) if want[r.doc_id][2] else 7)
+    for size in (1, 2, 5, 16):
+        assert {r.doc_id: tuple(r) for r in dedup_passages(spark, frame(spark, rows), window=size).collect()} == {i: w[:4] for i, w in brute_passages(rows, size).items()}
+    from glasshouse.llm.exchange import blocked
+
+    many = frame(spark, [(None, " ".join([str(n)] * 4000)) for n in range(200)])
+    assert blocked(spark, many)[0].select("block").distinct().count() > 1
+
+
 def brute_bytes(rows, n=suffix_dedup.LENGTH):
     seen = {}
     for _, t in rows:
@@ -274,6 +346,17 @@ def test_bytes(spark):
     assert all(hashlib.sha256(bytes(kept[i])).hexdigest() == want[i][4] for i in want)
 
 
+def test_records_find_their_bucket():
+    """With splitters that share a token, against a plain count of the splitters up to a record."""
+    r = np.random.default_rng(3)
+    splitters = sorted(zip(r.integers(0, 6, 20).tolist(), r.integers(0, 50, 20).tolist()))
+    records = sorted(zip(r.integers(0, 8, 300).tolist(), r.integers(0, 60, 300).tolist()))
+    token, one = (np.array([x[i] for x in records], dtype=np.uint64) for i in range(2))
+    runs = suffix_dedup.record_runs(token, one, tuple(np.array([x[i] for x in splitters], dtype=np.uint64) for i in range(2)))
+    got = [s for s, a, b in runs for _ in range(b - a)]
+    assert got == [sum(k <= x for k in splitters) for x in records]
+
+
 def test_bytes_edges(spark):
     assert suffix_dedup.remove_repeats(spark, frame(spark, [])).count() == 0
     assert [r.n_removed for r in suffix_dedup.remove_repeats(spark, frame(spark, [(None, "z" * 150 + "q" * 60), (None, "z" * 150 + "q" * 60)])).collect()] == [210, 210]

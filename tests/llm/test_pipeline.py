@@ -32,6 +32,36 @@ def test_stages(spark, tmp_path):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_clashing_columns_and_ties(spark, tmp_path):
+    """Columns named like the operators' own pass every stage; of rows with one doc_id the same one stays in any order of files."""
+    text = " ".join(f"word{i} in the house of water" for i in range(12))
+    names = "doc_id text lang n_chars n_removed _of _digest _keep _gone kept row id hash digest place key block component_id fp".split()
+    rows = [(1, text), (1, text.upper()), (2, text + " and more"), (2, None), (None, "the one and only house"), (None, "THE one and only house"), (3, text)]
+    made = [tuple({"doc_id": i, "text": t, "lang": "en", "n_chars": 5}.get(n, f"{n}{k}") for n in names) for k, (i, t) in enumerate(rows)]
+    schema = ", ".join(f"{n} {({'doc_id': 'long', 'n_chars': 'long'}).get(n, 'string')}" for n in names)
+    found = []
+    for order in (made, made[::-1]):
+        docs = spark.createDataFrame(order, schema).coalesce(1)
+        out = []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            path = str(tmp_path / f"{name}{len(found)}")
+            done = stage(spark, docs, str(tmp_path))
+            assert done.columns == names
+            done.write.parquet(path)
+            docs = spark.read.parquet(path)
+            out.append(sorted((tuple(r) for r in docs.collect()), key=str))
+        found.append(out)
+    assert found[0] == found[1]
+    kept = [(r[0], r[1]) for r in found[0][1]]
+    assert (3, text) in kept and (2, text + " and more") in kept and sum(i is None for i, _ in kept) == 1 and len(kept) == 3
+
+
+def test_one_row_of_a_case_tie(spark):
+    docs = spark.createDataFrame([(1, "B b"), (1, "b B"), (1, "b b")], "doc_id long, text string")
+    for order in (docs, docs.orderBy("text"), docs.orderBy("text", ascending=False)):
+        assert [tuple(r) for r in corpus_pipeline.exact_dedup(spark, order.coalesce(1), "").collect()] == [(1, "B b")]
+
+
 def brute_pieces(rows):
     """Plain Python for the stages after language ID: (doc_id, text) to rows of pieces, and how many documents each stage leaves."""
     import itertools
