@@ -1,21 +1,26 @@
 """Main-text extraction by wrapper induction.
 
-Pages of a host are parsed into trees of blocks and folded, by simple tree matching, into one template tree:
-runs of like siblings become one repeated node.  Then every page is aligned with its host's template and the texts of each
-template node are counted exactly, a text once for each distinct page body.  Texts that stay the same are template; slots whose
-text varies are content.  The content roots are the template nodes that hold the varying, unlinked text outside of page furniture
-(menus, page headers, footers, sidebars, notices, adverts, forms, comments, by element and by words in class, id
-and role): one for each layout or sibling that has some.  A page gives what its nodes have under the roots; nodes that the
+Pages of a host are parsed into trees of blocks; runs of like siblings become one repeated node.  The distinct trees of a host are
+folded, by simple tree matching, into one template tree, in an order that their content alone decides.  Then every page is aligned with its
+host's template and the texts of each template node are counted exactly, a text once for each distinct page body.  Texts that stay
+the same are template; slots whose text varies are content.  The content roots are the template nodes that hold varying,
+unlinked text: one for each layout or sibling that has some.  A page gives what its nodes have under the roots; nodes that the
 template does not have vary by definition, and a page without text under a root gives all its varying slots.
 
-Templates fold per task, then per host and salt, then per host, so a host with a third of all pages sends one
-small row a task.  A template is bounded: rare nodes go beyond MOST_NODES (they are not constant anyway).
+A text is constant where the share of the slot's bodies that have it is over one half, by Wilson's lower bound at 95%:
+one rule for slots with few and with many bodies (all of 3, 14 of 20, 527 of 1000).
 
-The elements article and main decide one thing: below them a text is constant from 95% of 20 bodies on and linked blocks
-stay, elsewhere it is constant from 60% of 3 bodies on and blocks that are mostly links go.
+Page furniture: the elements nav, aside, footer, form and their like are never content.  Elsewhere words of class, id and role may name
+it.  Outside of the content roots any word of a name counts (class="site-notice"), and so does the element header, unless an h1 that differs between
+pages lies in it.
+Under a root only a whole name counts, and only of a container (class="comments", not class="comments-policy", and no paragraph).
+
+A node that fewer than two pages, or fewer than one in a thousand of the host's, have is not in the template: with each node on that share,
+a template has at most a thousand times the nodes of an average page.  Elements nested deeper than DEEPEST are not nodes of
+their own; their text stays where it is, in blocks.
 
 Nulls: null html is empty text; pages without a url are one host.  A host with one page has nothing to compare, so
-only furniture is dropped; so it is if all its pages are copies of one.
+only furniture is dropped; so it is if all its pages are copies of one.  Long pages are read whole.
 Repeated rows get equal values.  Empty table: empty result.  Other columns are ignored.
 """
 
@@ -24,7 +29,10 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,25 +41,30 @@ from pyspark.sql import functions as F
 
 from glasshouse.llm.common import steps, strings, written
 
-MOST_NODES = 2000
-SALTS = 64
+RARE = 0.001  # share of a host's pages below which a node is not in the template
+FOLD = 500  # trees that one task folds
+DEEPEST = 256  # levels of a tree
 BROADCAST_BYTES = 32 << 20  # templates are broadcast up to this measured size
-CONSTANT = {True: (0.95, 20), False: (0.6, 3)}  # share of the bodies, and least bodies, of a constant text: below article or main, elsewhere
+Z = 1.6448536269514722  # of a one-sided 95% bound
 BODY_WORDS = 8  # texts of so many words make a page's body (all texts if none has them)
+NOT, NAMED, WHOLE, ELEMENT = range(4)  # furniture: none, by a word of a name (or header), by a whole name, by the element
 
 # Fixed values of HTML: elements by how they lay out or end.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("iframe math noembed noframes noscript object script style svg template textarea title xmp audio video canvas".split())
+RAW = set("iframe noembed noframes noscript object script style svg template textarea title xmp audio video canvas".split())
 CLOSES_P = BLOCKS - {"body", "caption", "head", "html", "option", "optgroup", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
 # Furniture: elements, and words of class, id and role.
 FURNITURE = set("nav footer aside form head menu dialog select option button fieldset legend".split())
 FURNITURE_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header"
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright disqus footer form gdpr header"
     " login masthead menu menubar modal nav navbar navigation navigational newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies"
-    " respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert cta".split()
+    " respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets alert cta".split()
 )
+# Of these, names of parts that an article has too.
+PARTS = set("header banner masthead topbar".split())
+RUNNING = set("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote html body main".split())  # elements that a whole name does not make furniture
 # Words that only say how a page is laid out, and words of content containers.
 MODIFIERS = set("has with no without is js".split())
 LAYOUT = set("layout page wrapper grid".split())
@@ -63,10 +76,11 @@ _ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "label", "furniture", "items", "up", "linked", "template")
+    __slots__ = ("tag", "label", "kind", "items", "up", "depth", "linked", "template")
 
-    def __init__(self, tag: str, label: str, furniture: bool, up: Node | None):
-        self.tag, self.label, self.furniture, self.up = tag, label, furniture, up
+    def __init__(self, tag: str, label: str, kind: int, up: Node | None):
+        self.tag, self.label, self.kind, self.up = tag, label, kind, up
+        self.depth = up.depth + 1 if up is not None else 0
         self.items: list = []  # texts and nodes in page order
         self.linked = 0  # characters inside links
         self.template: Template | None = None
@@ -75,10 +89,11 @@ class Node:
         return [x for x in self.items if isinstance(x, Node)]
 
 
-def _marks(tag: str, attributes: str, inside_content: bool) -> tuple[str, bool]:
-    """The label by which nodes are aligned, and whether the element is page furniture."""
+def _marks(tag: str, attributes: str) -> tuple[str, int]:
+    """The label by which nodes are aligned, and the kind of page furniture that the element is."""
+    plain = ELEMENT if tag in FURNITURE else NAMED if tag == "header" else NOT
     if not attributes.strip():
-        return tag, tag in FURNITURE or tag == "header" and not inside_content
+        return tag, plain
     words: list[str] = []
     hidden = False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -88,20 +103,28 @@ def _marks(tag: str, attributes: str, inside_content: bool) -> tuple[str, bool]:
         elif name.lower() != "itemprop":
             words += value.split()
     label = tag + "".join("." + re.sub(r"\d+", "0", w) for w in words[:3])
+    if hidden or plain == ELEMENT:
+        return label, ELEMENT
+    whole = FURNITURE_WORDS.intersection(words) - PARTS
+    if tag == "article":
+        return label, WHOLE if whole & {"comment", "ad", "advert", "promo", "related", "sponsored"} else NOT
+    if tag in ("html", "body", "main"):
+        return label, NOT
+    if whole and tag not in RUNNING:
+        return label, WHOLE
     parts = [p for w in words if (p := [x for x in _SPLIT.split(w) if x])]
     marked = [p for p in parts if p[0] not in MODIFIERS and p[-1] not in LAYOUT and FURNITURE_WORDS.intersection(p)]
     # a container of content stays if furniture is only named in passing: class="content sidebar-left"
     if marked and any(p[-1] in CONTENT_WORDS and p not in marked for p in parts):
         marked = [p for p in marked if p[-1] in FURNITURE_WORDS]
-    found = {x for p in marked for x in p}
-    bad = bool(found) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(found & {"comment", "ad", "advert", "promo", "related", "sponsored"})
-    return label, hidden or bad or tag in FURNITURE or tag == "header" and not inside_content
+    return label, NAMED if marked else plain
 
 
 def parse(page: str) -> Node:
     """The tree of blocks; inline elements leave only their text."""
-    root = here = Node("#", "#", False, None)
-    at, links, content = 0, 0, 0
+    root = here = Node("#", "#", NOT, None)
+    at, links = 0, 0
+    deep: list[str] = []  # open elements below the deepest level
 
     def text(piece: str) -> None:
         if piece:
@@ -113,14 +136,9 @@ def parse(page: str) -> Node:
                 here.items.append(piece)
 
     def close(node: Node) -> None:
-        nonlocal here, content
-        while True:
-            done = here
-            here = here.up or root
-            if done.tag in ("article", "main"):
-                content -= 1
-            if done is node:
-                return
+        nonlocal here
+        deep.clear()
+        here = node.up or root
 
     def open_(tags: set[str], until: set[str]) -> Node | None:
         n = here
@@ -146,6 +164,10 @@ def parse(page: str) -> Node:
         if m[1] or m[4]:
             if tag == "a":
                 links = max(0, links - 1)
+            elif deep and tag in deep:
+                while deep.pop() != tag:
+                    pass
+                text("\n")
             elif tag in BLOCKS or tag in ("span", "b", "i", "strong", "em", "button", "label"):
                 n = open_({tag}, {"table", "td"} - {tag} if tag not in ("table", "tr", "tbody", "body", "html", "article", "main", "div", "section") else set())
                 if n is not None:
@@ -164,19 +186,22 @@ def parse(page: str) -> Node:
         if tag == "a":
             links += 1
         block = tag in BLOCKS
+        if here.depth >= DEEPEST:
+            if block:
+                deep.append(tag)
+                text("\n")
+            continue
         if block:
             if tag in CLOSES_P and (n := open_({"p"}, {"table", "td", "li", "button"})) is not None:
                 close(n)
                 links = 0
             if tag in ENDS and (n := open_(*ENDS[tag])) is not None:
                 close(n)
-        label, furniture = _marks(tag, attributes, content > 0)
-        if block or furniture:
-            child = Node(tag, label, furniture, here)
+        label, kind = _marks(tag, attributes)
+        if block or kind > NAMED:
+            child = Node(tag, label, kind, here)
             here.items.append(child)
             here = child
-            if tag in ("article", "main"):
-                content += 1
     return root
 
 
@@ -192,43 +217,43 @@ def _digest(piece: str) -> int:
 
 
 class Template:
-    """A node of a host's template: pages that had it and, once texts are counted, its bodies, constant texts and varying characters."""
+    """A node of a host's template and, once texts are counted, its constant texts and varying characters."""
 
-    __slots__ = ("label", "furniture", "pages", "children", "at", "marked", "constant", "varying", "root")
+    __slots__ = ("label", "kind", "children", "at", "constant", "varying", "differs", "root")
 
-    def __init__(self, label: str, furniture: bool):
-        self.label, self.furniture, self.pages = label, furniture, 0
+    def __init__(self, label: str, kind: int):
+        self.label, self.kind = label, kind
         self.children: list[Template] = []
-        self.at, self.marked, self.root = -1, False, False  # place in the template, below article or main, content root
+        self.at, self.differs, self.root = -1, False, False  # place in the template, no text on most of two bodies or more, content root
         self.constant: set[int] = set()
         self.varying = 0  # characters of unlinked texts that are not constant
 
     def pack(self) -> list:
-        return [self.label, self.furniture, self.pages, [c.pack() for c in self.children]]
+        return [self.label, self.kind, [c.pack() for c in self.children]]
 
     @classmethod
     def unpack(cls, x: list) -> Template:
         t = cls(x[0], x[1])
-        t.pages, t.children = x[2], [cls.unpack(c) for c in x[3]]
+        t.children = [cls.unpack(c) for c in x[2]]
         return t
 
-    def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children)
-
 
 class Group:
     """Like siblings of a page, as the one repeated node that they are in the template."""
 
-    __slots__ = ("label", "furniture", "members", "children")
+    __slots__ = ("label", "kind", "members", "children")
 
     def __init__(self, members: list[Node]):
-        self.label, self.furniture, self.members = members[0].label, members[0].furniture, members
+        self.label, self.kind, self.members = members[0].label, members[0].kind, members
         merged: list[Group] = []
         for m in members:
             own = [Group(run) for run in _runs(m.nodes())]
             merged = own if not merged else _merge_groups(merged, own)
         self.children = merged
 
+    def pack(self) -> list:
+        return [self.label, self.kind, [c.pack() for c in self.children]]
+
 
 def _runs(nodes: list[Node]) -> list[list[Node]]:
     out: list[list[Node]] = []
@@ -291,23 +316,8 @@ def own_texts(node: Node) -> list[str]:
     return [t for x in node.items if isinstance(x, str) and (t := clean(x))]
 
 
-def fold(t: Template, g: Group) -> None:
-    """Adds a page's tree to the template."""
-    t.pages += 1
-    children = []
-    for x, y in match(t.children, g.children):
-        if y is None:
-            children.append(x)
-            continue
-        own = x if x is not None else Template(y.label, y.furniture)
-        fold(own, y)
-        children.append(own)
-    t.children = children
-
-
 def join(t: Template, other: Template) -> None:
-    """Adds another template of the same host."""
-    t.pages += other.pages
+    """Adds another tree of the same host to a template."""
     children = []
     for x, y in match(t.children, other.children):
         if x is not None and y is not None:
@@ -316,18 +326,26 @@ def join(t: Template, other: Template) -> None:
     t.children = children
 
 
-def prune(t: Template) -> None:
-    """Keeps a template bounded: raises the share of pages that a node needs until it is small enough."""
-    share = 0.001
-    while t.size() > MOST_NODES and share < 1:
+def paths(packed: list, above: str = "") -> Iterator[str]:
+    """The labels from the root down to each node; a node stands for all that have the same."""
+    here = f"{above}/{packed[0]}"
+    yield here
+    for c in packed[2]:
+        yield from paths(c, here)
 
-        def keep(n: Template, least: float) -> None:
-            n.children = [c for c in n.children if c.pages >= least]
-            for c in n.children:
-                keep(c, least)
 
-        keep(t, share * t.pages)
-        share *= 2
+def common_part(packed: list, known: set[str], above: str = "") -> list:
+    """A tree without the nodes that the template does not take; siblings that then stand side by side are one."""
+    here = f"{above}/{packed[0]}"
+    merged: list[Template] = []
+    for c in packed[2]:
+        if f"{here}/{c[0]}" in known:
+            own = Template.unpack(common_part(c, known, here))
+            if merged and merged[-1].label == own.label:
+                join(merged[-1], own)
+            else:
+                merged.append(own)
+    return [packed[0], packed[1], [t.pack() for t in merged]]
 
 
 def align(t: Template, g: Group) -> None:
@@ -342,57 +360,64 @@ def align(t: Template, g: Group) -> None:
 # --- the wrapper ---
 
 
-def numbered(t: Template, marked: bool = False) -> list[Template]:
-    """The nodes of a template in order; each knows its place and whether it is below article or main."""
-    out: list[Template] = []
-
-    def walk(n: Template, marked: bool) -> None:
-        n.at, n.marked = len(out), marked or n.label.split(".")[0] in ("article", "main")
-        out.append(n)
+def numbered(t: Template) -> list[Template]:
+    """The nodes of a template in order; each knows its place."""
+    out = [t]
+    t.at = 0
+    for n in out:
         for c in n.children:
-            walk(c, n.marked)
-
-    walk(t, marked)
+            c.at = len(out)
+            out.append(c)
     return out
 
 
-def visible(n: Node, marked: bool = False) -> Iterator[Node]:
-    """The nodes outside of furniture whose texts can be content: below article or main all, elsewhere those that are not mostly links."""
-    if n.furniture:
-        return
-    marked = marked or n.tag in ("article", "main")
-    if marked or n.linked * 2 <= sum(len(x) for x in n.items if isinstance(x, str)):
-        yield n
-    for c in n.nodes():
-        yield from visible(c, marked)
-
-
 def slots(root: Node) -> tuple[int, dict[int, dict[int, int]]]:
-    """The digest of an aligned page's body; its template nodes with their texts and the texts' lengths."""
+    """The digest of an aligned page's body; its template nodes with their texts and the texts' lengths (0 in blocks that are mostly links)."""
     found: dict[int, dict[int, int]] = {}
     texts: list[str] = []
-    for n in visible(root):
+    todo = [(root, False)]
+    while todo:
+        n, named = todo.pop()
+        if n.kind == ELEMENT:
+            continue
+        named = named or n.kind != NOT
         own = own_texts(n)
-        texts += own
+        if not named:
+            texts += own
         if n.template is not None:
-            found.setdefault(n.template.at, {}).update((_digest(x), len(x)) for x in own)
+            free = n.linked * 2 <= sum(len(x) for x in n.items if isinstance(x, str))
+            found.setdefault(n.template.at, {}).update((_digest(x), len(x) if free else 0) for x in own)
+        todo += [(c, named) for c in reversed(n.nodes())]
     return _digest("\n".join([x for x in texts if x.count(" ") >= BODY_WORDS - 1] or texts)), found
 
 
-def _content(t: Template) -> int:
-    """Varying, unlinked characters below a template node, without furniture."""
-    return 0 if t.furniture else t.varying + sum(map(_content, t.children))
+def constant(n: int, bodies: int) -> bool:
+    """Whether a text on n of a slot's bodies is on more than half of such bodies, by Wilson's lower bound."""
+    p = n / bodies
+    return (p + Z * Z / (2 * bodies) - Z * math.sqrt(p * (1 - p) / bodies + Z * Z / (4 * bodies * bodies))) / (1 + Z * Z / bodies) > 0.5
+
+
+def _headline(t: Template) -> bool:
+    """Whether an h1 that differs between pages lies in a node, outside of other furniture."""
+    return any(c.kind < WHOLE and (c.label.split(".")[0] == "h1" and c.differs or _headline(c)) for c in t.children)
+
+
+def _content(t: Template, named: bool) -> int:
+    """Varying, unlinked characters below a template node, without furniture; with `named`, named parts count."""
+    if t.kind > NAMED or t.kind == NAMED and not named and not _headline(t):
+        return 0
+    return t.varying + sum(_content(c, named) for c in t.children)
 
 
-def content_roots(t: Template) -> list[Template]:
-    """The template nodes that hold the host's content: the deepest ones that have varying text of their own or most of theirs in paragraphs, on every branch."""
-    total = _content(t)
+def content_roots(t: Template, named: bool = False) -> list[Template]:
+    """The template nodes that hold the host's content: the deepest ones that have varying text of their own or a fifth of theirs in paragraphs, on every branch."""
+    total = _content(t, named)
     if not total:
         return []
-    paragraphs = sum(_content(c) for c in t.children if c.label.split(".")[0] in ("p", "h1", "h2", "h3", "li", "pre", "td"))
+    paragraphs = sum(_content(c, named) for c in t.children if c.label.split(".")[0] in ("p", "h1", "h2", "h3", "li", "pre", "td"))
     if t.varying or paragraphs > 0.2 * total:
         return [t]
-    return [r for c in t.children for r in content_roots(c)]
+    return [r for c in t.children for r in content_roots(c, named)]
 
 
 def wrapper(packed: str) -> Template:
@@ -402,11 +427,11 @@ def wrapper(packed: str) -> Template:
     nodes = numbered(t)
     for s in x.get("slots", ()):
         n = nodes[s["slot"]]
-        share, least = CONSTANT[n.marked]
-        found = [c for c in s["often"] if s["bodies"] >= least and c["n"] >= share * s["bodies"]]
+        found = [c for c in s["often"] if constant(c["n"], s["bodies"])]
         n.constant = {c["text"] for c in found}
         n.varying = s["chars"] - sum(c["chars"] for c in found)
-    for r in content_roots(t):
+        n.differs = s["bodies"] > 1 and not s["often"]
+    for r in content_roots(t) or content_roots(t, True):
         r.root = True
     return t
 
@@ -415,19 +440,27 @@ def extract(page: str, template: Template) -> str:
     """The page's content slots, in page order."""
     root = parse(page)
     align(template, Group([root]))
-    seen = {id(n) for n in visible(root)}
-
-    def walk(n: Node, inside: bool) -> Iterator[str]:
-        if n.furniture:
-            return
-        inside = inside or n.template is None or n.template.root
-        for x in n.items:
-            if isinstance(x, Node):
-                yield from walk(x, inside)
-            elif inside and id(n) in seen and (piece := clean(x)) and not (n.template is not None and n.template.constant and _digest(piece) in n.template.constant):
-                yield piece
 
-    return " ".join(walk(root, False)) or " ".join(walk(root, True))  # all varying slots if nothing of this page is under a root
+    def texts(everywhere: bool, named: bool) -> Iterator[str]:
+        todo: list = [(root, False, False)]
+        while todo:
+            x, inside, under = todo.pop()
+            if isinstance(x, str):
+                if piece := clean(x):
+                    yield piece
+                continue
+            chosen = x.template is not None and x.template.root
+            under = under or chosen
+            if x.kind > NAMED or x.kind == NAMED and not (under or named):
+                continue
+            inside = inside or chosen or x.template is None
+            known = x.template.constant if x.template is not None else ()
+            todo += [(i, inside, under) for i in reversed(x.items) if isinstance(i, Node) or (inside or everywhere) and not (known and _digest(clean(i)) in known)]
+
+    for everywhere, named in ((False, False), (True, False), (True, True)):  # all varying slots if nothing of this page is under a root
+        if found := " ".join(texts(everywhere, named)):
+            return found
+    return ""
 
 
 # --- on columns ---
@@ -437,47 +470,87 @@ def _host(url: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)", 1), F.lit("")))
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host and template (JSON), from every page: pages(host, html)."""
+def _small(table: DataFrame) -> DataFrame:
+    """A table for a join on the host: broadcast if its measured size allows, else Spark splits hot hosts."""
+    size = table.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")).cast("long"), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Template] = {}
+
+def induce(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """host and template (JSON), from every page: pages(host, html).  The same whatever the partitions and the order of the pages."""
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(20_000)
+        known: Counter = Counter()
 
         def rows() -> pa.RecordBatch:
-            for t in known.values():
-                prune(t)
-            out = pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(t.pack()) for t in known.values()], pa.string())], names=["host", "template"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[i] for k in known], pa.string()) for i in range(2)] + [pa.array(list(known.values()), pa.int64())], names=["host", "template", "n"])
             known.clear()
             return out
 
         for b in steps(batches, "html", 1 << 20):
             for host, page in zip(b.column("host").to_pylist(), strings(b.column("html")).to_pylist(), strict=True):
-                t = known.setdefault(host, Template("#", False))
-                fold(t, Group([parse(page)]))
-                if t.pages % 256 == 0:
-                    prune(t)
+                known[host, json.dumps(Group([parse(page)]).pack(), separators=(",", ":"))] += 1
             if len(known) > 2000:
                 yield rows()
         yield rows()
 
+    found = pages.mapInArrow(shapes, "host string, template string, n long").groupBy("host", "template").agg(F.sum("n").alias("n"))
+    found = written(spark, found, "shapes")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(20_000)
+        for b in batches:
+            count: Counter = Counter()
+            for host, packed, n in zip(*(b.column(c).to_pylist() for c in ("host", "template", "n")), strict=True):
+                for p in set(paths(json.loads(packed))):
+                    count[host, p] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in count], pa.string()) for i in range(2)] + [pa.array(list(count.values()), pa.int64())], names=["host", "path", "n"])
+
+    nodes = found.mapInArrow(of, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+    # the root's path is on every page; a known path is on RARE of them, so a host has a bounded list
+    total = F.max(F.when(F.col("path") == "/#", F.col("n")))
+    often = nodes.join(nodes.groupBy("host").agg(total.alias("total")), "host").where((F.col("path") == "/#") | (F.col("n") >= F.greatest(F.least(F.lit(2), F.col("total")), F.col("total") * RARE)))
+    known_paths = written(spark, often.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("path"))).alias("template")), "paths")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(20_000)
+        sets: dict[str, set[str]] = {}
+        for b in batches:
+            out = []
+            for packed, known in zip(b.column("shape").to_pylist(), b.column("template").to_pylist(), strict=True):
+                if known not in sets:
+                    if len(sets) > 500:
+                        sets.clear()
+                    sets[known] = set(json.loads(known))
+                out.append(json.dumps(common_part(json.loads(packed), sets[known]), separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.string())], names=["host", "template"])
+
+    pruned = found.select("host", F.col("template").alias("shape")).join(_small(known_paths), "host").select("host", "shape", "template").mapInArrow(prune, "host string, template string").distinct()
+
     def merge(table: pa.Table) -> pa.Table:
-        packed = sorted(table.column("template").to_pylist())  # the same order whatever the order of arrival
+        sys.setrecursionlimit(20_000)
+        packed = sorted(table.column("template").to_pylist(), key=lambda x: (len(x), x))  # by content, not by arrival
         t = Template.unpack(json.loads(packed[0]))
         for p in packed[1:]:
             join(t, Template.unpack(json.loads(p)))
-            prune(t)
-        return pa.table({"host": table.column("host")[:1], "salt": table.column("salt")[:1], "template": [json.dumps(t.pack())]})
+        return pa.table({"host": table.column("host")[:1], "template": [json.dumps(t.pack(), separators=(",", ":"))]})
 
-    schema = "host string, salt long, template string"
-    salted = pages.mapInArrow(partial, "host string, template string").withColumn("salt", F.pmod(F.xxhash64("template"), F.lit(SALTS)))
-    some = salted.groupBy("host", "salt").applyInArrow(merge, schema).withColumn("salt", F.lit(0).cast("long"))
-    return some.groupBy("host").applyInArrow(merge, schema).select("host", "template")
+    while True:
+        pruned = written(spark, pruned, "trees")
+        count = pruned.groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+        if (count.agg(F.max("of")).first()[0] or 0) <= FOLD:
+            return pruned.groupBy("host").applyInArrow(merge, "host string, template string")
+        # about half of FOLD trees a group, dealt by their content
+        dealt = pruned.join(count, "host").withColumn("salt", F.pmod(F.xxhash64("template"), F.ceil(F.col("of") * 2 / FOLD).cast("long")))
+        pruned = dealt.select("host", "salt", "template").groupBy("host", "salt").applyInArrow(merge, "host string, template string").distinct()
 
 
 def counted(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """host and slots (places in the template with their bodies, characters and frequent texts): pages(host, html, template)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(20_000)
         known: dict[str, Template] = {}
         for b in steps(batches, "html", 1 << 20):
             out: list[tuple] = []
@@ -501,9 +574,8 @@ def counted(spark: SparkSession, pages: DataFrame) -> DataFrame:
     texts = written(spark, once.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "texts")
     itself = F.col("text") == 0
     sums = texts.groupBy("host", "slot").agg(F.max(F.when(itself, F.col("n"))).alias("bodies"), F.sum("chars").alias("chars"))
-    share, least = map(min, zip(*CONSTANT.values(), strict=True))
-    often = texts.where(~itself & (F.col("n") >= share * least)).select("host", "slot", F.struct("text", "n", "chars").alias("c"))
-    often = often.join(sums.select("host", "slot", "bodies"), ["host", "slot"]).where(F.col("c.n") >= share * F.col("bodies")).groupBy("host", "slot").agg(F.sort_array(F.collect_list("c")).alias("often"))
+    often = texts.where(~itself & (F.col("n") >= 2)).select("host", "slot", F.struct("text", "n", "chars").alias("c"))
+    often = often.join(sums.select("host", "slot", "bodies"), ["host", "slot"]).where(F.col("c.n") * 2 > F.col("bodies")).groupBy("host", "slot").agg(F.sort_array(F.collect_list("c")).alias("often"))
     slot = F.struct("slot", "bodies", "chars", F.coalesce("often", F.array().cast(often.schema["often"].dataType)).alias("often"))
     return sums.join(often, ["host", "slot"], "left").groupBy("host").agg(F.sort_array(F.collect_list(F.to_json(slot))).alias("slots"))
 
@@ -513,16 +585,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host("url").alias("host"))
     spark = pages.sparkSession
 
-    def small(table: DataFrame) -> DataFrame:
-        size = table.agg(F.coalesce(F.sum(F.octet_length("template") + F.octet_length("host")).cast("long"), F.lit(0))).first()[0]
-        return F.broadcast(table) if size <= BROADCAST_BYTES else table  # else a join on the host, whose hot hosts Spark splits
-
-    templates = written(spark, induce(rows.select("host", "html")), "templates")
-    texts = counted(spark, rows.join(small(templates), "host", "inner").select("host", "html", "template"))
+    templates = written(spark, induce(spark, rows.select("host", "html")), "templates")
+    texts = counted(spark, rows.join(_small(templates), "host", "inner").select("host", "html", "template"))
     both = F.concat(F.lit('{"template":'), F.col("template"), F.lit(',"slots":['), F.array_join(F.coalesce("slots", F.array().cast("array<string>")), ","), F.lit("]}"))
     wrappers = written(spark, templates.join(texts, "host", "left").select("host", both.alias("template")), "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(20_000)
         known: dict[str, Template] = {}
         for b in steps(batches, "html", 1 << 20):
             texts = []
@@ -535,4 +604,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(extract(page, t))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(small(wrappers), "host", "inner").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(_small(wrappers), "host", "inner").select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -331,3 +331,55 @@ def test_html_constant_lines_are_counted_exactly(spark):
     line = "Read more of this in our printed edition"
     got = extracted(spark, ["<article>" + "".join(f"<p>{words(100 * n + i)}</p>" for i in range(15)) + f"<p>{line}</p></article>" for n in range(60)])
     assert got == [" ".join(words(100 * n + i) for i in range(15)) for n in range(60)]
+
+
+INNER = '<div class="entry-header"><h1>Head {w}</h1></div><section class="comments-policy"><p>Policy {w}</p></section><p class="promo-code">Code {w}</p><div class="share-price">Price {w}</div><p><a href="/x">Linked {w}</a></p><math><mi>{w}</mi></math><header>Part {w}</header><p>{long}</p>'
+
+
+@pytest.mark.parametrize("box", ["<article>{}</article>", '<div class="post">{}</div>', "<div>{}</div>"])
+def test_html_keeps_what_an_article_names_like_furniture(spark, box):
+    """Headings, policies, codes, prices, linked paragraphs and formulas of an article stay; whole names, notices and comments go."""
+    outer = '<div class="site-notice"><p>Notice {w}</p></div>{box}<div class="comments-area"><h2>{w}</h2><p>Says {w}</p></div>'
+    pages = []
+    for n in range(12):
+        inner = INNER.replace("{w}", words(1000 + n, 2)).replace("{long}", words(n, 40)) + f'<div class="advert">Buy {n}</div><div class="comments"><p>Own {n}</p></div><form>Mail {n}</form>'
+        pages.append(outer.replace("{w}", words(2000 + n, 2)).replace("{box}", box.format(inner)))
+    want = [" ".join([f"{x} {words(1000 + n, 2)}".strip() for x in ("Head", "Policy", "Code", "Price", "Linked", "", "Part")] + [words(n, 40)]) for n in range(12)]
+    assert extracted(spark, pages) == want
+
+
+def test_html_headline_beside_the_content(spark):
+    """A heading that differs between pages is content in any header; one that is the same on all is not (PAGE has one)."""
+    got = extracted(spark, [f'<div class="entry"><div class="entry-header"><h1>{words(n, 3)}</h1></div><div class="entry-content"><p>{words(n + 50, 30)}</p></div></div>' for n in range(9)])
+    assert got == [f"{words(n, 3)} {words(n + 50, 30)}" for n in range(9)]
+
+
+def test_html_is_the_same_under_any_partitioning(spark, monkeypatch):
+    """Irregular pages in other orders and partitions, folded in one step or in several."""
+    r = random.Random(6)
+    rows = []
+    for n in range(120):
+        parts = [r.choice([f"<p>{words(n * 50 + k)}</p>", f'<div class="box{r.choice("abcdef")}"><h2>{words(k, 2)}</h2><ul><li>{words(n + k, 4)}</ul></div>', "<table><tr><td>Same cell</table>", f"<section><p>{words(n, 5)}</p></section>"]) for k in range(r.randint(1, 7))]
+        rows.append((n, f"https://h{n % 2}.com/x", PAGE.format(n=n, main="".join(parts))))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = {tuple(x) for x in html_extract.main_text(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(html_extract, "FOLD", 1000)
+    assert one == {tuple(x) for x in html_extract.main_text(docs.orderBy(docs.page_id.desc()).repartition(7)).collect()}
+    monkeypatch.setattr(html_extract, "FOLD", 8)
+    many = {tuple(x) for x in html_extract.main_text(docs.repartition(3)).collect()}
+    assert many == {tuple(x) for x in html_extract.main_text(docs.coalesce(1)).collect()} and len(many) == 120 and sum(len(x[2]) > 10 for x in many) > 100
+
+
+def test_html_deep_and_long_pages(spark):
+    """Ten thousand levels, unclosed or not, and two million characters."""
+    deep = "<div>" * 10_000 + "<p>Deep text</p>" + "</div>" * 10_000 + "<p>After it</p>"
+    open_ = "<section><div>" * 5_000 + "Open text"
+    long = "".join(f"<p>{words(n)}</p>" for n in range(20_000))
+    got = extracted(spark, [deep, f"<p>{open_}", f"<article>{long}</article>"])
+    assert got[0].startswith("Deep text After it") and "Open text" in got[1] and got[2] == " ".join(words(n) for n in range(20_000))
+
+
+def test_html_constant_is_one_rule():
+    """By Wilson's lower bound, for any number of bodies."""
+    least = {m: min(n for n in range(1, m + 1) if html_extract.constant(n, m)) for m in (3, 4, 20, 1000, 100_000)}
+    assert least == {3: 3, 4: 4, 20: 14, 1000: 527, 100_000: 50_261} and not html_extract.constant(2, 2)
