@@ -112,6 +112,10 @@ FOREIGN_WORDS = (
 ).split()
 OWN_WORDS = r"o|a|os|as|de|da|do|dos|das|que|para|com|seu|sua|seus|suas|voc[êe]|n[óo]s|dados|informa[çc][õo]es|privacidade|pol[íi]tica|pode|podem|ser[áa]|em|ao|pelo|pela|nao|n[ãa]o|uma|um|seja"
 ITEM_MARK = r"^(?:\(\s*(?:[ivxlcdm]{1,5}|[a-zA-Z]|\d+)\s*\)|[a-z]\)|[a-z]\.|\d+(?:\.\d+)*[.)]|[IVXLCDM]{1,5}\.)(?:\s|$)"
+# Upper-case letters that begin a sentence, and the bracketed item marks at which a text is split.
+UPPER = "A-ZÀ-Ú"
+BRACKET_MARK = r"\((?:[IVXivx]{1,5}|[A-Za-z])\)"
+# Least segment, least text for the language ratio, the ratio, repeats of a page line, longest line that can recur.
 MIN_SEGMENT, MIN_LANGUAGE, LANGUAGE_RATIO, PAGE_REPEATS, MAX_RECURRENT = 20, 400, 1.4, 3, 150
 
 # Personal data.

@@ -13,7 +13,6 @@ from glasshouse.functions import lexicon as L
 _ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 _MARK = "\u0001"
-_UPPER = "A-ZÀ-Ú"
 
 
 def replace_all(col: Column, *pairs: tuple[str, str]) -> Column:
@@ -68,11 +67,11 @@ def sentences(block: Column) -> Column:
     marked = replace_all(
         block,
         (rf"(?iuU)\b({words})\.", rf"$1{_MARK}"),
-        (rf"(?U)\b([{_UPPER}])\.", rf"$1{_MARK}"),
+        (rf"(?U)\b([{L.UPPER}])\.", rf"$1{_MARK}"),
         (r"(\d)\.(?=\d)", rf"$1{_MARK}"),
-        (rf"(?<=[.!?;:])\s+(?=[{_UPPER}])", "\n"),
-        (rf"\s+(?=\d+(?:{_MARK}\d+)*[).]\s+[{_UPPER}])", "\n"),
-        (r"\s+(?=\((?:[ivxlcdm]{1,5}|[a-z])\)\s)", "\n"),
+        (rf"(?<=[.!?;:])\s+(?=[{L.UPPER}])", "\n"),
+        (rf"\s+(?=\d+(?:{_MARK}\d+)*[).]\s+[{L.UPPER}])", "\n"),
+        (rf"\s+(?={L.BRACKET_MARK}\s)", "\n"),
     )
     return F.filter(F.transform(F.split(F.replace(marked, F.lit(_MARK), F.lit(".")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -83,6 +82,20 @@ def segments(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(F.col(key), F.posexplode(flat).alias("idx", "text"))
 
 
+def segments_of_sites(pages: DataFrame, key: str, html: str, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """key, idx, text: the sentences of the pages in the own language; and the keys of the pages that were left out.
+
+    `keep` decides on the joined blocks of a page (column `body`); all pages stay if it is a true literal."""
+    blocks = pages.select(key, html_blocks(F.coalesce(F.col(html), F.lit(""))).alias("blocks")).withColumn("body", F.array_join("blocks", " "))
+    own = is_own_language(F.col("body")) if keep is None else keep
+    return blocks.where(own).select(key, F.posexplode(F.flatten(F.transform("blocks", sentences))).alias("idx", "text")), blocks.where(~own).select(key)
+
+
+def segments_of_parts(docs: DataFrame, key: str, parts: str = "parts") -> DataFrame:
+    """key, idx, text: the sentences of rebuilt parts (the text layer of PDF documents)."""
+    return docs.select(key, F.posexplode(F.flatten(F.transform(parts, sentences))).alias("idx", "text"))
+
+
 def useful(segs: DataFrame, key: str, least: int = L.MIN_SEGMENT) -> DataFrame:
     """Adds is_useful: long enough and the first of its text within the key."""
     place = F.row_number().over(Window.partitionBy(key, "text").orderBy("idx"))
@@ -90,9 +103,9 @@ def useful(segs: DataFrame, key: str, least: int = L.MIN_SEGMENT) -> DataFrame:
 
 
 def offsets(segs: DataFrame, key: str) -> DataFrame:
-    """Character intervals of non-empty segments in the document that joins them by one character."""
+    """Character intervals of the segments in the normalised document, which joins the non-empty ones by one character."""
     before = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.char_length("text")
+    size = F.char_length(normalise(F.col("text")))
     rows = segs.where(size > 0).withColumn("begin", F.coalesce(F.sum(size + 1).over(before), F.lit(0)))
     return rows.withColumn("end", F.col("begin") + size)
 
@@ -119,12 +132,23 @@ def terms(text: Column, most: int = 3) -> Column:
 
     def grams(words: Column, n: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(words) >= n, F.transform(places, lambda i: F.concat_ws(" ", *[F.get(words, i - 1 + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
     # bound to a lambda's variable, the tokens are found once and not again for every n-gram
     return F.transform(F.array(tokens), lambda words: F.concat(words, *[grams(words, n) for n in range(2, most + 1)]))[0]
 
 
+def counted(words: Column) -> Column:
+    """Distinct words of an array with their counts, as structs (term, n): sorted once, then cut where the word changes."""
+
+    def cut(ordered: Column) -> Column:
+        last = F.size(ordered) - 1
+        ends = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (last >= 0) & ((i == last) | (F.get(ordered, i) != F.get(ordered, i + 1))))
+        return F.transform(F.array(ends), lambda e: F.transform(e, lambda i, k: F.struct(F.get(ordered, i).alias("term"), (i - F.coalesce(F.get(e, k - 1), F.lit(-1))).cast("long").alias("n"))))[0]
+
+    return F.transform(F.array(F.sort_array(words)), cut)[0]
+
+
 def mask_email(col: Column) -> Column:
     """Two characters of the user, then ***@ and the domain."""
     return F.regexp_replace(col, r"^(.{0,2})[^@]*@(.*)$", "$1***@$2")

@@ -1,47 +1,37 @@
-"""Lines of extracted documents put back into sentences: an order-dependent fold, one document a row."""
+"""Lines of extracted documents put back into sentences, as expressions over (document, line) rows."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from glasshouse.functions import lexicon as L
+from glasshouse.functions.text import clean, recurrent_lines
 
-_ITEM = re.compile(L.ITEM_MARK)
-_END = re.compile(r"[.!?;]\s*$")
-
-
-def rebuild_lines(lines: list[str]) -> list[str]:
-    """Drops short lines that recur, then joins lines up to the end of a sentence or the next item; a hyphen at the end joins without a space."""
-    count = Counter(lines)
-    out, now = [], ""
-    for line in lines:
-        if count[line] >= L.PAGE_REPEATS and len(line) <= L.MAX_RECURRENT:
-            continue
-        if now and _ITEM.match(line):
-            out.append(now)
-            now = ""
-        now = now[:-1] + line if now.endswith("-") else f"{now} {line}" if now else line
-        mark = _ITEM.match(now)
-        if _END.search(now) and not (mark and mark.end() >= len(now.rstrip())):
-            out.append(now)
-            now = ""
-    return [*out, now] if now else out
+_WHOLE_MARK = L.ITEM_MARK.removeprefix("^")
 
 
-def split_lines(text: str) -> list[str]:
-    return [s for x in (text or "").split("\n") if (s := x.strip())]
+def line_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, idx, text: the lines that are not blank, trimmed."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")), lambda x: x != "")
+    return docs.select(key, F.posexplode(lines).alias("idx", "text"))
 
 
 def rebuild(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key and the document's rebuilt parts in order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "parts": [rebuild_lines(split_lines(t)) for t in b[text]]})
-
-    return docs.select(key, text).mapInPandas(run, f"{key} long, parts array<string>")
+    """key and `parts`: the document's rebuilt parts in order.
+
+    Short lines that recur go first.  A part begins at an item mark and after a line that ends a sentence, unless that line is a mark
+    and nothing else; its lines are joined by a space, or without the hyphen that a line ends in."""
+    lines = recurrent_lines(line_rows(docs, key, text), key).where("keep")
+    order = Window.partitionBy(key).orderBy("idx")
+    marked = F.col("text").rlike(L.ITEM_MARK)
+    ends = F.col("text").rlike(r"[.!?;]\s*$") & ~F.col("text").rlike(f"^(?:{_WHOLE_MARK})$")
+    begins = marked | F.coalesce(F.lag(ends).over(order), F.lit(False))
+    parts = lines.withColumn("part", F.sum(begins.cast("int")).over(order)).groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("lines"))
+
+    def joined(so_far, line):
+        return F.when(so_far == "", line["text"]).when(so_far.endswith("-"), F.concat(F.substring(so_far, F.lit(1), F.char_length(so_far) - 1), line["text"])).otherwise(F.concat(so_far, F.lit(" "), line["text"]))
+
+    whole = parts.select(key, "part", clean(F.aggregate("lines", F.lit(""), joined)).alias("text"))
+    found = whole.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("p"))
+    return found.select(key, F.filter(F.transform("p", lambda x: x["text"]), lambda x: x != "").alias("parts"))

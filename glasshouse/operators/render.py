@@ -5,12 +5,13 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glasshouse.functions import lexicon as L
 from glasshouse.functions.urls import host
 from glasshouse.operators.evaluate import density
+from glasshouse.operators.joins import numbered
 from glasshouse.operators.store import decoded, query, state
 
 _DOUBLES = ["confidence", "limiar", "cobertura_vocabulario", "densidade_sinalizacao"]
@@ -55,8 +56,9 @@ def wide_rows(results: DataFrame, variables: list[str]) -> DataFrame:
     counted = flat.join(reason, "dominio", "left").select(
         "*", count("false").alias("n_sinais_ausentes"), count("nao_aplicavel").alias("n_nao_aplicavel"), count("nao_coletado").alias("n_nao_coletado"), (count("true") + count("false")).alias("n_medidas")
     )
-    order = Window.orderBy((F.col("n_nao_coletado") > 0).cast("int"), F.desc("n_nao_aplicavel"), F.desc("n_sinais_ausentes"), "dominio")
-    return counted.withColumn("ordem", F.row_number().over(order))  # a report's numbering: one row a host
+    # buckets of the order: the counts, then the first letters of the host
+    counts = [(F.col("n_nao_coletado") > 0).cast("int"), -F.col("n_nao_aplicavel"), -F.col("n_sinais_ausentes"), F.substring("dominio", 1, 6)]
+    return numbered(counted, counts, [F.col("dominio")], "ordem").withColumn("ordem", F.col("ordem").cast("int"))
 
 
 def evidence_rows(results: DataFrame) -> DataFrame:

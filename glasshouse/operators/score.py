@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glasshouse.functions import lexicon as L
-from glasshouse.functions.text import terms
+from glasshouse.functions.text import counted, terms
+from glasshouse.operators.joins import by_frequency
 
 
 def sigmoid(eta: Column) -> Column:
@@ -19,41 +20,53 @@ def sigmoid(eta: Column) -> Column:
 
 def term_counts(docs: DataFrame, key: list[str], most: int = 3) -> DataFrame:
     """key, term, n.  Counted within the row, so nothing is shuffled."""
-    words = F.array_sort(terms(F.col("text"), most))
-    distinct = F.array_distinct(words)
-    return docs.select(*key, F.explode(F.transform(distinct, lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("n")))).alias("x")).select(*key, "x.*")
+    return docs.select(*key, F.explode(counted(terms(F.col("text"), most))).alias("x")).select(*key, "x.*")
 
 
-def counted_terms(docs: DataFrame, key: list[str], most: int = 3) -> DataFrame:
-    """key, term, n by aggregation, for long texts."""
-    return docs.select(*key, F.explode(terms(F.col("text"), most)).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"))
+def term_frequencies(docs: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """term, n and df: occurrences, and documents that have it; one shuffle, of partial sums."""
+    rows = docs.select(F.col(key), F.col("text")).where(F.col("text").isNotNull())
+    return term_counts(rows, [key], most).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
 def fit_idf(docs: DataFrame, key: str, min_df: int = 3, most: int = 3) -> DataFrame:
-    """term, df, idf = ln((1 + n) / (1 + df)) + 1, for terms in min_df documents or more."""
-    n = docs.select(key).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
-    seen = docs.select(key, F.explode(F.array_distinct(terms(F.col("text"), most))).alias("term"))
-    df = seen.groupBy("term").agg(F.count_distinct(key).alias("df")).where(F.col("df") >= min_df)
-    return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    """term, df, n, idf = ln((1 + documents) / (1 + df)) + 1, for terms in min_df documents or more.  One row a document."""
+    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    df = term_frequencies(docs, key, most).where(F.col("df") >= min_df)
+    return df.crossJoin(F.broadcast(total)).select("term", "df", "n", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+
+
+def _known(docs: DataFrame, key: list[str], vocabulary: DataFrame, most: int, how: str = "inner") -> DataFrame:
+    """The counted terms of each document with the vocabulary's columns; frequent terms are not gathered in one task."""
+    count = "df" if "df" in vocabulary.columns else "_df"
+    vocabulary = vocabulary.drop("n") if count == "df" else vocabulary.drop("n").withColumn(count, F.lit(1).cast("long"))
+    return by_frequency(term_counts(docs, key, most), vocabulary, "term", count, F.octet_length("term") + 32, how)
 
 
 def tfidf(docs: DataFrame, key: list[str], vocabulary: DataFrame, most: int = 3) -> DataFrame:
     """key, term, weight: (1 + ln n) * idf, rows of unit length.  vocabulary(term, idf, ...)."""
-    raw = counted_terms(docs, key, most).join(vocabulary, "term").withColumn("raw", (1 + F.log("n")) * F.col("idf"))
+    raw = _known(docs, key, vocabulary, most).withColumn("raw", (1 + F.log("n")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*key)))
     return raw.withColumn("weight", F.col("raw") / norm)
 
 
+def norms(docs: DataFrame, key: list[str], vocabulary: DataFrame, most: int = 3) -> DataFrame:
+    """key, known terms and the length of the row before it is brought to one: partial sums are shuffled, not terms."""
+    raw = _known(docs, key, vocabulary, most).withColumn("raw", (1 + F.log("n")) * F.col("idf"))
+    return raw.groupBy(*key).agg(F.count(F.lit(1)).alias("n_terms"), F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+
+
 def probabilities(docs: DataFrame, key: list[str], vocabulary: DataFrame, intercept: float, most: int = 3) -> DataFrame:
     """key, probability.  Texts without a known term get the intercept's.  vocabulary(term, idf, coef)."""
-    raw = counted_terms(docs, key, most).join(vocabulary, "term").withColumn("raw", (1 + F.log("n")) * F.col("idf"))
+    raw = _known(docs, key, vocabulary, most).withColumn("raw", (1 + F.log("n")) * F.col("idf"))
     dots = raw.groupBy(*key).agg((F.sum(F.col("raw") * F.col("coef")) / F.sqrt(F.sum(F.col("raw") * F.col("raw")))).alias("dot"))
     return docs.select(*key).join(dots, key, "left").withColumn("probability", sigmoid(F.coalesce("dot", F.lit(0.0)) + F.lit(intercept))).drop("dot")
 
 
 def coverage(docs: DataFrame, key: list[str], vocabulary: DataFrame, most: int = 3) -> DataFrame:
     """key, coverage: known n-grams among all, with repetition."""
-    counts = counted_terms(docs, key, most).join(vocabulary.select("term", F.lit(1).alias("known")), "term", "left")
+    columns = [c for c in ("term", "df") if c in vocabulary.columns]
+    counts = _known(docs, key, vocabulary.select(*columns, F.lit(1).alias("known")), most, "left")
     return counts.groupBy(*key).agg((F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasshouse.functions import numeric
-from glasshouse.operators.score import fit_idf, tfidf
+from glasshouse.operators.joins import numbered
+from glasshouse.operators.score import fit_idf, probabilities, tfidf
 
 
 def patterns(rows: DataFrame, features: list[str], y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -25,9 +28,9 @@ def fit_text(docs: DataFrame, key: str, y: str, c: float = 1.0, min_df: int = 3,
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    vocabulary = fit_idf(docs, key, min_df, most).withColumn("col", F.row_number().over(Window.orderBy("term")) - 1)  # a model needs a global numbering; terms only
+    vocabulary = numbered(fit_idf(docs, key, min_df, most), [F.pmod(F.xxhash64("term"), F.lit(1024))], [F.col("term")], "col").withColumn("col", (F.col("col") - 1).cast("int"))
     size = vocabulary.count()
-    to_vector = F.udf(lambda xs: SparseVector(size, sorted((int(x[0]), float(x[1])) for x in xs)), VectorUDT())
+    to_vector = F.udf(lambda xs: SparseVector(size, sorted((int(x[0]), float(x[1])) for x in xs)), VectorUDT(), useArrow=True)  # batches; no built-in function makes sparse vectors
     rows = tfidf(docs, [key], vocabulary, most).groupBy(key).agg(F.collect_list(F.struct("col", "weight")).alias("xs"))
     data = docs.select(key, y).join(rows, key).select(F.col(y).cast("double").alias("label"), to_vector("xs").alias("features"))
     n = data.count()
@@ -49,7 +52,7 @@ def challengers(rows: DataFrame, features: list[str], y: str, c: float = 1.0):
 def threshold_grid(scored: DataFrame, group: str, p: str, y: str, quantiles: list[float]) -> DataFrame:
     """MCC of every threshold (an exact quantile of the group's scores); a short grid per group, not a pair per row."""
     cuts = scored.groupBy(group).agg(F.percentile(p, F.array(*[F.lit(q) for q in quantiles])).alias("cuts")).select(group, F.posexplode("cuts").alias("q", "threshold"))
-    counts = scored.join(F.broadcast(cuts), group).groupBy(group, "q", "threshold").agg(  # the grid has len(quantiles) rows a group
+    counts = scored.join(cuts, group).groupBy(group, "q", "threshold").agg(
         F.count_if((F.col(p) >= F.col("threshold")) & (F.col(y) == 1)).alias("tp"), F.count_if((F.col(p) >= F.col("threshold")) & (F.col(y) == 0)).alias("fp"),
         F.count_if((F.col(p) < F.col("threshold")) & (F.col(y) == 1)).alias("fn"), F.count_if((F.col(p) < F.col("threshold")) & (F.col(y) == 0)).alias("tn"),
     )
@@ -63,16 +66,15 @@ def best_threshold(grid: DataFrame, group: str) -> DataFrame:
     return grid.groupBy(group).agg(F.max_by(F.struct("threshold", "mcc"), F.struct("mcc", -F.col("q"))).alias("b")).select(group, "b.*")
 
 
-def leave_one_out(docs: DataFrame, document: str, key: str, y: str, c: float = 1.0) -> DataFrame:
-    """Scores of every document by a model fitted on the others."""
-    from glasshouse.operators.score import probabilities
-
-    out = None
-    for (d,) in docs.select(document).distinct().orderBy(document).collect():  # one model fit for each document, by design
-        vocabulary, intercept = fit_text(docs.where(F.col(document) != d), key, y, c)
-        part = probabilities(docs.where(F.col(document) == d), [key], vocabulary, intercept)
-        out = part if out is None else out.unionByName(part)
-    return out
+def out_of_fold(docs: DataFrame, document: str, key: str, y: str, folds: int = 5, c: float = 1.0) -> DataFrame:
+    """key, probability: every document scored by a model fitted without its fold.  As many fits as folds, whatever the number of documents;
+    with as many folds as documents it leaves one out at a time."""
+    fold = F.pmod(F.xxhash64(document), F.lit(folds))
+    parts = []
+    for f in range(folds):
+        vocabulary, intercept = fit_text(docs.where(fold != f), key, y, c)
+        parts.append(probabilities(docs.where(fold == f), [key], vocabulary, intercept))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def coverage_quantiles(covered: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from glasshouse.functions import html as H
 from glasshouse.functions import lexicon as L
 from glasshouse.functions import text as T
+from glasshouse.operators import citations as K
 from glasshouse.operators import evaluate as E
 from glasshouse.operators import score as S
-from glasshouse.plans.registry import Catalog, table
+from glasshouse.plans.registry import Catalog, spread, table
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -43,10 +44,12 @@ def _sentences(x: str) -> str:
         x = f"regexp_replace({x}, '([.!?;:])\\s+([A-ZÀ-Ú])', '\\1' || chr(10) || '\\2', 'g')"
     x = f"regexp_replace({x}, '[ ]+(\\d+(?:\\x01\\d+)*[).]\\s+[A-ZÀ-Ú])', chr(10) || '\\1', 'g')"
     for _ in range(2):
-        x = f"regexp_replace({x}, '[ ]+(\\((?:[ivxlcdm]{{1,5}}|[a-z])\\)\\s)', chr(10) || '\\1', 'g')"
+        x = f"regexp_replace({x}, '[ ]+({L.BRACKET_MARK}\\s)', chr(10) || '\\1', 'g')"
     return f"replace({x}, chr(1), '.')"
 
 
+_NORMALISED = f"length(lower(trim(regexp_replace(translate(text, '{T._ACCENTED}', '{T._PLAIN}'), '[\\s\\x{{00a0}}]+', ' ', 'g'))))"
+
 _SEGMENTS = f"""
     blocks AS (SELECT page_id, url, list_filter(list_transform(string_split({_BLOCKS}, chr(10)), lambda x: {_clean('x')}), lambda x: x <> '') AS b FROM pages),
     parts AS (SELECT page_id, url, flatten(list_transform(b, lambda x: list_filter(list_transform(string_split({_sentences('x')}, chr(10)), lambda y: trim(y)), lambda y: y <> ''))) AS s FROM blocks),
@@ -55,7 +58,7 @@ _SEGMENTS = f"""
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", "url", "html")
+    return spread(table(spark, sf, "pages").select("page_id", "url", "html"))
 
 
 @query("t1_html_blocks", f"WITH {_SEGMENTS} SELECT page_id, CAST(len(b) AS INTEGER) AS n_blocks, md5(array_to_string(b, '|')) AS digest FROM blocks")
@@ -106,7 +109,18 @@ def t5(spark, sf):
     return T.recurrent_lines(_lines(spark, sf), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("keep").alias("n_kept"))
 
 
-@query("t5_rebuild_lines", None)
+_MARK, _WHOLE = L.ITEM_MARK, L.ITEM_MARK.removeprefix("^")
+_REBUILT = f"""stripped AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS idx FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g')), lambda x: x <> '') AS l FROM documents)),
+    stay AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, text) AS n FROM stripped) WHERE n < {L.PAGE_REPEATS} OR length(text) > {L.MAX_RECURRENT}),
+    flagged AS (SELECT *, regexp_matches(text, '{_MARK}') AS marked, regexp_matches(text, '[.!?;]\\s*$') AND NOT regexp_matches(text, '^(?:{_WHOLE})$') AS ends FROM stay),
+    begun AS (SELECT *, marked OR coalesce(lag(ends) OVER (PARTITION BY doc_id ORDER BY idx), false) AS begins FROM flagged),
+    numbered AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS part FROM begun),
+    pieces AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY idx DESC) = 1 AS is_last FROM numbered),
+    joined AS (SELECT doc_id, part, string_agg(CASE WHEN is_last THEN text WHEN text LIKE '%-' THEN text[:-2] ELSE text || ' ' END, '' ORDER BY idx) AS j FROM pieces GROUP BY doc_id, part),
+    rebuilt AS (SELECT doc_id, part, t FROM (SELECT doc_id, part, {_clean('j')} AS t FROM joined) WHERE t <> '')"""
+
+
+@query("t5_rebuild_lines", f"WITH {_REBUILT}, g AS (SELECT doc_id, count(*) AS n, string_agg(t, '|' ORDER BY part) AS s FROM rebuilt GROUP BY doc_id) SELECT DISTINCT doc_id, CAST(coalesce(g.n, 0) AS INTEGER) AS n_parts, md5(coalesce(s, '')) AS digest FROM stay LEFT JOIN g USING (doc_id)")
 def t5_fold(spark, sf):
     from glasshouse.operators.lines import rebuild
 
@@ -121,7 +135,7 @@ def t6(spark, sf):
 @query("t7_sentences", f"SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split({_sentences(_clean('text'))}, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS s FROM documents)")
 def t7(spark, sf):
     s = T.sentences(T.clean(F.col("text")))
-    return table(spark, sf, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
+    return _docs(spark, sf).select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
 @query(
@@ -135,20 +149,35 @@ def t8(spark, sf):
     return segs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_segments"), F.count_if("is_useful").alias("n_useful"), F.coalesce(F.sum(F.when(F.col("is_useful"), F.char_length("text"))), F.lit(0)).cast("long").alias("useful_chars"))
 
 
-@query("t9_contiguous_offsets", f"WITH {_SEGMENTS} SELECT page_id, CAST(idx AS INTEGER) AS idx, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_at, length(text) AS n FROM segments")
+@query("t9_contiguous_offsets", f"WITH {_SEGMENTS} SELECT page_id, CAST(idx AS INTEGER) AS idx, CAST(coalesce(sum({_NORMALISED} + 1) OVER (PARTITION BY page_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_at, {_NORMALISED} AS n FROM segments")
 def t9(spark, sf):
     rows = T.offsets(T.segments(_pages(spark, sf), "page_id", "html"), "page_id")
-    return rows.select("page_id", "idx", F.col("begin").cast("long").alias("begin_at"), F.char_length("text").cast("long").alias("n"))
+    return rows.select("page_id", "idx", F.col("begin").cast("long").alias("begin_at"), (F.col("end") - F.col("begin")).cast("long").alias("n"))
+
+
+_BODY = "array_to_string(b, ' ')"
 
 
 @query(
     "t10_segment_pages",
-    f"""WITH {_SEGMENTS}, hosts AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS site, page_id, idx, text FROM segments)
-    SELECT site, count(DISTINCT text) AS distinct_segments, count(*) AS n_segments FROM hosts WHERE length(text) >= 20 GROUP BY site""",
+    f"""WITH {_SEGMENTS}, kept AS (SELECT page_id, url, {_BODY} AS text FROM blocks), own AS (SELECT page_id, url FROM kept WHERE length(text) < 400 OR NOT ({_hits(_FOREIGN)} > 1.4 * ({_hits(_OWN)}))),
+    {_REBUILT}, split AS (SELECT doc_id, list_filter(list_transform(string_split({_sentences('t')}, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS s FROM rebuilt),
+    units AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS site, 'page' AS kind, text FROM segments JOIN own USING (page_id, url) UNION ALL SELECT source, 'pdf', unnest(s) FROM split JOIN documents USING (doc_id))
+    SELECT site, kind, count(*) AS n_segments, count(DISTINCT text) FILTER (WHERE length(text) >= 20) AS distinct_useful, CAST(sum(length(text)) AS BIGINT) AS chars FROM units GROUP BY site, kind""",
 )
 def t10(spark, sf):
-    segs = T.segments(_pages(spark, sf), "page_id", "html").where(F.char_length("text") >= 20).join(_pages(spark, sf).select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("site")), "page_id")
-    return segs.groupBy("site").agg(F.count_distinct("text").alias("distinct_segments"), F.count(F.lit(1)).alias("n_segments"))
+    """Pages in the own language and rebuilt documents (in place of the text layer of PDF files), as one list of units a site."""
+    from glasshouse.operators.lines import rebuild
+
+    pages, docs = _pages(spark, sf), table(spark, sf, "documents").select("doc_id", "text", "source")
+    own = T.is_own_language(F.col("body"), foreign=_FOREIGN, own=_OWN)
+    of_pages = T.segments_of_sites(pages, "page_id", "html", own)[0].join(pages.select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("site")), "page_id").withColumn("kind", F.lit("page"))
+    of_docs = T.segments_of_parts(rebuild(docs, "doc_id"), "doc_id").join(docs.select("doc_id", F.col("source").alias("site")), "doc_id").withColumn("kind", F.lit("pdf"))
+    units = of_pages.select("site", "kind", "text").unionByName(of_docs.select("site", "kind", "text"))
+    # distinct texts are counted within a site and kind after they met once, so a large site is spread over its texts
+    once = units.groupBy("site", "kind", "text").agg(F.count(F.lit(1)).alias("n"))
+    size = F.char_length("text")
+    return once.groupBy("site", "kind").agg(F.sum("n").alias("n_segments"), F.count_if(size >= 20).alias("distinct_useful"), F.sum(size * F.col("n")).alias("chars"))
 
 
 @query("t11_visible_text", None)
@@ -156,10 +185,12 @@ def t11(spark, sf):
     return _pages(spark, sf).select("page_id", H.visible("html").alias("v")).select("page_id", F.char_length("v").alias("n_chars"), F.md5("v").alias("digest"))
 
 
-@query("t12_safe_decode", "SELECT doc_id, length(text) AS n_chars, octet_length(encode(text)) >= length(text) AS valid FROM documents")
+@query("t12_safe_decode", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN octet_length(encode(text)) + 1 ELSE length(text) END AS n_chars, doc_id % 3 <> 0 AS valid FROM documents")
 def t12(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.char_length(T.safe_decode(F.encode("text", "UTF-8"))).cast("long").alias("n_chars"), F.call_function("is_valid_utf8", F.encode("text", "UTF-8")).alias("valid"))
+    """Every third text gets a byte that UTF-8 does not have, so it is read as Latin-1: one character a byte."""
+    utf8 = F.encode("text", "UTF-8")
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(utf8, F.lit(bytearray(b"\xff")))).otherwise(utf8).alias("body"))
+    return d.select("doc_id", F.char_length(T.safe_decode(F.col("body"), 1 << 30)).cast("long").alias("n_chars"), F.call_function("is_valid_utf8", F.col("body")).alias("valid"))
 
 
 @query("t13_match_context", "SELECT doc_id, regexp_extract(text, '[Tt]h[a-z]+tion') AS match, CAST(CASE WHEN regexp_extract(text, '[Tt]h[a-z]+tion') = '' THEN -1 ELSE instr(text, regexp_extract(text, '[Tt]h[a-z]+tion')) - 1 END AS INTEGER) AS position FROM documents")
@@ -183,20 +214,19 @@ _GRAMS = f"""toks AS (SELECT doc_id, {_TOKENS} AS w FROM docs),
 
 
 def _docs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("t15_ngrams", f"WITH docs AS (SELECT doc_id, text FROM documents), {_GRAMS} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
 def t15(spark, sf):
-    g = _docs(spark, sf).select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
-    return g.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("df")).where("df >= 5")
+    return S.term_frequencies(_docs(spark, sf), "doc_id").where("df >= 5")
 
 
-@query("t16_locate_excerpt", "SELECT d.doc_id, b.item_id, CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) - 1 ELSE instr(d.text, substring(b.text, 1, 50)) - 1 END AS place FROM documents d JOIN benchmark b ON instr(d.text, substring(b.text, 1, 50)) > 0")
+@query("t16_locate_excerpt", "SELECT d.doc_id, b.item_id, CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) - 1 WHEN instr(d.text, substring(b.text, 1, 120)) > 0 THEN instr(d.text, substring(b.text, 1, 120)) - 1 WHEN instr(d.text, substring(b.text, 1, 80)) > 0 THEN instr(d.text, substring(b.text, 1, 80)) - 1 WHEN instr(d.text, substring(b.text, 1, 50)) > 0 THEN instr(d.text, substring(b.text, 1, 50)) - 1 END AS place FROM documents d JOIN benchmark b ON instr(d.text, substring(b.text, 1, 50)) > 0")
 def t16(spark, sf):
+    """The whole excerpt, else its first 120, 80 or 50 characters: what has any of these has the last."""
     d, b = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("excerpt"))
-    # the citations are a stated, short query set against all documents
-    hit = d.join(b, F.contains("text", F.substring("excerpt", 1, 50)))
+    hit = K.containing(d, "doc_id", "text", b.withColumn("part", F.substring("excerpt", 1, 50)), "item_id", "part")
     return hit.select("doc_id", "item_id", T.locate_excerpt(F.col("text"), F.col("excerpt")).cast("long").alias("place"))
 
 
@@ -205,8 +235,8 @@ _EVIDENCE = "ev AS (SELECT doc_id, 100 + 37 * (doc_id % 11) AS e_begin, 260 + 37
 
 @query(
     "t17_interval_overlap_label",
-    f"""WITH {_LINES}, s AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lines), {_EVIDENCE},
-    o AS (SELECT s.doc_id, idx, least(b + length(text), e_end) - greatest(b, e_begin) AS c, least(length(text), e_end - e_begin) AS m FROM s JOIN ev USING (doc_id))
+    f"""WITH {_LINES}, s AS (SELECT doc_id, idx, w, coalesce(sum(w + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, {_NORMALISED} AS w FROM lines) WHERE w > 0), {_EVIDENCE},
+    o AS (SELECT s.doc_id, idx, least(b + w, e_end) - greatest(b, e_begin) AS c, least(w, e_end - e_begin) AS m FROM s JOIN ev USING (doc_id))
     SELECT doc_id, count(*) FILTER (WHERE c > 0 AND c >= 0.5 * m) AS positives, count(*) AS n FROM o GROUP BY doc_id""",
 )
 def t17(spark, sf):
@@ -246,14 +276,14 @@ def t19(spark, sf):
 def t20(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     b = table(spark, sf, "benchmark").select("item_id", F.array(*T.citation_parts(F.col("text"))).alias("parts"))
-    return d.join(b, F.contains("text", F.col("parts")[0]) | F.contains("text", F.col("parts")[1]) | F.contains("text", F.col("parts")[2])).select("doc_id", "item_id")
+    return K.containing(d, "doc_id", "text", b.select("item_id", F.explode("parts").alias("part")), "item_id", "part").select("doc_id", "item_id").distinct()
 
 
-@query("t21_evidence_package", f"SELECT page_id, array_to_string(list_distinct(regexp_extract_all(html, '{_MAIL}')), ';') IS NOT NULL AS packed, CAST(len(regexp_extract_all(html, '(?i)<a\\b[^>]*href')) AS INTEGER) AS n_links, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS INTEGER) AS distinct_links FROM pages")
+@query("t21_evidence_package", f"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html || ' x' || page_id || '@a.com y@b.org ', '{_MAIL}'))), ';') AS mails, CAST(len(regexp_extract_all(html, '(?i)<a\\b[^>]*href')) AS INTEGER) AS n_links, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS INTEGER) AS distinct_links FROM pages")
 def t21(spark, sf):
     links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
-    mails = F.array_join(F.array_distinct(F.regexp_extract_all("html", F.lit(_MAIL), 0)), ";")
-    return _pages(spark, sf).select("page_id", mails.isNotNull().alias("packed"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*href"), 0)).alias("n_links"), F.size(F.array_distinct(links)).alias("distinct_links"))
+    mails = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.concat("html", F.lit(" x"), F.col("page_id").cast("string"), F.lit("@a.com y@b.org ")), F.lit(_MAIL), 0))), ";")
+    return _pages(spark, sf).select("page_id", mails.alias("mails"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)<a\b[^>]*href"), 0)).alias("n_links"), F.size(F.array_distinct(links)).alias("distinct_links"))
 
 
 _PII = {"correio": _MAIL, "cpf": L.PERSONAL_DATA["cpf"], "cnpj": L.PERSONAL_DATA["cnpj"], "telefone": r"\d{3}[- ]\d{3,4}[- ]\d{4}|\(\d{2,3}\) ?\d{3,5}-\d{4}"}
@@ -338,8 +368,7 @@ def m14(spark, sf):
 @query("m1_tfidf_norms", f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w FROM tf JOIN vocab USING (term)) SELECT doc_id, count(*) AS n_terms, round(sqrt(sum(w * w)), 4) AS norm FROM w GROUP BY doc_id")
 def m1(spark, sf):
     docs = _docs(spark, sf)
-    rows = S.tfidf(docs, ["doc_id"], S.fit_idf(docs, "doc_id"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sqrt(F.sum(F.col("raw") * F.col("raw"))), 4).alias("norm"))
+    return S.norms(docs, ["doc_id"], S.fit_idf(docs, "doc_id")).select("doc_id", "n_terms", F.round("norm", 4).alias("norm"))
 
 
 _COEF = "(CAST(length(term) % 7 AS DOUBLE) - 3) / 10"

@@ -24,3 +24,14 @@ class Catalog:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A scan below this size a core is dealt out again before heavy work on its texts.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores where a small table sits in fewer row groups than there are cores; larger tables stay as their files are split."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SPREAD_BYTES * cores else rows

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from glasshouse.functions import html as H
 from glasshouse.functions import text as T
-from glasshouse.operators.lines import rebuild_lines
+from glasshouse.operators.lines import rebuild
 
 
 def one(spark, value, f):
@@ -31,13 +31,61 @@ def test_frames_keep_text():
     assert H.blocks_of("<iframe>x</iframe>") == ["x"]
 
 
-def test_rebuild():
+def test_rebuild(spark):
+    def rebuild_lines(lines):
+        rows = rebuild(spark.createDataFrame([(1, "\n".join(lines))], "k long, text string"), "k").collect()
+        return rows[0].parts if rows else []
+
     assert rebuild_lines(["compartilha-", "mento de dados."]) == ["compartilhamento de dados."]
     head = "Prefeitura Municipal"
     assert all(head not in p for p in rebuild_lines([head, "Usamos dados.", head, "Tratamos dados.", head, "Fim."]))
     assert rebuild_lines(["Direitos", "a) acesso;", "b) correcao;"]) == ["Direitos", "a) acesso;", "b) correcao;"]
 
 
+def test_rebuild_edges(spark):
+    texts = ["1.\nPrimeiro item\nsegue.\n(ii)\nSegundo", "um\n(a) dois; \n\n tres\u00a0\nquatro.\n\u0007", "fim-", "", None, "(1)"]
+    got = {r.k: r.parts for r in rebuild(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").collect()}
+    assert got == {0: ["1. Primeiro item segue.", "(ii) Segundo"], 1: ["um", "(a) dois;", "tres quatro."], 2: ["fim-"], 5: ["(1)"]}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Direitos: (I) acesso; (II) correcao", ["Direitos:", "(I) acesso;", "(II) correcao"]), ("itens (cdi) juros", ["itens (cdi) juros"]), ("dados (A) um (b) dois (xl) tres", ["dados", "(A) um", "(b) dois (xl) tres"]), ("a (iv) b (xii) c", ["a", "(iv) b", "(xii) c"])],
+)
+def test_bracketed_marks(spark, text, want):
+    assert one(spark, text, T.sentences) == want
+
+
+def test_offsets_are_of_the_normalised_document(spark):
+    segs = spark.createDataFrame([(1, 0, "A  b\u00a0 c"), (1, 1, " \u00a0 "), (1, 2, "É")], "k long, idx int, text string")
+    assert [(r.idx, r.begin, r.end) for r in T.offsets(segs, "k").orderBy("idx").collect()] == [(0, 0, 5), (2, 6, 7)]
+
+
+def test_counted_terms(spark):
+    got = one(spark, "aa bb aa cc aa bb", lambda c: T.counted(T.terms(c, 2)))
+    assert {x.term: x.n for x in got} == {"aa": 3, "bb": 2, "cc": 1, "aa bb": 2, "bb aa": 1, "aa cc": 1, "cc aa": 1}
+    assert one(spark, "a", lambda c: T.counted(T.terms(c))) == []
+
+
+def test_excerpts_by_a_shared_word(spark):
+    from glasshouse.operators.citations import containing
+
+    docs = spark.createDataFrame([(1, "the quick brown fox\njumps over"), (2, "quick brown"), (3, "xyz"), (4, None)], "d long, text string")
+    parts = spark.createDataFrame([(10, "ick brown fox"), (11, "he quick brown fox\njum"), (12, "y"), (13, "k b"), (14, "brown quick brown")], "i long, part string")
+    assert sorted((r.d, r.i) for r in containing(docs, "d", "text", parts, "i", "part").collect()) == [(1, 10), (1, 11), (1, 13), (2, 13), (3, 12)]
+
+
+def test_numbers_without_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from glasshouse.operators.joins import numbered
+
+    rows = spark.createDataFrame([(i % 3 if i % 7 else None, f"n{i:03}") for i in range(100)], "a int, name string")
+    got = {r.name: r.k for r in numbered(rows, [F.col("a"), F.substring("name", 1, 3)], [F.col("name")], "k").collect()}
+    want = [n for _, n in sorted(((-1 if a is None else a, n) for a, n in rows.collect()))]
+    assert [got[n] for n in want] == list(range(1, 101))
+
+
 def test_useful_and_offsets(spark):
     long = "x" * 25
     segs = spark.createDataFrame([(1, 0, long), (1, 1, "other"), (1, 2, long), (1, 3, "")], "k int, idx int, text string")
