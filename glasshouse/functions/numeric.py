@@ -6,6 +6,7 @@ Inputs are aggregated in Spark first (patterns with counts), so their size does
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 
@@ -162,6 +163,42 @@ def adaptive_bins(p: np.ndarray, y: np.ndarray, least: int = 20, widest: float =
     return bins
 
 
+def grouped_bins(scores: list[tuple[float, int, int]], least: int = 20, widest: float = 0.2) -> list[dict]:
+    """adaptive_bins() of distinct scores in order, each with its rows and positives, without a list of rows; among rows of one score the positives come first."""
+    bins: list[dict] = []
+    now = {"n": 0, "yes": 0, "sum": 0.0, "first": 0.0}
+
+    def close() -> None:
+        nonlocal now
+        bins.append(now)
+        now = {"n": 0, "yes": 0, "sum": 0.0, "first": 0.0}
+
+    for p, n, yes in scores:
+        if now["n"] >= least and (p - now["first"] > widest or now["n"] >= 2 * least):
+            close()
+        while n:
+            # a bin that one score fills closes at twice the least, so whole bins of it are taken at once
+            take = min(n, 2 * least - now["n"])
+            if not now["n"]:
+                now["first"] = p
+            positive = min(yes, take)
+            now = {"n": now["n"] + take, "yes": now["yes"] + positive, "sum": now["sum"] + p * take, "first": now["first"]}
+            n, yes = n - take, yes - positive
+            if n:
+                close()
+    if now["n"]:
+        if bins and now["n"] < least:
+            before = bins.pop()
+            now = {"n": before["n"] + now["n"], "yes": before["yes"] + now["yes"], "sum": before["sum"] + now["sum"], "first": before["first"]}
+        close()
+    out = []
+    for b in bins:
+        mean, rate = b["sum"] / b["n"], b["yes"] / b["n"]
+        low, high = wilson(b["yes"], b["n"])
+        out.append({"n": b["n"], "mean_p": mean, "rate": rate, "low": low, "high": high, "compatible": low <= mean <= high})
+    return out
+
+
 def kappa(pairs: dict[tuple, int]) -> dict:
     """Cohen's kappa of two raters with prevalence and bias indices and PABAK; None without observations."""
     n = sum(pairs.values())
@@ -195,17 +232,21 @@ def clustered_bootstrap(clusters: np.ndarray, reps: int = 2000, seed: int = 7) -
     return {"difference": mcc(*t[:4]) - mcc(*t[4:]), "low": float(low), "high": float(high)}
 
 
-def bootstrap_kappa(pairs: list[tuple], reps: int = 5000, seed: int = 7) -> tuple[float, float]:
-    """Percentile interval of kappa; pairs of labels, one a unit."""
+def bootstrap_cells(cells: dict[tuple, int], reps: int = 5000, seed: int = 7) -> tuple[float, float]:
+    """Percentile interval of kappa from the counts of each pair of labels: a resample is one multinomial draw."""
     rng = np.random.default_rng(seed)
-    kinds = sorted(set(pairs), key=str)
-    share = np.array([pairs.count(k) for k in kinds]) / max(1, len(pairs))
-    draws = rng.multinomial(len(pairs), share, size=reps)
+    kinds, n = sorted(cells, key=str), sum(cells.values())
+    draws = rng.multinomial(n, np.array([cells[k] for k in kinds]) / max(1, n), size=reps)
     values = [kappa(dict(zip(kinds, map(int, d), strict=True)))["kappa"] for d in draws]
     low, high = np.percentile([v for v in values if v is not None], [2.5, 97.5])
     return float(low), float(high)
 
 
+def bootstrap_kappa(pairs: list[tuple], reps: int = 5000, seed: int = 7) -> tuple[float, float]:
+    """Percentile interval of kappa; pairs of labels, one a unit."""
+    return bootstrap_cells(dict(Counter(pairs)), reps, seed)
+
+
 def adopt(low: float) -> str:
     """The more complex model only if the interval of its gain is above zero."""
     return "complex" if low > 0 else "simple"

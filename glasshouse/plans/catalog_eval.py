@@ -106,13 +106,7 @@ def a8(spark, sf):
 @query("a9_reliability_bins", None)
 def a9(spark, sf):
     rows = _pred(spark, sf).groupBy(F.round("p", 2).alias("p")).agg(F.sum("quality").alias("yes"), F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-    p, y = [], []
-    for r in rows:  # a hundred distinct scores at most
-        p += [float(r.p)] * r.n
-        y += [1] * r.yes + [0] * (r.n - r.yes)
-    import numpy as np
-
-    out = N.adaptive_bins(np.array(p), np.array(y))
+    out = N.grouped_bins([(float(r.p), r.n, r.yes) for r in rows])  # a hundred distinct scores at most
     return spark.createDataFrame([(i, b["n"], float(b["mean_p"]), float(b["rate"]), float(b["low"]), float(b["high"]), bool(b["compatible"])) for i, b in enumerate(out)], "bin long, n long, mean_p double, rate double, low double, high double, compatible boolean")
 
 
@@ -177,6 +171,13 @@ def a20(spark, sf):
     return spark.createDataFrame([(t["difference"], t["p"], *t["first"], *t["second"])], "difference double, p double, low_1 double, high_1 double, low_2 double, high_2 double")
 
 
+@query("a20_proportion_intervals", f"WITH {_PRED}, g AS (SELECT lang = 'en' AS first, CAST(sum(quality) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM pred GROUP BY 1) SELECT first, round(k / n, 6) AS share, round(greatest({_wilson_sql('k', 'n', '-')}, 0), 6) AS low, round(least({_wilson_sql('k', 'n', '+')}, 1), 6) AS high FROM g")
+def a20_intervals(spark, sf):
+    g = _pred(spark, sf).groupBy((F.col("lang") == "en").alias("first")).agg(F.sum("quality").cast("double").alias("k"), F.count(F.lit(1)).cast("double").alias("n"))
+    low, high = E.wilson(F.col("k"), F.col("n"))
+    return g.select("first", F.round(F.col("k") / F.col("n"), 6).alias("share"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
 @query("a21_sample_size", "SELECT e AS error_pct, CAST(ceil(1.96 * 1.96 * 0.25 / ((e / 100.0) ** 2) - 0.000000001) AS BIGINT) AS n FROM (VALUES (3), (5), (10)) t(e)")
 def a21(spark, sf):
     return spark.createDataFrame([(e, N.sample_size(e / 100)) for e in (3, 5, 10)], "error_pct int, n long")
@@ -264,6 +265,20 @@ def i6(spark, sf):
     return f.agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.sqrt(F.lit(1 / 5 + 0.25) * F.var_samp("score")) * 1.96, 6).alias("half"))
 
 
+@query(
+    "i11_ladder_choice",
+    f"""WITH {_PRED}, f AS (SELECT doc_id % 5 AS fold, avg(((p > 0.5) = actual)::INT) - avg(((predicted = 'true') = actual)::INT) AS gain FROM pred GROUP BY 1), m AS (SELECT avg(gain) AS gain, sqrt((1.0 / 5 + 0.25) * var_samp(gain)) * 1.96 AS half FROM f)
+    SELECT round(gain, 6) AS gain, round(gain - half, 6) AS low, CASE WHEN gain - half > 0 THEN 'complex' ELSE 'simple' END AS adopted FROM m""",
+)
+def i11(spark, sf):
+    """The more complex of two predictors only if the corrected interval of its gain over the folds is above zero."""
+    right = lambda c: F.avg((c == F.col("actual")).cast("int"))
+    f = _pred(spark, sf).groupBy((F.col("doc_id") % 5).alias("fold")).agg((right(F.col("p") > 0.5) - right(F.col("predicted") == "true")).alias("gain"))
+    m = f.agg(F.avg("gain").alias("gain"), (F.sqrt(F.lit(1 / 5 + 0.25) * F.var_samp("gain")) * 1.96).alias("half"))
+    low = F.col("gain") - F.col("half")
+    return m.select(F.round("gain", 6).alias("gain"), F.round(low, 6).alias("low"), F.when(low > 0, "complex").otherwise("simple").alias("adopted"))
+
+
 @query("i7_absence_recall_threshold", f"WITH {_PRED} SELECT round(quantile_cont(p, 0.9), 6) AS threshold FROM pred WHERE quality = 0")
 def i7(spark, sf):
     return M.absence_threshold(_pred(spark, sf), "p", "quality", 0.9).select(F.round("threshold", 6).alias("threshold"))
@@ -275,19 +290,24 @@ def i8(spark, sf):
     return _pred(spark, sf).agg(F.count_if(~a & b).alias("n01"), F.count_if(a & ~b).alias("n10"))
 
 
-@query("i8_mcnemar_exact", None)
+@query(
+    "i8_mcnemar_exact",
+    f"""WITH {_PRED}, c AS (SELECT (predicted = 'true') = actual AS a, (p > 0.5) = actual AS b FROM pred), n AS (SELECT count(*) FILTER (WHERE NOT a AND b) AS n01, count(*) FILTER (WHERE a AND NOT b) AS n10 FROM c),
+    k AS (SELECT n01, n10, CAST(n01 + n10 AS DOUBLE) AS n, unnest(range(0, least(n01, n10) + 1)) AS i FROM n)
+    SELECT n01, n10, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6) AS p FROM k GROUP BY n01, n10""",
+)
 def i8_p(spark, sf):
     r = i8(spark, sf).first()
-    return spark.createDataFrame([(r.n01, r.n10, N.mcnemar_exact(r.n01, r.n10))], "n01 long, n10 long, p double")
+    return spark.createDataFrame([(r.n01, r.n10, round(N.mcnemar_exact(r.n01, r.n10), 6))], "n01 long, n10 long, p double")
 
 
 @query("i9_bootstrap_kappa", None)
 def i9(spark, sf):
     rows = _pred(spark, sf)
     pairs = rows.groupBy("quality", F.when(F.col("doc_id") % 9 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).alias("b")).count().collect()  # four rows at most
-    flat = [(r.quality, r.b) for r in pairs for _ in range(r["count"])]
-    low, high = N.bootstrap_kappa(flat, 500)
-    return spark.createDataFrame([(N.kappa({(r.quality, r.b): r["count"] for r in pairs})["kappa"], low, high)], "kappa double, low double, high double")
+    cells = {(r.quality, r.b): r["count"] for r in pairs}
+    low, high = N.bootstrap_cells(cells, 500)
+    return spark.createDataFrame([(N.kappa(cells)["kappa"], low, high)], "kappa double, low double, high double")
 
 
 @query("i10_clustered_bootstrap", None)
@@ -355,6 +375,22 @@ def m16(spark, sf):
     return g.select("lang", "q", F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", "tn")
 
 
+@query("i12_reduced_model", None)
+def i12(spark, sf):
+    """The full set of features against the set without one, by the penalised likelihood ratio."""
+    names = ["f1", "f2", "f3"]
+    found = M.patterns(_features(spark, sf), names, "y")
+    rows = [(n, *map(float, N.likelihood_ratio(*found, k))) for k, n in enumerate(names, 1)]
+    return spark.createDataFrame(rows, "without string, statistic double, p double")
+
+
+@query("m17_out_of_fold", None)
+def m17(spark, sf):
+    """Every labelled text scored by a model that was fitted without its source."""
+    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id").select("doc_id", "source", "text", "quality")
+    return M.out_of_fold(docs, "source", "doc_id", "quality", folds=2).select("doc_id", F.round("probability", 6).alias("probability"))
+
+
 @query("m21_alignment", "SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_text")
 def m21(spark, sf):
     return M.alignment(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), table(spark, sf, "documents"), "doc_id")

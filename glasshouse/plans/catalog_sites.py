@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from glasshouse.operators import detect as D
 from glasshouse.operators import links as K
 from glasshouse.operators import render as R
 from glasshouse.operators import store as S
-from glasshouse.plans.registry import Catalog, table
+from glasshouse.plans.registry import Catalog, scratch, table
 from glasshouse.sources import evidence as V
 from glasshouse.sources import lists as I
 
@@ -43,10 +45,10 @@ def s3(spark, sf):
     return _pages(spark, sf).where(U.has_suffix(U.host(F.col("url")), [".org", ".net"])).select("page_id")
 
 
-@query("s6_public_suffix", f"SELECT tld, count(*) AS n FROM (SELECT CASE WHEN d LIKE '%.example.com' THEN '.example.com' WHEN d LIKE '%.example.net' THEN '.example.net' WHEN d LIKE '%.example.org' THEN '.example.org' ELSE '.unknown' END AS tld FROM (SELECT {_HOST} AS d FROM pages)) GROUP BY tld")
+@query("s6_public_suffix", f"SELECT page_id + 1 AS rank, CASE WHEN d LIKE '%.example.com' THEN '.example.com' WHEN d LIKE '%.example.net' THEN '.example.net' WHEN d LIKE '%.example.org' THEN '.example.org' ELSE '.unknown' END AS tld FROM (SELECT page_id, {_HOST} AS d FROM pages)")
 def s6(spark, sf):
     listed = spark.createDataFrame([(s,) for s in L.PUBLIC_SUFFIXES], "suffix string")
-    return U.with_public_suffix(_ranks(spark, sf), "domain", listed).groupBy("tld").agg(F.count(F.lit(1)).alias("n"))
+    return U.with_public_suffix(_ranks(spark, sf), "domain", listed).select(F.col("rank").cast("long").alias("rank"), "tld")
 
 
 @query("s7_listed_hosts", f"SELECT 'https://' || h AS url, arg_min(lang, page_id) AS stratum, min(page_id) AS seq FROM (SELECT page_id, {_HOST} AS h, regexp_extract(url, '//[^/]+/([a-z]+)/', 1) AS lang FROM pages) WHERE contains(h, '.') GROUP BY h")
@@ -118,10 +120,10 @@ def s15(spark, sf):
     return _results(spark, sf).select("event_id", S.equal_text(F.col("value"), F.lit(" NAO_APLICAVEL ")).alias("same"))
 
 
-@query("s16_union_sources", "SELECT 'a' AS part, count(*) AS n FROM (SELECT * FROM pages LIMIT 30) UNION ALL SELECT 'b', count(*) FROM pages WHERE page_id % 2 = 0")
+@query("s16_union_sources", "SELECT 'a' AS part, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT * FROM pages LIMIT 30) UNION ALL SELECT 'b', count(*), count(DISTINCT page_id) FROM pages")
 def s16(spark, sf):
     p = _pages(spark, sf)
-    return I.union_sources([(p.withColumn("part", F.lit("a")), 30), (p.where("page_id % 2 = 0").withColumn("part", F.lit("b")), None)]).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return I.union_sources([(p.withColumn("part", F.lit("a")), 30), (p.withColumn("part", F.lit("b")), None)]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 @query("s19_json_lines", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0")
@@ -181,12 +183,12 @@ def f9(spark, sf):
     return D.replay_chain(a).select("site", "step", "outcome")
 
 
-@query("f10_exception_match", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type")
+@query("f10_exception_match", "SELECT event_id, event_type FROM events WHERE event_type IN ('view', 'click')")
 def f10(spark, sf):
     names = F.when(F.col("event_type") == "view", "JsRequiredError").when(F.col("event_type") == "click", "FetchTimeoutError").otherwise("ValueError")
     closure = spark.createDataFrame(D.exception_closure(), "cls string, base string").where("base = 'FetchError'")
     rows = table(spark, sf, "events").withColumn("cls", names).join(F.broadcast(closure), "cls", "left_semi")  # a handful of classes
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("event_id", "event_type")
 
 
 @query("f11_backoff", "SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 0.5 * pow(2, event_id % 5) ELSE 0 END AS delay FROM events")
@@ -219,13 +221,13 @@ def r4(spark, sf):
     return V.audit_manifest(manifest, files, log, "abc")
 
 
-@query("r3_verified_only", "SELECT count(*) AS n FROM documents WHERE doc_id % 17 <> 0")
+@query("r3_verified_only", "SELECT CAST(doc_id AS VARCHAR) AS tar_filename, sha256(text) AS sha256 FROM documents WHERE doc_id % 17 <> 0")
 def r3(spark, sf):
     d = table(spark, sf, "documents")
     name = F.col("doc_id").cast("string")
     manifest = d.select(name.alias("tar_filename"), F.sha2(F.col("text"), 256).alias("sha256"))
     files = V.with_digest(d.select(name.alias("tar_filename"), F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))).drop("content")
-    return V.verified_only(manifest, files).agg(F.count(F.lit(1)).alias("n"))
+    return V.verified_only(manifest, files).select("tar_filename", "sha256")
 
 
 @query("r5_slug", "SELECT page_id, substring(regexp_replace(regexp_replace(lower(url), '[^a-z0-9._-]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g'), 1, 80) AS slug FROM pages")
@@ -244,10 +246,10 @@ def r8(spark, sf):
     return S.query(_latest(spark, sf), {"run_id": "r1", "variable_name": "view", "nonsense": "x"}).select("domain_url", "value", "event_id")
 
 
-@query("r9_runs", "SELECT user_id AS run_id, min(ts) IS NOT NULL AS started, max(CASE WHEN event_type = 'purchase' THEN ts END) IS NOT NULL AS completed, CAST(max(event_id) AS BIGINT) AS sample_size FROM events GROUP BY user_id")
+@query("r9_runs", "SELECT user_id AS run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(CASE WHEN event_type = 'purchase' THEN ts END), '%Y-%m-%d %H:%M:%S') AS completed, CAST(max(event_id) AS BIGINT) AS sample_size FROM events GROUP BY user_id")
 def r9(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.lit("p").alias("protocol_version"), F.col("ts").alias("started_at"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("completed_at"), F.col("event_id").alias("sample_size"), F.lit(0).alias("errors_count"))
-    return S.runs(e).select("run_id", F.col("started_at").isNotNull().alias("started"), F.col("completed_at").isNotNull().alias("completed"), "sample_size")
+    return S.runs(e).select("run_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started"), F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed"), "sample_size")
 
 
 @query("r10_json_value", f"WITH {_RESULTS} SELECT event_id, trim(value, '\"') AS plain, value AS again FROM results")
@@ -269,7 +271,7 @@ def r12(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["text"], F.lit("\u0001"))), ""), 256).alias("digest"))
 
 
-@query("r13_directory_digest", None)
+@query("r13_directory_digest", "SELECT source AS dir, sha256(unhex(string_agg(hex(encode(CAST(doc_id AS VARCHAR))) || '00' || hex(encode(sha256(text))), '' ORDER BY CAST(doc_id AS VARCHAR)))) AS sha256 FROM documents GROUP BY source")
 def r13(spark, sf):
     files = table(spark, sf, "documents").select(F.col("source").alias("dir"), F.col("doc_id").cast("string").alias("name"), F.sha2(F.col("text"), 256).alias("actual_sha256"))
     return V.directory_digest(files)
@@ -324,11 +326,11 @@ def l6(spark, sf):
     return K.capped(K.first_of(ok, ["page_id", "url"], "seq"), ["page_id"], "seq", 2).select("page_id", "url")
 
 
-_PDFS = f"{_LINKS}, sel AS (SELECT page_id, seq AS pos, 'https://s/' || page_id || '/' || (seq % 3) || '.pdf' AS u FROM l WHERE seq % 2 = 0), s1 AS (SELECT page_id, u, min(pos) AS pos FROM sel GROUP BY ALL)"
+_PDFS = f"{_LINKS}, sel AS (SELECT page_id, seq AS pos, 'https://s/' || page_id || '/' || (seq % 3) || '.pdf' AS u FROM l), s1 AS (SELECT page_id, u, min(pos) AS pos FROM sel GROUP BY ALL)"
 
 
 def _selection(spark, sf) -> DataFrame:
-    rows = K.link_rows(_pages(spark, sf)).where("seq % 2 = 0")
+    rows = K.link_rows(_pages(spark, sf))
     url = F.concat(F.lit("https://s/"), F.col("page_id").cast("string"), F.lit("/"), (F.col("seq") % 3).cast("string"), F.lit(".pdf"))
     return rows.select("page_id", F.lit("politica_privacidade").alias("category"), F.col("seq").alias("pos"), url.alias("url"))
 
@@ -373,12 +375,18 @@ def l12(spark, sf):
     return K.blocked(p, found).select("page_id", F.lit(True).alias("blocked")).unionByName(K.not_blocked(p, found).select("page_id", F.lit(False).alias("blocked")))
 
 
-@query("l13_suffix_lookup", f"WITH k AS (SELECT page_id, {_HOST} AS site, {_PATH} AS p FROM pages), n AS (SELECT a.page_id, b.page_id AS found, row_number() OVER (PARTITION BY a.site, a.p ORDER BY CASE WHEN b.p = a.p THEN 1 ELSE 2 END, b.page_id) AS n FROM k a JOIN k b ON a.site = b.site AND (a.p = b.p OR (a.p <> '/' AND b.p <> '/' AND (ends_with(a.p, b.p) OR ends_with(b.p, a.p)))) WHERE b.page_id % 2 = 0) SELECT count(*) AS found FROM n WHERE n = 1")
+_LAST = f"'/' || regexp_extract({_PATH}, '([^/]*)/*$', 1)"
+
+
+@query("l13_suffix_lookup", f"""WITH k AS (SELECT page_id, {_HOST} AS site, {_PATH} AS p, {_LAST} AS w FROM pages), a AS (SELECT DISTINCT site, w FROM k),
+    n AS (SELECT a.site, a.w AS wanted, b.page_id AS found, row_number() OVER (PARTITION BY a.site, a.w ORDER BY CASE WHEN b.p = a.w THEN 1 ELSE 2 END, b.page_id) AS n FROM a JOIN k b ON a.site = b.site AND (b.p = a.w OR (a.w <> '/' AND b.p <> '/' AND (ends_with(a.w, b.p) OR ends_with(b.p, a.w)))))
+    SELECT site, wanted, found FROM n WHERE n = 1""")
 def l13(spark, sf):
-    site = U.host(F.col("url"))
-    wanted = _pages(spark, sf).select(site.alias("site"), F.concat(F.lit("https://x"), U.path(F.col("url"))).alias("url")).distinct()
-    pages = _pages(spark, sf).where("page_id % 2 = 0").select(site.alias("site"), U.path(F.col("url")).alias("page_key"), F.col("page_id").alias("seq"))
-    return K.lookup(wanted, pages).agg(F.count(F.lit(1)).alias("found"))
+    """Every page is looked for by the last step of its path, among all pages of its site."""
+    site, last = U.host(F.col("url")), F.concat(F.lit("/"), F.regexp_extract(U.path(F.col("url")), "([^/]*)/*$", 1))
+    wanted = _pages(spark, sf).select(site.alias("site"), F.concat(F.lit("https://x"), last).alias("url")).distinct()
+    pages = _pages(spark, sf).select(site.alias("site"), U.path(F.col("url")).alias("page_key"), F.col("page_id").alias("seq"))
+    return K.lookup(wanted, pages).select("site", F.substring("url", F.lit(10), F.char_length("url")).alias("wanted"), F.col("seq").alias("found"))
 
 
 @query("l15_same_domain", f"SELECT page_id, {_HOST} = 'therha.example.com' OR ends_with({_HOST}, '.example.com') AS below, NOT ({_HOST} LIKE '%.example.net') AS own FROM pages")
@@ -410,13 +418,13 @@ def v2(spark, sf):
 _SITES = f"p AS (SELECT page_id, {_HOST} AS site, html, {_PATH} AS page_key FROM pages)"
 
 
-@query("v5_policy_ladder", f"""WITH {_SITES}, w AS (SELECT site, page_id, (contains(lower(html), 'tionble'))::INT + (contains(lower(html), 'thwh'))::INT + (contains(lower(html), 'oner'))::INT AS words FROM p WHERE octet_length(encode(html)) >= 500 AND page_id % 2 = 0),
+@query("v5_policy_ladder", f"""WITH {_SITES}, w AS (SELECT site, page_id, (contains(lower(html), 'tionble'))::INT + (contains(lower(html), 'thwh'))::INT + (contains(lower(html), 'oner'))::INT AS words FROM p WHERE octet_length(encode(html)) >= 500),
     r AS (SELECT site, page_id, CASE WHEN words >= 3 THEN 3 WHEN words >= 1 AND page_id % 3 = 0 THEN 1 END AS level FROM w), b AS (SELECT site, max(level) AS level FROM r GROUP BY site), s AS (SELECT DISTINCT site FROM p)
     SELECT site, CASE WHEN level IS NULL THEN 'false' ELSE 'true' END AS state, CASE WHEN level = 3 THEN 0.95 WHEN level = 1 THEN 0.65 ELSE 0.95 END AS confidence FROM s LEFT JOIN b USING (site)""")
 def v5(spark, sf):
     p = _pages(spark, sf).select("page_id", U.host(F.col("url")).alias("site"), F.concat(F.lit("https://x/p"), F.col("page_id").cast("string")).alias("url"), F.col("html").alias("body"))
     pages = p.select("site", F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("page_key"), F.col("page_id").alias("seq"), "body")
-    selection = p.where("page_id % 2 = 0").select("site", F.col("page_id").alias("pos"), "url", F.when(F.col("page_id") % 3 == 0, "strong").otherwise(L.WEAK_POLICY_PATTERNS[0]).alias("matched_pattern"))
+    selection = p.select("site", F.col("page_id").alias("pos"), "url", F.when(F.col("page_id") % 3 == 0, "strong").otherwise(L.WEAK_POLICY_PATTERNS[0]).alias("matched_pattern"))
     sites = p.select("site").distinct().withColumn("root_bytes", F.lit(1))
     # exact keys only: a path that merely ends alike belongs to another page here
     exact = pages.join(selection.select("site", F.regexp_extract("url", "(/p[0-9]+)$", 1).alias("page_key")), ["site", "page_key"], "left_semi")
@@ -540,6 +548,56 @@ def o4(spark, sf):
     return typed.groupBy("run_id", "variable_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_sentencas_sinalizadas"), 6).alias("mean_flagged"))
 
 
+@query(
+    "o6_render_outputs",
+    f"""WITH {_STATES}, n AS (SELECT count(*) AS all_rows, count(DISTINCT site) AS sites FROM resolved)
+    SELECT 'csv' AS output, all_rows AS n FROM n UNION ALL SELECT 'csv_largo', sites FROM n UNION ALL SELECT 'json', sites FROM n UNION ALL SELECT 'parquet', all_rows FROM n UNION ALL SELECT 'unknown', -1""",
+)
+def o6(spark, sf):
+    """Every output is written and read again; one that is not known fails alone."""
+    places = {n: scratch(spark, f"o6-{n}") for n in ("csv", "csv_largo", "json", "parquet")}
+    done = R.render(_rendered(spark, sf), [{"name": n, "params": {"path": p, "variables": ["quality", "toxic"]}} for n, p in places.items()] + [{"name": "unknown"}])
+    readers = {"csv": lambda p: spark.read.option("header", True).option("sep", ";").csv(p), "csv_largo": lambda p: spark.read.option("header", True).option("sep", ";").csv(p), "json": spark.read.text, "parquet": spark.read.parquet}
+    counts = [readers[n](p).agg(F.lit(n).alias("output"), F.count(F.lit(1)).alias("n")) for n, p in places.items() if done[n] is None]
+    failed = spark.createDataFrame([(n, -1) for n, e in done.items() if e is not None], "output string, n long")
+    return reduce(DataFrame.unionByName, counts, failed)
+
+
+@query("o2_wide_csv", f"""WITH {_STATES}, w AS (SELECT 'd' || site || '.com' AS dominio, max(CASE WHEN variable_name = 'quality' THEN state END) AS quality, max(CASE WHEN variable_name = 'toxic' THEN state END) AS toxic,
+    count(*) FILTER (WHERE state = 'false') AS a, count(*) FILTER (WHERE state = 'nao_aplicavel') AS b, count(*) FILTER (WHERE state = 'nao_coletado') AS c FROM resolved GROUP BY site)
+    SELECT dominio, quality, toxic, CAST(row_number() OVER (ORDER BY CAST(c > 0 AS INT), b DESC, a DESC, dominio) AS BIGINT) AS ordem FROM w""")
+def o2(spark, sf):
+    path = scratch(spark, "o2")
+    R.write_wide(_rendered(spark, sf), {"path": path, "variables": ["quality", "toxic"]})
+    return spark.read.option("header", True).option("sep", ";").csv(path).select("dominio", "quality", "toxic", F.col("ordem").cast("long").alias("ordem"))
+
+
+@query("s20_archive_pages", "SELECT page_id, md5(html) AS digest FROM pages")
+def s20(spark, sf):
+    """Every page packed into an archive of its own and read back."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    def packed(batches):
+        for b in batches:
+            out = []
+            for key, page in zip(b["page_id"], b["html"], strict=True):
+                data = (page or "").encode()
+                buffer = io.BytesIO()
+                with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+                    info = tarfile.TarInfo("pages/root.html")
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+                out.append((f"t{key}", buffer.getvalue()))
+            yield pd.DataFrame(out, columns=["tar_filename", "content"])
+
+    archives = _pages(spark, sf).select("page_id", "html").mapInPandas(packed, "tar_filename string, content binary")
+    rows = V.archive_pages(archives)
+    return rows.select(F.substring("tar_filename", F.lit(2), F.lit(30)).cast("long").alias("page_id"), F.md5("body").alias("digest"))
+
+
 @query("w6_root_cause", "SELECT user_id AS site, coalesce(arg_min(event_type, event_id) FILTER (WHERE event_type <> 'view'), arg_min(event_type, event_id)) AS motivo FROM events GROUP BY user_id")
 def w6(spark, sf):
     first = F.min(F.struct((F.col("event_type") == "view").alias("later"), "event_id", "event_type"))
@@ -562,10 +620,7 @@ def x1(spark, sf):
     """The upsert as a stream, run to its end over what there is."""
     from glasshouse.streaming.upserts import latest, read
 
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or _scratch()
-    path, mark = (f"{base}/glasshouse-x1-{k}-{uuid.uuid4().hex}" for k in ("out", "mark"))
+    path, mark = scratch(spark, "x1-out"), scratch(spark, "x1-mark")
     key = ["run_id", "domain_url", "variable_name"]
     rows = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     kind = F.floor("value").cast("long") % 4
@@ -579,9 +634,3 @@ def x1(spark, sf):
 
     latest(stream, key).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return read(spark, path, key).select(*key, "value")
-
-
-def _scratch() -> str:
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="glasshouse-")

@@ -365,6 +365,18 @@ def m14(spark, sf):
     return S.fit_idf(_docs(spark, sf), "doc_id").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query("m7_model_round_trip", f"{_VOCAB} SELECT 'text' AS kind, count(*) AS terms, round(sum(idf), 3) AS idf, round(sum((length(term) % 7 - 3) / 10.0), 1) AS coef FROM vocab")
+def m7(spark, sf):
+    """A model written with its identity and read again by it."""
+    from glasshouse.plans.registry import scratch
+
+    path = scratch(spark, "m7")
+    vocabulary = S.fit_idf(_docs(spark, sf), "doc_id").select("term", "idf", ((F.char_length("term") % 7).cast("double") / 10 - 0.3).alias("coef"))
+    identity = S.write_model(vocabulary, {"kind": "text", "version": "1"}, path)
+    again, meta = S.read_model(spark, path, identity, "text", "1")
+    return again.agg(F.lit(meta["kind"]).alias("kind"), F.count(F.lit(1)).alias("terms"), F.round(F.sum("idf"), 3).alias("idf"), F.round(F.sum("coef"), 1).alias("coef"))
+
+
 @query("m1_tfidf_norms", f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w FROM tf JOIN vocab USING (term)) SELECT doc_id, count(*) AS n_terms, round(sqrt(sum(w * w)), 4) AS norm FROM w GROUP BY doc_id")
 def m1(spark, sf):
     docs = _docs(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +37,13 @@ def spread(rows: DataFrame) -> DataFrame:
     cores = rows.sparkSession.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if size < SPREAD_BYTES * cores else rows
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the cluster names; a local one only where the session runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="glasshouse-")
+    return f"{base.rstrip('/')}/glasshouse-{name}-{uuid.uuid4().hex}"

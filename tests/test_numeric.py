@@ -83,3 +83,17 @@ def test_bins_and_bootstraps():
     assert N.corrected_interval(np.array([0.8, 0.9, 0.85, 0.8]), 4, 1, 0.25)[0] == pytest.approx(0.8375)
     assert len(N.fit_table(np.array([[1], [0]]), np.array([20, 15]), np.array([30, 40]), ["x"])) == 2
     assert N.two_proportions(10, 50, 10, 50)["p"] == 1.0
+
+
+def test_grouped_bins_are_the_bins_of_all_rows():
+    rng = np.random.default_rng(5)
+    for size in (7, 60, 900):
+        p = np.round(rng.random(size) ** 3, 2)
+        y = (rng.random(size) < p).astype(int)
+        scores = [(float(v), int((p == v).sum()), int(y[p == v].sum())) for v in np.unique(p)]
+        flat_p = np.concatenate([np.full(n, v) for v, n, _ in scores])
+        flat_y = np.concatenate([np.r_[np.ones(k), np.zeros(n - k)] for _, n, k in scores])
+        want, got = N.adaptive_bins(flat_p, flat_y), N.grouped_bins(scores)
+        assert [b["n"] for b in got] == [b["n"] for b in want]
+        for a, b in zip(got, want):
+            assert all(abs(a[k] - b[k]) < 1e-9 for k in ("mean_p", "rate", "low", "high")) and a["compatible"] == b["compatible"]
