@@ -9,14 +9,18 @@ quantiser of 8 the coefficient is the sample less 128 exactly, and any JPEG deco
 for all 64 pixels.  The Huffman table gives size class c a code of 9 - c bits, so a block always takes
 10 bits with its end mark; frames of that kind are decoded side by side, others bit by bit.
 
+Reading takes baseline frames with or without their own Huffman tables, with restart intervals, subsampled components and
+thumbnails, and files of several RIFF parts (beyond 1 GB).
+
 Nulls: a null text is empty, and its payload one frame of padding; a null media value has no clips and
-null features, as has one that cannot be decoded, with the reason in `error`.  A null doc_id stays null.  Repeated rows get
+null features, as has one that cannot be decoded, however it is damaged, with the reason in `error`.  Long texts are stored whole.  A null doc_id stays null.  Repeated rows get
 equal values.  Empty table: empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,6 +40,23 @@ FPS = 25
 #: Fixed values of the JPEG format: the zigzag order of coefficients, by row * 8 + column.
 ZIGZAG = sorted(range(64), key=lambda p: (p // 8 + p % 8, p // 8 if (p // 8 + p % 8) % 2 else p % 8))
 
+#: Fixed values of the JPEG format: the tables that motion-JPEG frames without their own use, as the number of codes of each length and the
+#: first symbols; the symbols not named follow in order.
+USUAL = {
+    0x00: ("0 1 5 1 1 1 1 1 1 0 0 0 0 0 0 0", ""),
+    0x01: ("0 3 1 1 1 1 1 1 1 1 1 0 0 0 0 0", ""),
+    0x10: ("0 2 1 3 3 2 4 3 5 5 4 4 0 0 1 125", "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82"),
+    0x11: ("0 2 1 2 4 4 3 4 7 5 4 4 0 1 2 119", "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1"),
+}
+
+
+def usual_table(kind: int) -> bytes:
+    """The body of the segment that would hold a usual table."""
+    counts, first = USUAL[kind]
+    symbols = range(12) if kind < 16 else sorted({0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))})
+    named = list(bytes.fromhex(first))
+    return bytes([kind, *map(int, counts.split()), *named, *(s for s in symbols if s not in named)])
+
 
 # --- writing ---
 
@@ -120,6 +141,7 @@ def riff_frames(data: bytes) -> tuple[list[tuple[int, int]], int]:
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     found: dict[bytes, tuple[int, int]] = {}
+    movies: list[tuple[int, int]] = []  # of all RIFF parts
 
     def walk(at: int, end: int) -> None:
         while at + 8 <= end:
@@ -128,19 +150,25 @@ def riff_frames(data: bytes) -> tuple[list[tuple[int, int]], int]:
                 raise ValueError("a chunk ends outside its parent")
             if name == b"LIST":
                 found.setdefault(data[at + 8 : at + 12], (at + 12, at + 8 + size))
+                if data[at + 8 : at + 12] == b"movi":
+                    movies.append((at + 12, at + 8 + size))
                 if data[at + 8 : at + 12] == b"hdrl":
                     walk(at + 12, at + 8 + size)
             else:
                 found.setdefault(name, (at + 8, at + 8 + size))
             at += 8 + size + size % 2
 
-    walk(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))
+    part = 0
+    while part + 12 <= len(data) and data[part : part + 4] == b"RIFF":
+        size = struct.unpack_from("<I", data, part + 4)[0]
+        walk(part + 12, min(len(data), part + 8 + size))
+        part += 8 + size + size % 2
     if b"movi" not in found or b"avih" not in found:
         raise ValueError("no frames")
     micros = struct.unpack_from("<I", data, found[b"avih"][0])[0]
     begin, end = found[b"movi"]
     frames = []
-    if b"idx1" in found:
+    if b"idx1" in found and len(movies) == 1:
         for at in range(found[b"idx1"][0], found[b"idx1"][1] - 15, 16):
             name, _, offset, size = struct.unpack_from("<4sIII", data, at)
             place = begin - 4 + offset  # from the list's type; some writers count from the file's start
@@ -150,13 +178,20 @@ def riff_frames(data: bytes) -> tuple[list[tuple[int, int]], int]:
                 if data[place : place + 4] != name or place + 8 + size > len(data):
                     raise ValueError("the index points outside the frames")
                 frames.append((place + 8, size))
-    else:
-        at = begin
-        while at + 8 <= end:
+    else:  # the index covers the first part at most
+        todo = movies[::-1]
+        while todo:
+            at, end = todo.pop()
+            if at + 8 > end:
+                continue
             name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-            if name[2:] in (b"dc", b"db"):
+            if at + 8 + size > end:
+                raise ValueError("a chunk ends outside its parent")
+            todo.append((at + 8 + size + size % 2, end))
+            if name == b"LIST":
+                todo.append((at + 12, at + 8 + size))
+            elif name[2:] in (b"dc", b"db"):
                 frames.append((at + 8, size))
-            at += 8 + size + size % 2
     return frames, micros
 
 
@@ -168,10 +203,8 @@ class Tables:
         self.codes: dict[int, dict[tuple[int, int], int]] = {}
         self.parts: list[tuple[int, int, int, int]] = []
         self.scan: list[tuple[int, int]] = []
-        self.restart, at = 0, 2
-        while at + 4 <= len(head):
-            marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
-            body = head[at + 4 : at + 2 + size]
+        self.restart = 0
+        for marker, body in segments(head):
             if marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
@@ -180,15 +213,7 @@ class Tables:
                     body = body[1 + n :]
             elif marker == 0xC4:
                 while body:
-                    counts, n = body[1:17], sum(body[1:17])
-                    code, k, table = 0, 0, {}
-                    for bits in range(16):
-                        for _ in range(counts[bits]):
-                            table[bits + 1, code] = body[17 + k]
-                            code, k = code + 1, k + 1
-                        code <<= 1
-                    self.codes[body[0]] = table
-                    body = body[17 + n :]
+                    body = self._read_codes(body)
             elif marker in (0xC0, 0xC1):
                 _, self.height, self.width, n = struct.unpack_from(">BHHB", body)
                 self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
@@ -198,18 +223,66 @@ class Tables:
                 self.scan = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
             elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
                 raise ValueError("not a baseline frame")
-            at += 2 + size
         if not self.parts or not self.scan:
             raise ValueError("no frame header")
+        if not self.width or not self.height or not all(1 <= h <= 4 and 1 <= v <= 4 for _, h, v, _ in self.parts):
+            raise ValueError("a frame without size or with impossible sampling")
+        if not self.codes:
+            for kind in USUAL:
+                self._read_codes(usual_table(kind))
+
+    def _read_codes(self, body: bytes) -> bytes:
+        """One Huffman table; returns what follows it."""
+        counts, n = body[1:17], sum(body[1:17])
+        code, k, table = 0, 0, {}
+        for bits in range(16):
+            for _ in range(counts[bits]):
+                table[bits + 1, code] = body[17 + k]
+                code, k = code + 1, k + 1
+            code <<= 1
+        self.codes[body[0]] = table
+        return body[17 + n :]
+
+
+def segments(frame: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and body of each segment up to and with the scan's."""
+    at = 2
+    while at + 4 <= len(frame):
+        if frame[at] != 0xFF:
+            raise ValueError("no marker where a segment must begin")
+        marker = frame[at + 1]
+        if marker == 0xFF:  # fill bytes
+            at += 1
+            continue
+        size = struct.unpack_from(">H", frame, at + 2)[0]
+        yield marker, frame[at + 4 : at + 2 + size]
+        if marker == 0xDA:
+            return
+        at += 2 + max(2, size)
+
+
+def scan_start(frame: bytes) -> int:
+    """Where the coded blocks begin: a thumbnail inside of a segment is not the frame's scan."""
+    at = 2
+    while at + 4 <= len(frame) and frame[at] == 0xFF:
+        if frame[at + 1] == 0xFF:
+            at += 1
+            continue
+        end = at + 2 + max(2, struct.unpack_from(">H", frame, at + 2)[0])
+        if frame[at + 1] == 0xDA:
+            return end
+        at = end
+    raise ValueError("not a JPEG frame")
 
 
+_RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 _BASIS = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
 
 def decode_luma(tables: Tables, coded: bytes) -> np.ndarray:
     """The first component of any baseline frame, bit by bit."""
-    bits = np.unpackbits(np.frombuffer(_unstuffed(coded), dtype=np.uint8))
-    at = 0
+    parts = _RESTART.split(coded) if tables.restart else [coded]
+    bits, at = np.zeros(0, np.uint8), 0
 
     def symbol(table: dict[tuple[int, int], int]) -> int:
         nonlocal at
@@ -229,8 +302,6 @@ def decode_luma(tables: Tables, coded: bytes) -> np.ndarray:
         at += n
         return v if v >> (n - 1) else v - (1 << n) + 1
 
-    if tables.restart:
-        raise ValueError("restart intervals are not read")
     shape = {c: (h, v, q) for c, h, v, q in tables.parts}
     alone = len(tables.scan) == 1
     most_h, most_v = max(p[1] for p in tables.parts), max(p[2] for p in tables.parts)
@@ -242,6 +313,9 @@ def decode_luma(tables: Tables, coded: bytes) -> np.ndarray:
     last = dict.fromkeys(shape, 0)
     try:
         for m in range(across * down):
+            if m % (tables.restart or across * down) == 0:
+                bits, at = np.unpackbits(np.frombuffer(_unstuffed(parts[m // (tables.restart or across * down)]), dtype=np.uint8)), 0
+                last = dict.fromkeys(shape, 0)
             for c, own in tables.scan:
                 ch, cv, q = shape[c]
                 for k in range(1 if alone else ch * cv):
@@ -288,10 +362,9 @@ def read_samples(data: bytes) -> tuple[np.ndarray, int]:
     out = []
     for a, n in frames:
         frame = data[a : a + n]
-        scan = frame.find(b"\xff\xda")
-        if frame[:2] != b"\xff\xd8" or scan < 0:
+        if frame[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG frame")
-        start = scan + 2 + struct.unpack_from(">H", frame, scan + 2)[0]
+        start = scan_start(frame)
         end = frame.rfind(b"\xff\xd9")
         luma = decode_luma(Tables(frame[:start]), frame[start : end if end >= start else len(frame)])
         high, wide = -(-luma.shape[0] // 8) * 8, -(-luma.shape[1] // 8) * 8
@@ -367,8 +440,8 @@ def _scanned(media: bytes | None, payload: bool) -> dict:
         return {}
     try:
         samples, micros = read_samples(media)
-    except (ValueError, struct.error) as e:
-        return {"error": str(e)}
+    except (ValueError, ArithmeticError, LookupError, TypeError, MemoryError, struct.error) as e:  # whatever a damaged file leads to
+        return {"error": str(e) or type(e).__name__}
     found, diff = shots(samples)
     clips = [{"first_frame": a, "last_frame": b, "start_s": a * micros / 1e6, "end_s": (b + 1) * micros / 1e6} for a, b in found]
     out = {"n_frames": len(samples), "shots": len(found), "mean_difference": float(diff.mean()) if len(diff) else 0.0, "clips": clips}
@@ -383,20 +456,21 @@ def clip_rows(scanned: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as media, reads it back, and gives the digests of what was read."""
+    """Stores every text as media, reads the stored bytes back, and gives the digests of what was read and the timed clips."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = [_digest(m) for m in part.column("media").to_pylist()]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=_DIGEST)
+        for b in steps(batches, "text", 1 << 20):
+            raw, offsets = buffers(strings(b.column("text")))
+            data = raw.tobytes()
+            rows = [_digest(store(data[x:y])) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), _arrow(False).field("clips").type)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=_DIGEST)
 
-    return to_media(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, shots int")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, shots int, clips array<struct<first_frame: int, last_frame: int, start_s: double, end_s: double>>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-_DIGEST = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "shots"]
+_DIGEST = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "shots", "clips"]
 
 
 def _digest(media: bytes) -> tuple:
@@ -406,4 +480,4 @@ def _digest(media: bytes) -> tuple:
     data = row["payload"]
     feature = f"{row['mean_difference']:.6f} " + ",".join(f"{c['first_frame']}-{c['last_frame']}" for c in row["clips"])
     n = len(data.rstrip(b"\xff"))  # no UTF-8 text holds a byte 255
-    return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), row["media_bytes"], row["media_sha256"], feature, row["n_frames"], row["shots"]
+    return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), row["media_bytes"], row["media_sha256"], feature, row["n_frames"], row["shots"], row["clips"]
