@@ -11,7 +11,7 @@ that of its licence file if it has one, else of its best-scored file (ties: the
 without a licence of its own inherits from the nearest directory above it that has one.  Inheritance
 joins distinct directories, not files, to the directories above them.
 
-Nulls: a null text is empty; a null path has no directory and inherits nothing.  Repeated rows get equal values.
+Long texts are compared whole.  Nulls: a null text is empty; a null path has no directory and inherits nothing.  Repeated rows get equal values.
 Empty table: empty result.  Other columns are ignored.
 """
 
@@ -53,6 +53,8 @@ TEMPLATES = [
     ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
 ]
+#: And the tag that names a licence, for all of these and the licences of full texts.
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in sorted({n for n, _ in TEMPLATES} | {"BSD-2-Clause", "ISC", "MPL-1.1", "LGPL-2.0"})]
 #: Licences without a full text at hand: the text of a sibling with its name replaced.
 SIBLINGS = [
     ("AGPL-3.0", "GPL-3.0", r"(?i)gnu\s+general", "GNU Affero General"),
