@@ -132,6 +132,24 @@ def test_forward_backward():
     assert logz == pytest.approx(sum(w[1] for w in want) - 2 * math.log(3))
 
 
+def test_pieces_are_the_uncut_chain():
+    """Texts of one and of many pieces, word by word as the whole chain has it."""
+    r = np.random.default_rng(8)
+    k, sizes = 4, [0, 1, 31, 32, 33, 64, 65, 200, 0, 997]
+    first = np.r_[0, np.cumsum(sizes)]
+    scores, moves = r.normal(size=(first[-1], k)) * 3, r.normal(size=(k, k)) * 2
+    begin, lengths, text = langid.pieces_of(first)
+    enter, leave = langid.boundaries(scores, begin, lengths, text, moves)
+    got = np.zeros_like(scores)
+    marginal, _, _ = langid.forward_backward(langid.padded(scores, begin, lengths, langid.PIECE), lengths, moves, enter, leave)
+    for i, (a, n) in enumerate(zip(begin, lengths)):
+        got[a : a + n] = marginal[i, :n]
+    for a, n in zip(first[:-1], sizes):
+        if n:
+            want, _, _ = langid.forward_backward(scores[None, a : a + n], np.array([n]), moves)
+            assert np.allclose(got[a : a + n], want[0])
+
+
 def sentences(lang, n, seed):
     r = random.Random(seed)
     words = {"en": "the and of thing with house water would there".split(), "de": "der und nicht haus wasser über straße möchte dort".split()}[lang]
@@ -206,6 +224,70 @@ def test_general_frames(spark):
     assert got[1].n_frames == 3 and got[1].shots == 1 and got[2].n_frames is None and got[3].error and got[4].error
 
 
+def test_usual_tables_restarts_and_thumbnails():
+    """A frame without its own tables, one in restart intervals and one with a whole frame inside of a segment, beside the plain one."""
+    import struct
+
+    for kind in media.USUAL:
+        body = media.usual_table(kind)
+        assert sum(body[1:17]) == len(body) - 17 == (12 if kind < 16 else 162) and len(set(body[17:])) == len(body) - 17
+    seg = media._segment
+    quant, shape, scan = seg(0xDB, b"\0" + bytes([8] * 64)), seg(0xC0, struct.pack(">BHHB", 8, 8, 32, 1) + bytes([1, 0x11, 0])), seg(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    tables = seg(0xC4, media.usual_table(0x00)) + seg(0xC4, media.usual_table(0x10))
+    codes = {(n, media.Tables(b"\xff\xd8" + quant + shape + tables + scan).codes[0][n]): None for n in media.Tables(b"\xff\xd8" + quant + shape + tables + scan).codes[0]}
+    dc = {symbol: format(code, f"0{n}b") for (n, code), symbol in codes}
+
+    def coded(differences):
+        bits = ""
+        for d in differences:
+            n = abs(d).bit_length()
+            bits += dc[n] + (format(d if d > 0 else d + (1 << n) - 1, f"0{n}b") if n else "") + "1010"  # end of block
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+
+    levels = [5, -3, 60, 60]
+    plain = coded(np.diff([0, *levels]).tolist())
+    inside = b"\xff\xd8" + quant + tables + shape + scan + b"x\xff\xd9"
+    frames = [
+        b"\xff\xd8" + quant + tables + shape + scan + plain, b"\xff\xd8" + quant + shape + scan + plain, b"\xff\xd8" + seg(0xE0, inside) + quant + shape + scan + plain,
+        b"\xff\xd8" + quant + seg(0xDD, b"\0\1") + shape + scan + b"".join(coded([v]) + bytes([0xFF, 0xD0 + i]) for i, v in enumerate(levels))[:-2],
+    ]
+    samples, _ = media.read_samples(media.write_avi([f + b"\xff\xd9" for f in frames], 32, 8))
+    assert samples.tolist() == [[128 + v for v in levels]] * 4
+
+
+def test_several_riff_parts():
+    one = media.store(b"a" * 576 * 3)
+    frames, _ = media.riff_frames(one)
+    chunks = b"".join(media._chunk(b"00dc", one[a : a + n]) for a, n in frames[:2])
+    two = one + media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + media._chunk(b"LIST", b"rec " + chunks)))
+    assert media.read_samples(two)[0].tobytes() == b"a" * 576 * 5
+
+
+def test_damaged_media_give_an_error():
+    """Cut short and with bytes changed, own frames and general ones: a reason or a result, never an exception."""
+    r = random.Random(3)
+    head, coded = coded_gradient()
+    for data in (media.store(b"some text" * 300), media.write_avi([head + coded + b"\xff\xd9"] * 3, 16, 16)):
+        for _ in range(250):
+            x = bytearray(data[: r.randint(0, len(data))] if r.random() < 0.5 else data)
+            for _ in range(r.randint(0, 6)):
+                if x:
+                    x[r.randrange(len(x))] = r.randrange(256)
+            out = media._scanned(bytes(x), False)
+            assert out.get("error") or out["n_frames"] >= 0
+    zero = bytearray(head)
+    zero[zero.index(b"\xff\xc0") + 11] = 0  # sampling factors
+    assert media._scanned(media.write_avi([bytes(zero) + coded + b"\xff\xd9"], 16, 16), False)["error"]
+
+
+def test_long_text_round_trip(spark):
+    text = "\u00e9long " * 150_000
+    r = media.digests(frame(spark, [(1, text)])).first()
+    assert r.n_bytes == len(text.encode()) and r.payload_sha256 == hashlib.sha256(text.encode() + b"\xff" * (-len(text.encode()) % 576)).hexdigest()
+    assert r.clips[0].start_s == 0 and r.clips[-1].end_s == pytest.approx(r.n_frames * 0.04) and len(r.clips) == r.shots
+
+
 def test_shots(spark):
     calm, other = np.full((1, 576), 10, np.uint8), np.full((1, 576), 200, np.uint8)
     found, diff = media.shots(np.concatenate([calm] * 10 + [other] * 7 + [calm] * 5))
@@ -299,6 +381,12 @@ def test_licence_headers_over_lines_and_whole_files(spark):
     assert (got["/f/GPL-2.0/src/x.py"].license, got["/f/GPL-2.0/src/x.py"].distance) == ("GPL-2.0", 1)
 
 
+def test_licence_tags(spark):
+    texts = [(f"/{k}/x.c", f"/* SPDX-License-Identifier: {n} */\nint x;") for k, n in enumerate(["MIT", "Apache-2.0", "GPL-3.0-or-later", "BSD-2-Clause", "Zlib"])] + [("/long/x.c", "word " * 200_000 + "SPDX-License-Identifier: ISC")]
+    got = {r.path: r.own for r in license_scan.scan(spark, spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "id long, path string, text string")).collect()}
+    assert [got[p] for p, _ in texts] == ["MIT", "Apache-2.0", "GPL-3.0", "BSD-2-Clause", None, "ISC"]
+
+
 def words(n, count=12):
     r = random.Random(n)
     return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(count))
