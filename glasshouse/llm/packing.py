@@ -66,6 +66,9 @@ def token_ids(text: str, path: str) -> np.ndarray:
     return enc.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
+CHUNK_ROWS = 50_000  # pieces of one length that one chunk ranks, on average
+
+
 def piece_starts(n: int, size: int) -> list[int]:
     """Where the pieces of n tokens begin: whole pieces last, the first takes what is over."""
     first = n % size or size
@@ -203,8 +206,9 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, size: int = SIZE, end:
     keys, sequences, offsets = slots(plan(histogram), size)
     shared = spark.sparkContext.broadcast((keys, sequences, offsets))  # bounded by the number of patterns for `size`
 
-    salt = max(16, partitions(spark))
-    rows = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salt)))
+    # the more pieces a length has, the more chunks it is ranked in
+    chunks = F.array(*[F.lit(max(16, partitions(spark), -(-int(n) // CHUNK_ROWS))) for n in histogram])
+    rows = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.element_at(chunks, F.col("length").cast("int") + 1).cast("long")))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ahead = rows.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")).select("length", "chunk", before.alias("ahead"))
     inside = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")) - 1
