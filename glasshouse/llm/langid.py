@@ -7,8 +7,8 @@ text is labelled word by word; a document's score for a language is the mean ove
 A document is one chain.  It is computed in pieces of PIECE words side by side: the product of each piece's transfer matrices
 carries the state over its boundaries in both directions, so the result is that of the uncut chain.
 
-The model is fitted on a bounded sample of labelled rows: at most `per_label` documents of each label,
-in the order of a hash of the identifier.  Whole texts are used, in runs of PIECE words; runs from documents of
+The model is fitted on a bounded sample of labelled rows: at most `per_label` documents of each of MOST_LABELS
+labels (more are an error), in the order of a hash of the identifier.  Whole texts are used, in runs of PIECE words; runs from documents of
 different languages are spliced so that switching is learned.
 
 Nulls: a null or empty text, or one without a letter, is `und` with score 0; rows with a null label are
@@ -29,7 +29,7 @@ from glasshouse.llm.common import ASCII_LOWER, buffers, mix, steps, strings, wor
 
 PIECE = 32
 BITS = 17
-PER_LABEL = 250
+PER_LABEL, MOST_LABELS = 250, 200  # bounds of what is fitted on: documents of a label, and labels
 UNKNOWN = "und"
 _KINDS = 9  # word, 3 prefixes, 3 suffixes, bigrams, trigrams
 
@@ -258,6 +258,8 @@ def held_out(id_col: str = "doc_id"):
 def train(spark: SparkSession, docs: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Fits on at most `per_label` documents of each label that are not held out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    if rows.select("lang").distinct().count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     # identifiers first, without the texts: each task keeps at most per_label of a label before anything is shuffled
     chosen = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_label).select("doc_id", "lang").distinct()
