@@ -122,16 +122,21 @@ def boundaries(scores: np.ndarray, begin: np.ndarray, lengths: np.ndarray, text:
     if not n or count.max() < 2:
         return enter, leave
     trans = np.exp(moves.astype(np.float64))
-    product = np.empty((n, k, k))
-    for a in range(0, n, 1 << 14):
-        part = padded(scores, begin[a : a + (1 << 14)], lengths[a : a + (1 << 14)], PIECE).astype(np.float64)
+    product = np.empty((n, k, k), dtype=np.float32)
+    for a in range(0, n, 1 << 12):
+        size = lengths[a : a + (1 << 12)]
+        part = padded(scores, begin[a : a + (1 << 12)], size, PIECE)
         local = np.exp(part - part.max(axis=2, keepdims=True))
-        now = np.eye(k)[None] * local[:, 0, None, :]
+        now = np.eye(k, dtype=np.float32)[None] * local[:, 0, None, :]
         for i in range(1, PIECE):
-            use = i < lengths[a : a + (1 << 14)]
-            now[use] = (now[use] @ trans) * local[use, i, None, :]
-            now[use] /= now[use].max(axis=(1, 2), keepdims=True)
-        product[a : a + (1 << 14)] = now
+            then = (now.reshape(-1, k) @ trans.astype(np.float32)).reshape(now.shape) * local[:, i, None, :]
+            done = i >= size
+            if done.any():
+                then[done] = now[done]
+            now = then
+            if i % 4 == 3:
+                now /= now.max(axis=(1, 2), keepdims=True)
+        product[a : a + (1 << 12)] = now
     first = np.cumsum(count) - count
     # texts by falling number of pieces, so that those with a next piece are a prefix
     order = np.argsort(-count, kind="stable")
