@@ -63,10 +63,20 @@ def shard_runs(shard: np.ndarray) -> list[tuple[int, int, int]]:
     return list(zip(shard[first].tolist(), first.tolist(), np.r_[first[1:], len(shard)].tolist() if len(first) else [], strict=True))
 
 
-def leading_shard(keys: np.ndarray, shards: int, bits: int = 64) -> np.ndarray:
-    """The shard of keys of `bits` bits: their leading bits."""
-    width = shards.bit_length() - 1
-    return (keys >> np.uint64(bits - width)).astype(np.int64) if width else np.zeros(len(keys), np.int64)
+def cut_runs(cuts: np.ndarray) -> list[tuple[int, int, int]]:
+    """The shards that are not empty, from where each begins and the last ends."""
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    return list(zip(some.tolist(), cuts[some].tolist(), cuts[some + 1].tolist(), strict=True))
+
+
+def leading_runs(keys: np.ndarray, shards: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """The shards of sorted keys of `bits` bits, by their leading bits: looks for the shards among the keys, or for the keys' shards if there are fewer keys."""
+    rest = np.uint64(bits - (shards.bit_length() - 1))
+    if shards == 1:
+        return [(0, 0, len(keys))] if len(keys) else []
+    if len(keys) < shards:
+        return shard_runs((keys >> rest).astype(np.int64))
+    return cut_runs(np.r_[np.searchsorted(keys, np.arange(shards, dtype=np.uint64) << rest), len(keys)])
 
 
 # --- first rounds: a count-min sketch, kept as its touched cells, sharded by cell ---
@@ -83,7 +93,7 @@ class Sketch:
 
     def runs(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
         """The shards of sorted cells."""
-        return shard_runs(leading_shard(cells, self.shards, self.bits))
+        return leading_runs(cells, self.shards, self.bits)
 
     def questions(self, block: int, keys: np.ndarray) -> pa.Table:
         rows: list[tuple] = []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from glasshouse.llm.common import LANES, buffers, combined, strings, word_hashes, word_spans
-from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, leading_shard, merge_least, merge_sketch, per_block, shard_runs, table
+from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, leading_runs, merge_least, merge_sketch, per_block, table
 
 WINDOW = 13
 EXACT = 9  # phase of the exact round, after the sketch's rows
@@ -80,12 +80,12 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, window: int = WINDOW, r
 
     def second(block: int, rows: pa.Table, answers: dict) -> pa.Table:
         _, _, one, two, least = _records(Windows(rows, window), answers, sketch)
-        return table([(EXACT, s, block, one[a:b].tobytes() + two[a:b].tobytes() + least[a:b].tobytes()) for s, a, b in shard_runs(leading_shard(one, shards))], QUESTIONS)
+        return table([(EXACT, s, block, one[a:b].tobytes() + two[a:b].tobytes() + least[a:b].tobytes()) for s, a, b in leading_runs(one, shards)], QUESTIONS)
 
     def last(block: int, rows: pa.Table, answers: dict) -> pa.Table:
         w = Windows(rows, window)
         order, group, one, _, least = _records(w, answers, sketch)
-        earlier = answered(shard_runs(leading_shard(one, shards)), EXACT, answers)
+        earlier = answered(leading_runs(one, shards), EXACT, answers)
         gone = w.at[order][earlier[group] | (w.doc[order] > least[group])] if len(order) else np.zeros(0, np.int64)
         cover = np.zeros(len(w.starts) + 1, dtype=np.int32)
         np.add.at(cover, gone, 1)

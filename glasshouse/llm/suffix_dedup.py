@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glasshouse.llm.common import LANES, buffers, mix, steps, strings
-from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, leading_shard, member, merge_sketch, per_block, replies, shard_runs, table
+from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, blocked, cut_runs, leading_runs, member, merge_sketch, per_block, replies, shard_runs, table
 
 LENGTH = 200
 SPREAD = 64
@@ -151,12 +151,14 @@ def distinct_records(token: np.ndarray, one: np.ndarray, two: np.ndarray) -> tup
 
 def record_runs(token: np.ndarray, one: np.ndarray, splitters: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
     """The buckets of ordered records: a record's bucket is the number of splitters up to it."""
+    if len(token) >= len(splitters[0]):
+        low, high = np.searchsorted(token, splitters[0]), np.searchsorted(token, splitters[0], side="right")
+        for i in np.flatnonzero(low < high).tolist():  # the token of a splitter: the fingerprint decides
+            low[i] += np.searchsorted(one[low[i] : high[i]], splitters[1][i])
+        return cut_runs(np.r_[0, low, len(token)])
     bucket, high = np.searchsorted(splitters[0], token), np.searchsorted(splitters[0], token, side="right")
-    tied = np.flatnonzero(bucket < high)  # the token of a splitter: the fingerprint decides
-    for a, z in {(int(a), int(z)) for a, z in zip(bucket[tied], high[tied], strict=True)}:
-        same = tied[(bucket[tied] == a) & (high[tied] == z)]
-        bucket[same] = a + np.searchsorted(splitters[1][a:z], one[same], side="right")
-        tied = np.setdiff1d(tied, same, assume_unique=True)
+    for i in np.flatnonzero(bucket < high).tolist():
+        bucket[i] += np.searchsorted(splitters[1][bucket[i] : high[i]], one[i], side="right")
     return shard_runs(bucket)
 
 
@@ -282,13 +284,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False
     def second(block: int, rows: pa.Table, answers: dict) -> pa.Table:
         _, _, (_, _, records), (core, context, several, _) = candidates(strings(rows.column("text")), answers)
         asked = record_questions(CONTEXT, block, records, splitters)
-        asked += [(GROUP, s, block, core[a:b].tobytes() + context[a:b].tobytes() + several[a:b].astype(np.uint8).tobytes()) for s, a, b in shard_runs(leading_shard(core, shards))]
+        asked += [(GROUP, s, block, core[a:b].tobytes() + context[a:b].tobytes() + several[a:b].astype(np.uint8).tobytes()) for s, a, b in leading_runs(core, shards)]
         return table(asked, QUESTIONS)
 
     def open_suffixes(texts: pa.LargeStringArray, answers: dict) -> tuple:
         """What the contexts settle, and the suffixes of the other runs."""
         runs, take, (order, group, records), (core, _, _, of) = candidates(texts, answers)
-        several = answered(shard_runs(leading_shard(core, shards)), GROUP, answers)[of]
+        several = answered(leading_runs(core, shards), GROUP, answers)[of]
         twice = np.zeros(len(take), dtype=bool)
         twice[order] = answered(record_runs(records[0], records[1], splitters), CONTEXT, answers)[group]
         wanted = np.zeros(len(runs.begin), dtype=bool)

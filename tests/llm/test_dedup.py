@@ -352,9 +352,20 @@ def test_records_find_their_bucket():
     splitters = sorted(zip(r.integers(0, 6, 20).tolist(), r.integers(0, 50, 20).tolist()))
     records = sorted(zip(r.integers(0, 8, 300).tolist(), r.integers(0, 60, 300).tolist()))
     token, one = (np.array([x[i] for x in records], dtype=np.uint64) for i in range(2))
-    runs = suffix_dedup.record_runs(token, one, tuple(np.array([x[i] for x in splitters], dtype=np.uint64) for i in range(2)))
-    got = [s for s, a, b in runs for _ in range(b - a)]
-    assert got == [sum(k <= x for k in splitters) for x in records]
+    for part in (slice(None), slice(0, 300, 30), slice(0, 0)):  # more records than splitters, and fewer
+        runs = suffix_dedup.record_runs(token[part], one[part], tuple(np.array([x[i] for x in splitters], dtype=np.uint64) for i in range(2)))
+        got = [s for s, a, b in runs for _ in range(b - a)]
+        assert got == [sum(k <= x for k in splitters) for x in records[part]]
+
+
+def test_leading_runs():
+    from glasshouse.llm.exchange import leading_runs
+
+    r = np.random.default_rng(4)
+    for bits, shards, n in ((64, 1, 5), (64, 8, 100), (20, 16, 7), (20, 16, 0), (64, 64, 64)):
+        keys = np.sort(r.integers(0, 1 << min(bits, 63), n).astype(np.uint64) << np.uint64(1 if bits == 64 else 0))
+        got = [s for s, a, b in leading_runs(keys, shards, bits) for _ in range(b - a)]
+        assert got == [int(k) * shards >> bits for k in keys.tolist()]
 
 
 def test_bytes_edges(spark):
