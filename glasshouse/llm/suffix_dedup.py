@@ -36,7 +36,7 @@ from glasshouse.llm.exchange import QUESTIONS, Sketch, answer, answered, ask, bl
 LENGTH = 200
 SPREAD = 64
 CORE = LENGTH - SPREAD + 1  # bytes from an anchor on that every string tied to it contains
-CHUNK = 1 << 20
+CHUNK = 1 << 16  # bytes of text that are worked on at a time: what is derived from them stays in a processor's cache
 SAMPLE_BYTES, BUCKET_SAMPLE = 8 << 20, 8 << 10  # sampled text for the splitters: at least, and for each bucket (16 suffixes)
 CONTEXT, GROUP, SUFFIX = 10, 11, 12  # phases of the questions after the sketch
 _INVERSE = tuple(np.uint64(pow(int(m), -1, 1 << 64)) for m in LANES)
@@ -46,36 +46,37 @@ _powers: dict[int, tuple[np.ndarray, ...]] = {}
 def powers(n: int) -> tuple[np.ndarray, ...]:
     """Powers of both multipliers and of their inverses, n of each at least."""
     if 0 not in _powers or len(_powers[0][0]) < n:
-        size = max(n, CHUNK + (1 << 16))
+        size = max(n + n // 4, 2 * CHUNK)
         _powers[0] = tuple(np.r_[np.uint64(1), np.cumprod(np.full(size - 1, m, dtype=np.uint64))] for m in (*LANES, *_INVERSE))
     return _powers[0]
 
 
 class Chunk:
-    """Tokens, anchors and prefix fingerprints of some texts."""
+    """Tokens and prefix fingerprints of the bytes of some texts."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, base: int):
-        self.raw, self.base, n = raw, base, len(raw)
+    def __init__(self, raw: np.ndarray):
+        n = len(raw)
         full = np.concatenate([raw, np.zeros(16 + -n % 8, dtype=np.uint8)])
         token = np.empty(n + 8 - n % 8, dtype=np.uint64)
         for j in range(8):
             token[j::8] = full[j : j + len(token)].view("<u8")[: len(token[j::8])]
         self.token = token[:n]
-        gram = mix(self.token)
+        self.gram = mix(self.token)
         one, two, self.back_one, self.back_two = powers(n + 1)
-        self.sums = tuple(np.r_[np.uint64(0), np.cumsum(gram * p[:n], dtype=np.uint64)] for p in (one, two))
-        least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+        self.sums = tuple(np.r_[np.uint64(0), np.cumsum(self.gram * p[:n], dtype=np.uint64)] for p in (one, two))
+
+    def runs(self, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First start, last start and anchor of every run."""
+        least = (self.gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(self.gram), dtype=np.uint64)
         width = 1
         while width < SPREAD:
             least = np.minimum(least[:-width], least[width:]) if len(least) > width else least[:0]
             width *= 2
-        size = np.diff(offsets)
-        starts = np.maximum(0, size - LENGTH + 1)
+        starts = np.maximum(0, np.diff(offsets) - LENGTH + 1)
         at = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts) + np.repeat(offsets[:-1], starts)
         anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(at) else np.zeros(0, np.int64)
-        self.begin, self.anchor = at[first], anchor[first]
-        self.end = at[np.r_[first[1:], len(at)] - 1] if len(at) else self.begin  # last start of the run
+        return at[first], at[np.r_[first[1:], len(at)] - 1] if len(at) else at, anchor[first]
 
     def fingerprints(self, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for the bytes from start to stop, of 8 bytes or more."""
@@ -84,19 +85,24 @@ class Chunk:
     def leading(self, at: np.ndarray) -> np.ndarray:
         return self.token[at].byteswap()
 
-    def suffixes(self, runs: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Start, leading token and fingerprint of every string of the runs."""
-        size = self.end[runs] - self.begin[runs] + 1
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[runs], size)
+    def cores(self, anchor: np.ndarray) -> np.ndarray:
+        """The key of the bytes after each anchor."""
+        return self.fingerprints(anchor, anchor + CORE)[0]
+
+    def suffixes(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, leading token and fingerprint of every string that starts from begin to end."""
+        size = end - begin + 1
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
         return at, self.leading(at), *self.fingerprints(at, at + LENGTH)
 
 
-def chunks(texts: pa.LargeStringArray) -> Iterator[Chunk]:
+def chunks(texts: pa.LargeStringArray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Bytes, offsets in them and place of some texts after the other, CHUNK bytes or one text at a time."""
     raw, offsets = buffers(texts)
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        yield Chunk(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], int(offsets[at]))
+        yield raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], int(offsets[at])
         at = end
 
 
@@ -109,11 +115,12 @@ class Runs:
 
     def __init__(self, texts: pa.LargeStringArray):
         parts = []
-        for c in chunks(texts):
-            core, _ = c.fingerprints(c.anchor, c.anchor + CORE)
-            one, two = c.fingerprints(c.begin, c.end + LENGTH)
-            shape = mix(((c.end - c.begin) * (1 << 20) + (c.anchor - c.begin)).astype(np.uint64))
-            parts.append((c.begin + c.base, c.end + c.base, core, c.leading(c.begin), one + shape, two ^ shape))
+        for raw, offsets, base in chunks(texts):
+            c = Chunk(raw)
+            begin, end, anchor = c.runs(offsets)
+            one, two = c.fingerprints(begin, end + LENGTH)
+            shape = mix(((end - begin) * (1 << 20) + (anchor - begin)).astype(np.uint64))
+            parts.append((begin + base, end + base, c.cores(anchor), c.leading(begin), one + shape, two ^ shape))
         u, i = np.uint64, np.int64
         self.begin, self.end, self.core, self.token, self.one, self.two = _joined(parts, (i, i, u, u, u, u))
 
@@ -231,8 +238,9 @@ def sampled_splitters(docs: DataFrame, total: int, buckets: int) -> tuple[np.nda
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            for c in chunks(strings(b.column("text"))):
-                yield pa.RecordBatch.from_arrays([pa.array(c.fingerprints(c.anchor, c.anchor + CORE)[0].view(np.int64))], names=["core"])
+            for raw, offsets, _ in chunks(strings(b.column("text"))):
+                c = Chunk(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(c.cores(c.runs(offsets)[2]).view(np.int64))], names=["core"])
 
     # bounded by the sample: an anchor for every 32 bytes at most
     found = texts.mapInArrow(cores, "core long").groupBy("core").count().where("count > 1").select("core").toArrow().column("core").combine_chunks()
@@ -240,10 +248,12 @@ def sampled_splitters(docs: DataFrame, total: int, buckets: int) -> tuple[np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            for c in chunks(strings(b.column("text"))):
-                again = member(c.fingerprints(c.anchor, c.anchor + CORE)[0], repeated)
-                for sent, runs, one_in in ((False, np.arange(len(c.begin)), 512), (True, np.flatnonzero(again), 16)):
-                    _, token, one, _ = c.suffixes(runs)
+            for raw, offsets, _ in chunks(strings(b.column("text"))):
+                c = Chunk(raw)
+                begin, end, anchor = c.runs(offsets)
+                again = member(c.cores(anchor), repeated)
+                for sent, runs, one_in in ((False, np.arange(len(begin)), 512), (True, np.flatnonzero(again), 16)):
+                    _, token, one, _ = c.suffixes(begin[runs], end[runs])
                     pick = mix(one) % np.uint64(one_in) == 0
                     yield pa.RecordBatch.from_arrays([pa.array(token[pick].view(np.int64)), pa.array(one[pick].view(np.int64)), pa.array(np.full(int(pick.sum()), sent))], names=["token", "one", "sent"])
 
@@ -293,13 +303,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False
         several = answered(leading_runs(core, shards), GROUP, answers)[of]
         twice = np.zeros(len(take), dtype=bool)
         twice[order] = answered(record_runs(records[0], records[1], splitters), CONTEXT, answers)[group]
-        wanted = np.zeros(len(runs.begin), dtype=bool)
-        wanted[take[several]] = True
+        begin, end = runs.begin[take[several]], runs.end[take[several]]  # in the order of the texts
         parts, seen = [], 0
-        for c in chunks(texts):
-            at, token, one, two = c.suffixes(np.flatnonzero(wanted[seen : seen + len(c.begin)]))
-            seen += len(c.begin)
-            parts.append((at + c.base, token, one, two))
+        for raw, _, base in chunks(texts):
+            stop = int(np.searchsorted(begin, base + len(raw)))
+            if seen < stop:
+                at, token, one, two = Chunk(raw).suffixes(begin[seen:stop] - base, end[seen:stop] - base)
+                parts.append((at + base, token, one, two))
+            seen = stop
         settled = take[twice & ~several]
         return runs.begin[settled], runs.end[settled], _joined(parts, (np.int64, np.uint64, np.uint64, np.uint64))
 
