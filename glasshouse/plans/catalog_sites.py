@@ -14,6 +14,7 @@ from glasshouse.operators import links as K
 from glasshouse.operators import render as R
 from glasshouse.operators import store as S
 from glasshouse.plans.registry import Catalog, scratch, table
+from glasshouse.sources import custody as C
 from glasshouse.sources import evidence as V
 from glasshouse.sources import lists as I
 
@@ -598,6 +599,39 @@ def s20(spark, sf):
     return rows.select(F.substring("tar_filename", F.lit(2), F.lit(30)).cast("long").alias("page_id"), F.md5("body").alias("digest"))
 
 
+_SITE_DIGESTS = f"""
+    SELECT h AS domain_url, sum(n)::BIGINT AS n_pages, sha256(string_agg(low, '' ORDER BY leaf)) AS sha256 FROM (
+        SELECT h, page_id // {C.LEAF} AS leaf, count(*) AS n, sha256(string_agg(sha256(url) || sha256(coalesce(html, '')), '' ORDER BY page_id)) AS low
+        FROM (SELECT page_id, url, html, {_HOST} AS h FROM pages) GROUP BY h, page_id // {C.LEAF}) GROUP BY h"""
+
+
+def _put(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    rows = _pages(spark, sf).select(U.host(F.col("url")).alias("domain_url"), F.col("page_id").alias("seq"), F.col("url").alias("page_key"), F.col("html").alias("body"))
+    return C.put(spark, rows, folder, "r1", "p1")
+
+
+@query("r1_custody_put", _SITE_DIGESTS)
+def r1(spark, sf):
+    """Every page stored, and the entries of the manifest."""
+    return _put(spark, sf, scratch(spark, "r1")).select("domain_url", "n_pages", "sha256")
+
+
+@query("r2_custody_get", f"SELECT {_HOST} AS domain_url, page_id AS seq, md5(coalesce(html, '')) AS digest FROM pages")
+def r2(spark, sf):
+    """Every page stored, found by its entry, verified and read back."""
+    folder = scratch(spark, "r2")
+    return C.get(spark, folder, _put(spark, sf, folder)).select("domain_url", "seq", F.md5("body").alias("digest"))
+
+
+@query("s5_cached_list", f"SELECT CAST(page_id + 1 AS INTEGER) AS rank, 'https://' || {_HOST} AS url FROM pages WHERE {_HOST} <> ''")
+def s5(spark, sf):
+    """The rank list of all pages, cached once and read back under its digest."""
+    source, folder = scratch(spark, "s5-source"), scratch(spark, "s5")
+    _ranks(spark, sf).coalesce(1).write.csv(source)
+    lines = I.cached_lines(I.cache_list(spark, source, folder, "pages", 1_000_000))
+    return I.ranked_domains(lines).select("rank", "url")
+
+
 @query("w6_root_cause", "SELECT user_id AS site, coalesce(arg_min(event_type, event_id) FILTER (WHERE event_type <> 'view'), arg_min(event_type, event_id)) AS motivo FROM events GROUP BY user_id")
 def w6(spark, sf):
     first = F.min(F.struct((F.col("event_type") == "view").alias("later"), "event_id", "event_type"))

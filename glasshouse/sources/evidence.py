@@ -64,14 +64,6 @@ def archive_pages(archives: DataFrame) -> DataFrame:
     return archives.select("tar_filename", "content").mapInPandas(run, PAGES)
 
 
-def write_archives(pages: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Stores evidence append-only as Parquet and returns its manifest: one digest for each site over its pages in order."""
-    pages.write.mode("append").partitionBy("run_id").parquet(path)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "page_key", "body"))), lambda p: F.concat(p["page_key"].cast("binary"), F.lit(b"\0"), p["body"], F.lit(b"\0")))
-    digest = F.sha2(F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)), 256)
-    return pages.groupBy("run_id", "domain_url").agg(digest.alias("sha256"), F.count(F.lit(1)).alias("n_pages"))
-
-
 def sequence_digest(texts: Column, order: Column) -> Column:
     """Order-sensitive digest of a group's texts, each followed by a NUL byte (an aggregate)."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), texts.alias("t")))), lambda x: F.concat(x["t"], F.lit("\0")))

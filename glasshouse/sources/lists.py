@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
 import hashlib
-
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from functools import reduce
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from glasshouse.functions import lexicon as L
 from glasshouse.functions.urls import has_suffix, host, with_public_suffix
@@ -31,6 +41,89 @@ def read_rank_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("rank string, domain string").option("mode", "PERMISSIVE").csv(path)
 
 
+CACHED = "list_id string, top_n int, content binary, sha256 string, byte_size long, received_bytes long, received_as_gzip boolean, cached_at timestamp"
+GZIP_MAGIC = b"\x1f\x8b"  # fixed value: the first two bytes of a gzip file
+
+
+def cache_list(spark: SparkSession, path: str, folder: str, list_id: str, top_n: int) -> DataFrame:
+    """The cached list, always gzip, as one row with its provenance.  What is cached is never written again, and the source not read again."""
+    check_params(list_id, top_n, [])
+    place = f"{folder.rstrip('/')}/{list_id}_top{top_n}"
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+
+        def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                zipped = [c[:2] == GZIP_MAGIC for c in part["content"]]
+                part["received_bytes"], part["received_as_gzip"] = [len(c) for c in part["content"]], zipped
+                part["content"] = [c if z else gzip.compress(c, mtime=0) for c, z in zip(part["content"], zipped, strict=True)]
+                yield part
+
+        files = spark.read.format("binaryFile").load(path).select("content").mapInPandas(packed, "content binary, received_bytes long, received_as_gzip boolean")
+        files.select(
+            F.lit(list_id).alias("list_id"), F.lit(top_n).alias("top_n"), "content", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("byte_size"), "received_bytes", "received_as_gzip",
+            F.current_timestamp().alias("cached_at"),
+        ).write.mode("overwrite").parquet(place)  # only what a broken run left is replaced
+    return spark.read.schema(CACHED).parquet(place)
+
+
+def cached_lines(cached: DataFrame) -> DataFrame:
+    """rank, domain of a cached list; fails if the content no longer has its digest."""
+
+    def unpacked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part["content"]:
+                yield pd.read_csv(io.BytesIO(gzip.decompress(content)), header=None, names=["rank", "domain"], usecols=[0, 1], dtype=str, keep_default_na=False, engine="c")
+
+    sound = F.when(F.sha2("content", 256) == F.col("sha256"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("digest differs for list "), "list_id")).cast("boolean"))
+    return cached.where(sound).select("content").mapInPandas(unpacked, "rank string, domain string")
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"  # fixed value: the namespace of workbooks
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def workbook_rows(data: bytes, sheet: str | None = None) -> list[list[str | None]]:
+    """The cells of a sheet (the first if none is named) of an xlsx file as text; gaps are null."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        sheets = {s.get("name"): s.get(_RELATION) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")}
+        if sheet is not None and sheet not in sheets:
+            raise ValueError(f"no sheet {sheet} among {list(sheets)}")
+        target = next(r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if r.get("Id") == sheets[sheet or next(iter(sheets))])
+        tree = ElementTree.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+    out = []
+    for row in tree.iter(f"{_SHEET}row"):
+        cells: dict[int, str | None] = {}
+        for n, c in enumerate(row.iter(f"{_SHEET}c")):
+            letters = re.match("[A-Z]*", c.get("r", "")).group()
+            at = reduce(lambda a, x: a * 26 + ord(x) - 64, letters, 0) - 1 if letters else n
+            value = c.findtext(f"{_SHEET}v")
+            if c.get("t") == "s":
+                value = shared[int(value)]
+            elif c.get("t") == "inlineStr":
+                value = "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
+            cells[at] = value
+        out.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
+    return out
+
+
+def read_ratings(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A rater's returned sheet, all columns as text: an xlsx workbook, or text with ; or , whichever is more frequent."""
+    first = spark.read.format("binaryFile").load(path).select("content").first()  # one small file
+    data = bytes(first[0])
+    if path.lower().endswith((".xlsx", ".xlsm")):
+        rows = workbook_rows(data, sheet)
+        names = [c or f"_{i}" for i, c in enumerate(rows[0])] if rows else []
+        body = [tuple((r + [None] * len(names))[: len(names)]) for r in rows[1:]]
+    else:
+        text = data.decode("utf-8-sig")
+        found = list(csv.reader(io.StringIO(text), delimiter=";" if text.count(";") >= text.count(",") else ","))
+        names = found[0] if found else []
+        body = [tuple((r + [None] * len(names))[: len(names)]) for r in found[1:] if r]
+    return spark.createDataFrame(body, StructType([StructField(n, StringType()) for n in names]))
+
+
 def ranked_domains(lines: DataFrame, suffixes: list[str] | None = None, top_n: int = 1_000_000, source: str = "tranco", listed: DataFrame | None = None) -> DataFrame:
     """lines(rank, domain) to url, tld, source_name, rank, stratum in order of rank."""
     domain = F.lower(F.trim("domain"))

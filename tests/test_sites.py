@@ -5,6 +5,7 @@ import hashlib
 import io
 import json
 import tarfile
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from glasshouse.operators import render as R
 from glasshouse.operators import score as S
 from glasshouse.operators import store
 from glasshouse.plans import protocol as P
+from glasshouse.sources import custody as C
 from glasshouse.sources import evidence as V
 from glasshouse.sources import lists as I
 
@@ -202,6 +204,64 @@ def test_custody(spark):
         V.publishable(lines).collect()
 
 
+def test_put_and_get(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    pages = spark.createDataFrame([("a.com", 0, "/", b"<p>1"), ("a.com", 5000, "/x", None), ("b.com", 0, "/", b"2")], "domain_url string, seq int, page_key string, body binary")
+    errors = spark.createDataFrame([("b.com", 2)], "domain_url string, errors_count int")
+    one = C.put(spark, pages, folder, "r1", "p", errors)
+    assert sorted((r.domain_url, r.n_pages, r.errors_count, r.protocol_version_hash) for r in one.collect()) == [("a.com", 2, 0, "p"), ("b.com", 1, 2, "p")]
+    two = C.put(spark, pages.where("domain_url = 'b.com'"), folder, "r2")
+    C.put(spark, pages.limit(0), folder, "r3")
+    assert [r.valid for r in C.audit_chain(spark, folder).orderBy("line_no").collect()] == [True] * 3
+    a = one.where("domain_url = 'a.com'")
+    assert sorted((r.seq, r.page_key, r.body and bytes(r.body)) for r in C.get(spark, folder, a).collect()) == [(0, "/", b"<p>1"), (5000, "/x", None)]
+    assert C.get(spark, folder, two).count() == 1
+    with pytest.raises(Exception, match="no evidence of a.com"):
+        C.get(spark, folder, a.withColumn("sha256", F.lit("0" * 64))).collect()
+    with pytest.raises(ValueError, match="run_id"):
+        C.put(spark, pages, folder, "")
+    batch = two.first().batch  # pages that were changed afterwards
+    pages.where("domain_url = 'b.com'").withColumn("body", F.lit(b"3")).withColumn("seq", F.col("seq").cast("long")).write.mode("overwrite").parquet(f"{folder}/pages/run_id=r2/batch={batch}")
+    with pytest.raises(Exception, match="digest differs for b.com"):
+        C.get(spark, folder, two).collect()
+    spark.createDataFrame([("t", "0" * 64, "c.com", 1, 0)], "tar_filename string, sha256 string, domain_url string, n_pages long, errors_count long").write.mode("append").parquet(f"{folder}/manifest/run_id=r2/batch={batch}")
+    assert [r.valid for r in C.audit_chain(spark, folder).orderBy("line_no").collect()] == [True, False, True]
+
+
+def test_cached_list(spark, tmp_path):
+    plain, folder = b"1,A.com.br\nx,b.br\n3\n4,\n5,c.gov.br\n", str(tmp_path / "cache")
+    for name, data in (("p", plain), ("z", gzip.compress(plain))):
+        f = tmp_path / name
+        f.write_bytes(data)
+        row = I.cache_list(spark, str(f), folder, name, 10).first()
+        assert (row.received_as_gzip, row.received_bytes, row.byte_size) == (name == "z", len(data), len(row.content))
+        assert row.sha256 == hashlib.sha256(row.content).hexdigest() and gzip.decompress(row.content) == plain
+        f.unlink()
+        again = I.cache_list(spark, str(f), folder, name, 10)  # a hit does not read the source
+        assert again.first() == row
+        assert [(r.rank, r.url) for r in I.ranked_domains(I.cached_lines(again)).collect()] == [(1, "https://a.com.br"), (5, "https://c.gov.br")]
+    with pytest.raises(Exception, match="digest differs for list z"):
+        I.cached_lines(again.withColumn("sha256", F.lit("x"))).collect()
+
+
+def test_ratings(spark, tmp_path):
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>nota</t></is></c></row><row r="2"><c r="A2"><v>7</v></c></row><row r="3"><c r="A3"><v>8</v></c><c r="C3" t="s"><v>1</v></c></row>'
+    f = tmp_path / "r.xlsx"
+    with zipfile.ZipFile(f, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="um" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>id</t></si><si><r><t>s</t></r><r><t>im</t></r></si></sst>')
+    got = I.read_ratings(spark, str(f), "um")
+    assert got.columns == ["id", "_1", "nota"] and sorted(map(tuple, got.collect())) == [("7", None, None), ("8", None, "sim")]
+    with pytest.raises(ValueError, match="no sheet dois"):
+        I.read_ratings(spark, str(f), "dois")
+    g = tmp_path / "r.csv"
+    g.write_text("\ufeffid;nota\n7;a,b\n8;\n")
+    assert sorted(map(tuple, I.read_ratings(spark, str(g)).collect())) == [("7", "a,b"), ("8", "")]
+
+
 def test_urls(spark):
     r = spark.createDataFrame([("https://www.X.com/A/b/",)], "u string").select(U.host(F.col("u")).alias("h"), U.page_key(F.col("u")).alias("k"), U.path(F.lit("http://x")).alias("p")).first()
     assert tuple(r) == ("www.x.com", "x.com/a/b", "/")
