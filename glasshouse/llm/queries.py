@@ -77,6 +77,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_dimension_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glasshouse.llm.history import ARRIVAL, document_changes, versions
+
+    found = versions(document_changes(_read(spark, sf_dir, "documents")), ARRIVAL)
+    return found.select(F.col("key").alias("doc_id"), "version", "valid_from", "valid_to", "value")
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_simhash": op2_simhash,
@@ -88,6 +95,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
+    "op11_dimension_history": op11_dimension_history,
 }
 
 ORACLES = {
@@ -110,4 +118,21 @@ ORACLES = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)
     """,
+    "op11_dimension_history": """
+        WITH h AS (
+            SELECT doc_id, j, lang, ('0x' || substr(sha256(doc_id || ':' || j), 1, 12))::BIGINT AS h FROM documents, range(2) AS n(j)),
+        changes AS (
+            SELECT doc_id - doc_id % 10 AS d, doc_id, j, lang, h, h % 60 AS s, CASE WHEN h // 1000 % 10 < 2 THEN 'd' WHEN h // 1000 % 10 < 5 THEN 'c' ELSE 'u' END AS kind FROM h),
+        days AS (SELECT d, day FROM (SELECT DISTINCT d FROM changes), range(80) AS r(day)),
+        ranked AS (
+            SELECT days.d, day, kind, lang, row_number() OVER (PARTITION BY days.d, day ORDER BY kind = 'c' DESC, CASE WHEN kind = 'c' THEN 0 ELSE s END DESC, h DESC, doc_id DESC, j DESC) AS place
+            FROM days JOIN changes c ON c.d = days.d AND s <= day AND (kind <> 'c' OR day < s + 10)),
+        present AS (SELECT d, day, lang FROM ranked WHERE place = 1 AND kind <> 'd'),
+        marked AS (
+            SELECT *, CASE WHEN lag(day) OVER w = day - 1 AND lag(lang) OVER w IS NOT DISTINCT FROM lang THEN 0 ELSE 1 END AS new
+            FROM present WINDOW w AS (PARTITION BY d ORDER BY day)),
+        runs AS (SELECT *, sum(new) OVER (PARTITION BY d ORDER BY day) AS version FROM marked)
+        SELECT d AS doc_id, version::INTEGER AS version, min(day) AS valid_from, CASE WHEN max(day) < 79 THEN max(day) + 1 END AS valid_to, any_value(lang) AS value
+        FROM runs GROUP BY d, version
+    """,
 }
