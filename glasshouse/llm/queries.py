@@ -84,6 +84,12 @@ def op11_dimension_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "version", "valid_from", "valid_to", "value")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glasshouse.llm.line_dedup import digests
+
+    return digests(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_simhash": op2_simhash,
@@ -96,6 +102,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_bpe": op10_bpe,
     "op11_dimension_history": op11_dimension_history,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 ORACLES = {
@@ -135,4 +142,14 @@ ORACLES = {
         SELECT d AS doc_id, version::INTEGER AS version, min(day) AS valid_from, CASE WHEN max(day) < 79 THEN max(day) + 1 END AS valid_to, any_value(lang) AS value
         FROM runs GROUP BY d, version
     """,
+    "op12_line_dedup": r"""
+        WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM l),
+        keyed AS (
+            SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM lines),
+        shared AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        stay AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM keyed LEFT JOIN shared USING (k) WHERE keeper IS NULL OR keeper = doc_id GROUP BY doc_id)
+        SELECT doc_id, len(ls)::BIGINT AS n_lines, len(ls) - coalesce(n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM l LEFT JOIN stay USING (doc_id)
+    """,
 }
