@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glasshouse.functions import numeric
 from glasshouse.operators.joins import numbered
+from glasshouse.operators.quantiles import exact_quantiles
 from glasshouse.operators.score import fit_idf, probabilities, tfidf
 
 
@@ -51,7 +52,7 @@ def challengers(rows: DataFrame, features: list[str], y: str, c: float = 1.0):
 
 def threshold_grid(scored: DataFrame, group: str, p: str, y: str, quantiles: list[float]) -> DataFrame:
     """MCC of every threshold (an exact quantile of the group's scores); a short grid per group, not a pair per row."""
-    cuts = scored.groupBy(group).agg(F.percentile(p, F.array(*[F.lit(q) for q in quantiles])).alias("cuts")).select(group, F.posexplode("cuts").alias("q", "threshold"))
+    cuts = exact_quantiles(scored, [group], p, quantiles).select(group, "q", F.col("quantile").alias("threshold"))
     counts = scored.join(cuts, group).groupBy(group, "q", "threshold").agg(
         F.count_if((F.col(p) >= F.col("threshold")) & (F.col(y) == 1)).alias("tp"), F.count_if((F.col(p) >= F.col("threshold")) & (F.col(y) == 0)).alias("fp"),
         F.count_if((F.col(p) < F.col("threshold")) & (F.col(y) == 1)).alias("fn"), F.count_if((F.col(p) < F.col("threshold")) & (F.col(y) == 0)).alias("tn"),
@@ -78,13 +79,14 @@ def out_of_fold(docs: DataFrame, document: str, key: str, y: str, folds: int = 5
 
 
 def coverage_quantiles(covered: DataFrame) -> DataFrame:
-    q = F.percentile("coverage", F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75)]))
-    return covered.agg(q.alias("q"), F.avg("coverage").alias("mean")).select(F.col("q")[0].alias("p05"), F.col("q")[1].alias("p25"), F.col("q")[2].alias("median"), F.col("q")[3].alias("p75"), "mean")
+    q = exact_quantiles(covered, [], "coverage", [0.05, 0.25, 0.5, 0.75])
+    wide = q.agg(*[F.max(F.when(F.col("q") == i, F.col("quantile"))).alias(n) for i, n in enumerate(("p05", "p25", "median", "p75"))])
+    return wide.crossJoin(covered.agg(F.avg("coverage").alias("mean")))  # one row each
 
 
 def absence_threshold(rows: DataFrame, p: str, y: str, recall: float) -> DataFrame:
     """The threshold below which `recall` of the negatives fall (linear quantile)."""
-    return rows.where(F.col(y) == 0).agg(F.percentile(p, F.lit(recall)).alias("threshold"))
+    return exact_quantiles(rows.where(F.col(y) == 0), [], p, [recall]).agg(F.max("quantile").alias("threshold"))  # null without negatives
 
 
 def alignment(vectors: DataFrame, corpus: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from glasshouse.operators import evaluate as E
 from glasshouse.operators import sampling as G
 from glasshouse.operators import score as S
 from glasshouse.operators import train as M
+from glasshouse.operators.quantiles import exact_quantiles
 from glasshouse.plans.registry import Catalog, table
 
 CATALOG = Catalog()
@@ -200,8 +201,8 @@ def w8(spark, sf):
 
 @query("w9_quantile_thresholds", f"WITH {_PRED} SELECT lang, round(quantile_cont(p, 0.5), 6) AS q50, round(quantile_cont(p, 0.9), 6) AS q90, round(quantile_cont(p, 0.998), 6) AS q998 FROM pred GROUP BY lang")
 def w9(spark, sf):
-    q = _pred(spark, sf).groupBy("lang").agg(F.percentile("p", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.998))).alias("q"))
-    return q.select("lang", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q50", "q90", "q998"))])
+    q = exact_quantiles(_pred(spark, sf), ["lang"], "p", [0.5, 0.9, 0.998])
+    return q.groupBy("lang").agg(*[F.round(F.max(F.when(F.col("q") == i, F.col("quantile"))), 6).alias(n) for i, n in enumerate(("q50", "q90", "q998"))])
 
 
 @query("w10_set_operations", "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)) AS both, (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_documents, (SELECT count(*) FROM (SELECT lang FROM documents UNION SELECT source FROM documents)) AS names")
