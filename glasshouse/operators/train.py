@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glasshouse.functions import numeric
-from glasshouse.operators.joins import numbered
+from glasshouse.operators.linear import fit
 from glasshouse.operators.quantiles import exact_quantiles
-from glasshouse.operators.score import fit_idf, probabilities, tfidf
+from glasshouse.operators.score import sigmoid
+from glasshouse.operators.selection import group_folds
 
 
 def patterns(rows: DataFrame, features: list[str], y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -24,20 +23,11 @@ def fit_channel(rows: DataFrame, features: list[str], y: str) -> list[dict]:
     return numeric.fit_table(*patterns(rows, features, y), features)
 
 
-def fit_text(docs: DataFrame, key: str, y: str, c: float = 1.0, min_df: int = 3, most: int = 3):
-    """Vocabulary with idf and coefficients, and the intercept, of an L2 logistic regression on TF-IDF rows."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    vocabulary = numbered(fit_idf(docs, key, min_df, most), [F.pmod(F.xxhash64("term"), F.lit(1024))], [F.col("term")], "col").withColumn("col", (F.col("col") - 1).cast("int"))
-    size = vocabulary.count()
-    to_vector = F.udf(lambda xs: SparseVector(size, sorted((int(x[0]), float(x[1])) for x in xs)), VectorUDT(), useArrow=True)  # batches; no built-in function makes sparse vectors
-    rows = tfidf(docs, [key], vocabulary, most).groupBy(key).agg(F.collect_list(F.struct("col", "weight")).alias("xs"))
-    data = docs.select(key, y).join(rows, key).select(F.col(y).cast("double").alias("label"), to_vector("xs").alias("features"))
-    n = data.count()
-    model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100).fit(data)
-    coef = docs.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(model.coefficients.toArray())], "col int, coef double")
-    return vocabulary.join(coef, "col"), float(model.intercept)
+def fit_text(docs: DataFrame, key: str, y: str, c: float = 1.0, min_df: int = 3, most: int = 3, tol: float = 1e-4) -> tuple[DataFrame, float]:
+    """Vocabulary with idf and coefficients, as a table, and the intercept of an L2 logistic regression on TF-IDF rows."""
+    rows = docs.select(key, "text", F.col(y).alias("y"), F.array(F.lit(True)).alias("train"))
+    found = fit(docs.sparkSession, rows, key, [(0, c)], 1, min_df, most, tol)
+    return found.coefficients().select("term", "df", F.col("idf")[0].alias("idf"), F.col("coef")[0].alias("coef")), found.intercepts()[0]
 
 
 def challengers(rows: DataFrame, features: list[str], y: str, c: float = 1.0):
@@ -67,15 +57,14 @@ def best_threshold(grid: DataFrame, group: str) -> DataFrame:
     return grid.groupBy(group).agg(F.max_by(F.struct("threshold", "mcc"), F.struct("mcc", -F.col("q"))).alias("b")).select(group, "b.*")
 
 
-def out_of_fold(docs: DataFrame, document: str, key: str, y: str, folds: int = 5, c: float = 1.0) -> DataFrame:
-    """key, probability: every document scored by a model fitted without its fold.  As many fits as folds, whatever the number of documents;
-    with as many folds as documents it leaves one out at a time."""
-    fold = F.pmod(F.xxhash64(document), F.lit(folds))
-    parts = []
-    for f in range(folds):
-        vocabulary, intercept = fit_text(docs.where(fold != f), key, y, c)
-        parts.append(probabilities(docs.where(fold == f), [key], vocabulary, intercept))
-    return reduce(DataFrame.unionByName, parts)
+def out_of_fold(docs: DataFrame, document: str, key: str, y: str, folds: int = 5, c: float = 1.0, tol: float = 1e-3) -> DataFrame:
+    """key, fold, probability: every document scored by a model fitted without its fold; the models of all folds are one fit.
+    With as many folds as documents it leaves one out at a time."""
+    folded = group_folds(docs.select(key, "text", document, F.col(y).alias("y")), document, folds, 1)
+    rows = folded.select(key, "text", "y", F.array(*[F.col("outer") != f for f in range(folds)]).alias("train"))
+    found = fit(docs.sparkSession, rows, key, [(f, c) for f in range(folds)], folds, tol=tol)
+    own = found.margins().join(folded.select(key, F.col("outer").alias("model")), [key, "model"])
+    return own.select(key, F.col("model").alias("fold"), sigmoid(F.col("margin")).alias("probability"))
 
 
 def coverage_quantiles(covered: DataFrame) -> DataFrame:

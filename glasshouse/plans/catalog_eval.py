@@ -11,6 +11,7 @@ from glasshouse.operators import sampling as G
 from glasshouse.operators import score as S
 from glasshouse.operators import train as M
 from glasshouse.operators.quantiles import exact_quantiles
+from glasshouse.operators.selection import nested
 from glasshouse.plans.registry import Catalog, table
 
 CATALOG = Catalog()
@@ -385,11 +386,29 @@ def i12(spark, sf):
     return spark.createDataFrame(rows, "without string, statistic double, p double")
 
 
+def _labelled(spark, sf):
+    return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id").select("doc_id", "source", "text", "quality")
+
+
+@query("m15_text_coefficients", None)
+def m15(spark, sf):
+    """The text model of all labelled documents: a table of coefficients, the intercept as the term null."""
+    vocabulary, intercept = M.fit_text(_labelled(spark, sf), "doc_id", "quality", 1.0)
+    one = spark.createDataFrame([(None, None, None, intercept)], "term string, df long, idf double, coef double")
+    return vocabulary.unionByName(one).select("term", "df", F.round("idf", 6).alias("idf"), F.round("coef", 3).alias("coef"))
+
+
+@query("m16_nested_selection", None)
+def m16_nested(spark, sf):
+    """Penalty and threshold of each outer fold of sources, chosen inside, with the Matthews coefficient outside."""
+    choice, _ = nested(spark, _labelled(spark, sf), "doc_id", "source", "quality", penalties=[0.1, 1.0, 10.0, 100.0], outer=3)
+    return choice.select("fold", "c", F.round("threshold", 3).alias("threshold"), F.round("inner_mcc", 4).alias("inner_mcc"), "tp", "fp", "fn", "tn", F.round("mcc", 4).alias("mcc"))
+
+
 @query("m17_out_of_fold", None)
 def m17(spark, sf):
     """Every labelled text scored by a model that was fitted without its source."""
-    docs = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id").select("doc_id", "source", "text", "quality")
-    return M.out_of_fold(docs, "source", "doc_id", "quality", folds=2).select("doc_id", F.round("probability", 6).alias("probability"))
+    return M.out_of_fold(_labelled(spark, sf), "source", "doc_id", "quality", folds=3).select("doc_id", "fold", F.round("probability", 3).alias("probability"))
 
 
 @query("m21_alignment", "SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS without_vector, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS without_text")
