@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import urljoin, urlparse
+from functools import reduce
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,6 @@ from glasshouse.functions import lexicon as L
 from glasshouse.functions.html import anchors_of
 from glasshouse.functions.urls import page_key, path
 
-CANDIDATES = "page_id long, category string, pos int, url string, matched_pattern string, matched_against string, snippet string, discovered_via string"
-
 
 def check_config(categories: dict[str, list[str]], blockers: list[str]) -> None:
     for pattern in [*(p for ps in categories.values() for p in ps), *blockers]:
@@ -25,56 +24,80 @@ def check_config(categories: dict[str, list[str]], blockers: list[str]) -> None:
             raise ValueError(f"bad pattern {pattern!r}: {e}") from e
 
 
-def _site(netloc: str) -> str:
-    return netloc.lower().removeprefix("www.")
+def anchors(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) with `anchors`: the page's links in order, with their text, label, title, reference and absolute URL (null if there is none)."""
+    fields = ["text", "label", "title", "href", "url"]
+    schema = ", ".join(f"{f}: string" for f in fields)
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [[{**{f: getattr(a, f) for f in fields[:-1]}, "url": _joined(u or "", a.href)} for a in anchors_of(h or "")] for u, h in zip(part["url"], part["html"], strict=True)]
+            yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "anchors": found})
 
-def select_candidates(
-    page: str, base: str, categories: dict[str, list[re.Pattern]], blockers: list[re.Pattern], per_category: int = 2, total: int = 6, same_host: frozenset[str] = frozenset(), via: str | None = None
-) -> list[tuple]:
-    """Anchors in page order, first matching source and pattern of each category; caps on a category and on distinct URLs."""
-    out: dict[str, list[tuple]] = {c: [] for c in categories}
-    urls: set[str] = set()
-    own = _site(urlparse(base).netloc)
-    for a in anchors_of(page):
-        if len(urls) >= total:
-            break
-        for category, patterns in categories.items():
-            taken = out[category]
-            if len(taken) >= per_category:
-                continue
-            hit = next(((s, p) for s, v in (("text", a.text), ("aria-label", a.label), ("title", a.title), ("href", a.href)) if v for p in patterns if p.search(v)), None)
-            if hit is None or not a.href:
-                continue
-            try:
-                url = urljoin(base, a.href)
-            except ValueError:
-                continue
-            if not url.lower().startswith(("http://", "https://")) or any(b.search(url) for b in blockers):
-                continue
-            there = _site(urlparse(url).netloc)
-            if category in same_host and not (there == own or there.endswith("." + own)):
-                continue
-            if any(url == t[1] for t in taken):
-                continue
-            taken.append((len(taken), url, hit[1].pattern, hit[0], (a.text or a.href)[:120], via))
-            urls.add(url)
-    return [(c, *t) for c, found in out.items() for t in found]
+    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, anchors array<struct<{schema}>>")
 
 
-def candidates(pages: DataFrame, categories: dict[str, list[str]] = L.LINK_CATEGORIES, blockers: list[str] = L.PATH_BLOCKERS, via: str | None = None, **caps) -> DataFrame:
-    """pages(page_id, url, html) to their candidates.  A page is one row, so its caps need no shuffle."""
+def _joined(base: str, href: str | None) -> str | None:
+    try:
+        return urljoin(base, href) if href else None
+    except ValueError:
+        return None
+
+
+def _netloc(url: Column) -> Column:
+    """Host and port in lower case, without www."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)), r"^www\.", "")
+
+
+def _matched(anchor: Column, base: Column, categories: dict[str, list[str]], blockers: list[str], same_host: frozenset[str]) -> Column:
+    """The categories that an anchor matches, in order, each with the first source and pattern that show it."""
+    sources = [("text", anchor["text"]), ("aria-label", anchor["label"]), ("title", anchor["title"]), ("href", anchor["href"])]
+    usable = F.lower(anchor["url"]).rlike("^https?://")
+    for b in blockers:
+        usable = usable & ~anchor["url"].rlike(f"(?iU){b}")
+    there, own = _netloc(anchor["url"]), _netloc(base)
+    near = (there == own) | there.endswith(F.concat(F.lit("."), own))
+    snippet = F.substring(F.when(F.coalesce(anchor["text"], F.lit("")) != "", anchor["text"]).otherwise(anchor["href"]), 1, 120)
+
+    def shown(category: str) -> Column:
+        first = F.coalesce(*[F.when(v.rlike(f"(?iU){p}"), F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("source"))) for n, v in sources for p in categories[category]])
+        fits = usable & near if category in same_host else usable
+        return F.when(fits & first.isNotNull(), F.struct(F.lit(category).alias("category"), anchor["url"].alias("url"), first["pattern"].alias("pattern"), first["source"].alias("source"), snippet.alias("snippet")))
+
+    return F.array_compact(F.array(*[shown(c) for c in categories]))
+
+
+_KEPT = "array<struct<category: string, pos: int, url: string, pattern: string, source: string, snippet: string>>"
+
+
+def _capped_matches(matches: Column, per_category: int, total: int) -> Column:
+    """Matches in order, folded under both caps: `per_category` URLs in a category, `total` distinct URLs in all; a URL counts once a category."""
+
+    def step(state: Column, m: Column) -> Column:
+        mine = F.filter(state["kept"], lambda k: k["category"] == m["category"])
+        takes = (F.size(state["urls"]) < total) & (F.size(mine) < per_category) & ~F.exists(mine, lambda k: k["url"] == m["url"])
+        one = F.struct(m["category"].alias("category"), F.size(mine).alias("pos"), *[m[c].alias(c) for c in ("url", "pattern", "source", "snippet")])
+        return F.when(takes, F.struct(F.concat(state["kept"], F.array(one)).alias("kept"), F.array_union(state["urls"], F.array(m["url"])).alias("urls"))).otherwise(state)
+
+    begin = F.struct(F.array().cast(_KEPT).alias("kept"), F.array().cast("array<string>").alias("urls"))
+    return F.aggregate(matches, begin, step, lambda s: s["kept"])
+
+
+def select_candidates(
+    rows: DataFrame, categories: dict[str, list[str]], blockers: list[str], per_category: int = 2, total: int = 6, same_host: frozenset[str] = frozenset(), via: str | None = None
+) -> DataFrame:
+    """rows(page_id, url, anchors array) to candidates.  A page is one row, so nothing is shuffled; patterns and caps are JVM-side.
+
+    Once `total` distinct URLs are taken nothing more is, within an anchor either.  Null fields match nothing."""
     check_config(categories, blockers)
+    matches = F.flatten(F.transform("anchors", lambda a: _matched(a, F.col("url"), categories, blockers, same_host)))
+    kept = rows.withColumn("_matches", matches).select("page_id", F.explode(_capped_matches(F.col("_matches"), per_category, total)).alias("k"))
+    return kept.select("page_id", "k.category", "k.pos", "k.url", F.col("k.pattern").alias("matched_pattern"), F.col("k.source").alias("matched_against"), "k.snippet", F.lit(via).cast("string").alias("discovered_via"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cats = {c: [re.compile(p, re.I) for p in ps] for c, ps in categories.items()}
-        stop = [re.compile(b, re.I) for b in blockers]
-        names = [f.split()[0] for f in CANDIDATES.split(", ")]
-        for part in parts:
-            rows = [(i, *c) for i, u, h in zip(part["page_id"], part["url"], part["html"], strict=True) for c in select_candidates(h or "", u or "", cats, stop, via=via, **caps)]
-            yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, CANDIDATES)
+def candidates(pages: DataFrame, categories: dict[str, list[str]] = L.LINK_CATEGORIES, blockers: list[str] = L.PATH_BLOCKERS, via: str | None = None, **caps) -> DataFrame:
+    """pages(page_id, url, html) to their candidates; only the parser of the markup is Python."""
+    return select_candidates(anchors(pages), categories, blockers, via=via, **caps)
 
 
 def second_level(pages: DataFrame) -> DataFrame:
@@ -142,16 +165,30 @@ def page_keys(pages: DataFrame) -> DataFrame:
     return rows.withColumn("page_key", F.when(n > 1, F.concat(F.lit("/__tramp_"), (n - 1).cast("string"), "page_key")).otherwise(F.col("page_key")))
 
 
+def _tails(key: str) -> Column:
+    """The tails of a path at its slashes, the path itself among them, "/" not."""
+    places = F.filter(F.sequence(F.lit(1), F.char_length(key)), lambda i: F.substring(F.col(key), i, F.lit(1)) == "/")
+    return F.filter(F.transform(places, lambda i: F.substring(F.col(key), i, F.char_length(key))), lambda t: t != "/")
+
+
 def lookup(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """wanted(site, url) to the page that holds it: the key itself, its path, else a path that ends alike, in that order; pages(site, page_key, seq)."""
-    own = path(F.col("url"))
-    joined = wanted.join(pages, "site")  # equi join on the site, the rest is a residual filter
-    rank = (
-        F.when(F.col("page_key") == F.col("url"), 0).when(F.col("page_key") == own, 1)
-        .when((own != "/") & (F.col("page_key") != "/") & (own.endswith(F.col("page_key")) | F.col("page_key").endswith(own)), 2)
-    )
-    best = F.row_number().over(Window.partitionBy("site", "url").orderBy("rank", "seq"))
-    return joined.withColumn("rank", rank).where("rank IS NOT NULL").withColumn("_n", best).where("_n = 1").drop("_n")
+    """wanted(site, url) to the page that holds it; pages(site, page_key, seq), keys with a slash in front or whole URLs.
+
+    The key itself first, then its path, then, with the first seq, a key that ends the path or that the path ends.  Both endings start at a slash, so they are equi
+    joins on tails: of the path with keys, and of keys (an index with the first page of each tail) with the path.  Work follows the tails of paths, not the pairs of a site."""
+    page = F.struct("seq", "page_key")
+    by_key = pages.groupBy("site", "page_key").agg(F.min(page).alias("page")).select("site", F.col("page_key").alias("key"), "page")
+    index = pages.where("page_key != '/'").select("site", "seq", "page_key", F.explode(_tails("page_key")).alias("key")).groupBy("site", "key").agg(F.min(page).alias("page"))
+    asked = wanted.select("site", "url").distinct().withColumn("own", path(F.col("url")))
+    tails = asked.withColumn("key", F.explode(_tails("own")))
+    found = [
+        asked.withColumn("key", F.col("url")).join(by_key, ["site", "key"]).withColumn("rank", F.lit(0)),
+        asked.withColumn("key", F.col("own")).join(by_key, ["site", "key"]).withColumn("rank", F.lit(1)),
+        tails.join(by_key, ["site", "key"]).withColumn("rank", F.lit(2)),
+        asked.withColumn("key", F.col("own")).where("own != '/'").join(index, ["site", "key"]).withColumn("rank", F.lit(2)),
+    ]
+    best = reduce(DataFrame.unionByName, found).groupBy("site", "url").agg(F.min(F.struct("rank", "page")).alias("b"))
+    return wanted.join(best.select("site", "url", "b.rank", "b.page.*"), ["site", "url"])
 
 
 # --- anti-bot challenges ---

@@ -310,13 +310,35 @@ def _capped(spark, sf) -> DataFrame:
     return first.withColumn("n", n).where("n <= 2").select("page_id", "category", (F.col("n") - 1).alias("pos"), "href")
 
 
-@query("l1_link_candidates_ordered", None)
+def _selected(categories: dict[str, tuple[str, str]], blockers: str, per_category: int, total: int, via: str) -> str:
+    """The selection as a fold over the matches of each page, in SQL; categories with their pattern and how SQL writes it."""
+    cats = " UNION ALL ".join(
+        f"SELECT page_id, seq, {i} AS c, '{c}' AS category, u, '{shown}' AS pattern, CASE WHEN regexp_matches(text, '(?i){p}') THEN 'text' ELSE 'href' END AS source, left(CASE WHEN text <> '' THEN text ELSE href END, 120) AS snippet FROM ok WHERE regexp_matches(text, '(?i){p}') OR regexp_matches(href, '(?i){p}')"
+        for i, (c, (shown, p)) in enumerate(categories.items()))
+    return f"""WITH RECURSIVE {_LINKS}, ok AS (SELECT *, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || href AS u FROM l WHERE href <> ''),
+    m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq, c) AS i FROM ({cats}) WHERE {blockers}),
+    f AS (
+        SELECT page_id, 0::BIGINT AS i, []::STRUCT(category VARCHAR, url VARCHAR)[] AS kept, NULL::VARCHAR AS category, NULL::INTEGER AS pos, NULL::VARCHAR AS url, NULL::VARCHAR AS pattern, NULL::VARCHAR AS source, NULL::VARCHAR AS snippet FROM (SELECT DISTINCT page_id FROM m)
+        UNION ALL
+        SELECT page_id, i, CASE WHEN takes THEN list_append(kept, {{'category': cat, 'url': u}}) ELSE kept END, CASE WHEN takes THEN cat END, n::INTEGER, u, pattern, source, snippet
+        FROM (
+            SELECT m.page_id, m.i, f.kept, m.category AS cat, m.u, m.pattern, m.source, m.snippet, len(list_filter(f.kept, lambda k: k.category = m.category)) AS n,
+                len(list_distinct(list_transform(f.kept, lambda k: k.url))) < {total} AND len(list_filter(f.kept, lambda k: k.category = m.category)) < {per_category} AND len(list_filter(f.kept, lambda k: k.category = m.category AND k.url = m.u)) = 0 AS takes
+            FROM f JOIN m ON m.page_id = f.page_id AND m.i = f.i + 1))
+    SELECT page_id, category, pos, url, pattern AS matched_pattern, source AS matched_against, snippet, {via} AS discovered_via FROM f WHERE category IS NOT NULL"""
+
+
+_UNBLOCKED = "NOT (" + " OR ".join(f"regexp_matches(u, '(?i){b}')" for b in L.PATH_BLOCKERS) + ")"
+
+
+@query("l1_link_candidates_ordered", _selected({"articles": ("^the", "^the"), "others": ("tion", "tion")}, _UNBLOCKED, 2, 3, "NULL::VARCHAR"))
 def l1_ordered(spark, sf):
     return K.candidates(_pages(spark, sf), {"articles": [r"^the"], "others": [r"tion"]}, L.PATH_BLOCKERS, per_category=2, total=3)
 
 
-@query("l3_second_level", None)
+@query("l3_second_level", _selected({"others": (r"\w", r"[\p{L}\p{M}\p{N}_]")}, "true", 2, 3, "'menu'"))
 def l3(spark, sf):
+    """On the page's own host only, as every link of these pages is."""
     return K.candidates(_pages(spark, sf), {"others": [r"\w"]}, [], via="menu", total=3, same_host=frozenset({"others"}))
 
 

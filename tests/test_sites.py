@@ -48,14 +48,77 @@ def test_rank_list(spark, tmp_path):
         I.check_params("x", 1, ["br"])
 
 
-def test_candidates():
-    import re
-
-    cats = {"politica": [re.compile("privacidade", re.I)], "canal": [re.compile("titular", re.I)]}
+def test_candidates(spark):
+    cats = {"politica": ["privacidade"], "canal": ["titular"]}
     page = '<a href="/p1">Política de Privacidade</a><a href="/noticias/p2">privacidade</a><a href="https://fora.com/x" title="Privacidade">z</a><a href="mailto:a@b">titular</a><a href="p1#">titular</a>'
-    got = K.select_candidates(page, "https://www.s.com/a/", cats, [re.compile("/noticias?/")], same_host=frozenset({"canal"}))
-    assert [(c[0], c[2], c[4]) for c in got] == [("politica", "https://www.s.com/p1", "text"), ("politica", "https://fora.com/x", "title"), ("canal", "https://www.s.com/a/p1", "text")]
-    assert len(K.select_candidates('<a href="/a">titular</a><a href="/b">titular</a><a href="/c">titular</a>', "https://s.com", cats, [], total=1)) == 1
+
+    def got(html, base, blockers=(), **how):
+        pages = spark.createDataFrame([(1, base, html)], "page_id long, url string, html string")
+        rows = K.candidates(pages, cats, list(blockers), **how).collect()
+        return [(r.category, r.url, r.matched_against) for r in sorted(rows, key=lambda r: (list(cats).index(r.category), r.pos))]
+
+    found = got(page, "https://www.s.com/a/", ["/noticias?/"], same_host=frozenset({"canal"}))
+    assert [(c, u, s) for c, u, s in found] == [("politica", "https://www.s.com/p1", "text"), ("politica", "https://fora.com/x", "title"), ("canal", "https://www.s.com/a/p1", "text")]
+    assert len(got('<a href="/a">titular</a><a href="/b">titular</a><a href="/c">titular</a>', "https://s.com", total=1)) == 1
+    both = '<a href="/a">privacidade do titular</a><a href="/b">titular</a>'
+    assert got(both, "https://s.com", total=1) == [("politica", "https://s.com/a", "text")]  # the total stops within an anchor
+    assert got(both, "https://s.com", total=2) == [("politica", "https://s.com/a", "text"), ("canal", "https://s.com/a", "text"), ("canal", "https://s.com/b", "text")]
+    assert got(both, "https://s.com", total=0) == [] and got(None, None) == [] and got('<a href="http://[x">titular</a>', "https://s.com") == []
+
+
+def test_candidates_against_a_plain_loop(spark):
+    import random
+    import re
+    from urllib.parse import urljoin
+
+    rng = random.Random(8)
+    cats, words = {"a": ["al+", "go"], "b": ["be", r"\bgo\b"], "c": ["é"]}, ["al", "be", "go", "É", "x", "goal", ""]
+    pages = []
+    for i in range(60):
+        links = [(rng.choice([f"/{rng.choice(words)}{rng.randrange(4)}", "mailto:be", "", "//o.com/al"]), " ".join(rng.choices(words, k=2))) for _ in range(rng.randrange(12))]
+        pages.append((i, f"https://s{i}.com/", "".join(f'<a href="{h}" title="{rng.choice(words)}">{t}</a>' for h, t in links)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for per, total in ((1, 2), (2, 3), (5, 50)):
+        want = set()
+        for i, base, html in pages:
+            taken, urls = {c: [] for c in cats}, set()
+            for h, title, t in re.findall('<a href="([^"]*)" title="([^"]*)">([^<]*)</a>', html):
+                for c, ps in cats.items():
+                    url = urljoin(base, h) if h else ""
+                    if len(urls) < total and url.startswith("http") and len(taken[c]) < per and url not in taken[c] and any(re.search(p, v, re.I) for v in (t, title, h) for p in ps):
+                        taken[c].append(url)
+                        urls.add(url)
+                        want.add((i, c, len(taken[c]) - 1, url))
+        got = {(r.page_id, r.category, r.pos, r.url) for r in K.candidates(df, cats, [], per_category=per, total=total).collect()}
+        assert got == want
+
+
+def test_lookup_by_tails(spark):
+    import random
+
+    rng = random.Random(9)
+    steps = ["a", "b", "index.html", "é", ""]
+    path = lambda: "/" + "/".join(rng.choices(steps, k=rng.randrange(4)))
+    pages = [(rng.choice(["s", "t", None]), rng.choice([path(), path(), f"https://x{path()}"]), i, "clash") for i in range(400)]
+    wanted = [(rng.choice(["s", "t"]), f"https://x{path()}") for _ in range(80)]
+
+    def plain(site, url):
+        own = url.removeprefix("https://x") or "/"
+        rank = lambda k: 0 if k == url else 1 if k == own else 2 if own != "/" and k != "/" and (own.endswith(k) or k.endswith(own)) else None
+        return min(((rank(k), i, k) for s, k, i, _ in pages if s == site and rank(k) is not None), default=None)
+
+    got = {(r.site, r.url): (r["rank"], r.seq, r.page_key) for r in K.lookup(spark.createDataFrame(wanted, "site string, url string"), spark.createDataFrame(pages, "site string, page_key string, seq long, url string")).collect()}
+    assert got == {w: plain(*w) for w in wanted if plain(*w)}
+
+
+def test_lookup_is_linear_in_the_pages_of_a_site(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.range(100_000).select(F.lit("s").alias("site"), F.concat(F.lit("/d"), F.col("id") % 1000, F.lit("/p"), F.col("id")).alias("page_key"), F.col("id").alias("seq"))
+    wanted = pages.select("site", F.concat(F.lit("https://x/p"), F.col("seq")).alias("url"))
+    found = K.lookup(wanted, pages)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert found.agg(F.count(F.lit(1)), F.count_if(F.col("page_key").endswith(F.substring("url", 10, 100)))).first()[:] == (100_000, 100_000)
 
 
 def test_pdf_links(spark):
