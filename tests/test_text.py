@@ -123,3 +123,21 @@ def test_excerpt_query_tries_longer_starts_first(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, excerpt)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted((r.doc_id, r.place) for r in QUERIES["t16_locate_excerpt"](spark, str(tmp_path)).collect()) == [(0, 0), (1, 51), (2, 51), (3, 1)]
+
+
+def test_excerpts_of_any_size(spark):
+    import random
+
+    from glasshouse.operators.citations import containing
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abé x", k=rng.randrange(1, 9)))
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(60)))) for i in range(80)] + [(900, None), (901, ""), (902, "a" * 400), (903, "é")]
+    parts = [(i, t[a : a + n], "clash") for i, (t, n) in enumerate((rng.choice(docs[:80])[1], n) for n in [1, 2, 3, 5, 7, 8, 11, 12, 20, 24, 30, 49, 50, 51, 90, 120] * 6) for a in [rng.randrange(40)]]
+    parts += [(1000, None, ""), (1001, "", ""), (1002, "a" * 60, ""), (1003, "a" * 60, ""), (1004, "nowhere to be found at all, in no document whatever it is", "")]
+    found = containing(spark.createDataFrame(docs, "d long, text string"), "d", "text", spark.createDataFrame(parts, "i long, part string, other string"), "i", "part")
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    want = sorted((d, i) for d, t in docs for i, p, _ in parts if t and p and p in t)
+    assert sorted((r.d, r.i) for r in found.collect()) == want
+    none = containing(spark.createDataFrame(docs, "d long, text string"), "d", "text", spark.createDataFrame([(1, "")], "i long, part string"), "i", "part")
+    assert none.columns == ["d", "text", "i", "part"] and none.collect() == []
