@@ -247,6 +247,19 @@ def r8(spark, sf):
     return S.query(_latest(spark, sf), {"run_id": "r1", "variable_name": "view", "nonsense": "x"}).select("domain_url", "value", "event_id")
 
 
+@query("r6_scoped_store", f"WITH {_LATEST} SELECT run_id, domain_url, variable_name, value, event_id FROM latest WHERE variable_name = 'view'")
+def r6(spark, sf):
+    """Three writes of a table in files, the last of one run only, and a lookup by variable."""
+    from glasshouse.plans.registry import scratch
+    from glasshouse.sources.results import ResultTable
+
+    rows, store = _results(spark, sf), ResultTable(spark, scratch(spark, "results"))
+    store.upsert(rows.where("event_id % 2 = 0"))
+    store.upsert(rows.where("event_id % 2 = 1 AND run_id = 'r1'"))
+    store.upsert(rows.where("event_id % 2 = 1 AND run_id = 'r2'"))
+    return store.lookup({"variable_name": "view"}).select("run_id", "domain_url", "variable_name", "value", "event_id")
+
+
 @query("r9_runs", "SELECT user_id AS run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(CASE WHEN event_type = 'purchase' THEN ts END), '%Y-%m-%d %H:%M:%S') AS completed, CAST(max(event_id) AS BIGINT) AS sample_size FROM events GROUP BY user_id")
 def r9(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.lit("p").alias("protocol_version"), F.col("ts").alias("started_at"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("completed_at"), F.col("event_id").alias("sample_size"), F.lit(0).alias("errors_count"))
