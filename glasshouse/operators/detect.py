@@ -16,6 +16,7 @@ from glasshouse.functions.html import anchors_of, banner_elements, visible_of
 from glasshouse.functions.text import normalise
 from glasshouse.functions.urls import below_any, same_domain
 from glasshouse.operators.links import blocked, lookup
+from glasshouse.operators.nearest import nearest
 
 
 def any_of(text: Column, patterns: list[str], flags: str = "(?iuU)") -> Column:
@@ -222,10 +223,8 @@ def joined_pages(pages: DataFrame) -> DataFrame:
 
 
 def within(points: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
-    """points(site, at) that lie within `width` of one of anchors(site, at): a range join on the site, in buckets of `width`."""
-    a = anchors.select("site", F.col("at").alias("a_at"), F.explode(F.array(*[F.floor(F.col("at") / width) + i for i in (-1, 0, 1)])).alias("bucket"))
-    p = points.withColumn("bucket", F.floor(F.col("at") / width))
-    return p.join(a, (p.site == a.site) & (p.bucket == a.bucket) & (F.abs(p.at - a.a_at) <= width), "left_semi").drop("bucket")
+    """points(site, at) that lie within `width` of one of anchors(site, at)."""
+    return nearest(points, anchors).where(F.col("distance") <= width).select(*points.columns)
 
 
 # --- cookie banner ---

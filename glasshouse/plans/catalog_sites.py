@@ -13,6 +13,7 @@ from glasshouse.operators import detect as D
 from glasshouse.operators import links as K
 from glasshouse.operators import render as R
 from glasshouse.operators import store as S
+from glasshouse.operators.nearest import near_marks
 from glasshouse.plans.registry import Catalog, scratch, table
 from glasshouse.sources import custody as C
 from glasshouse.sources import evidence as V
@@ -487,6 +488,19 @@ def v9(spark, sf):
     return D.within(e.where("event_type = 'view'").select("site", "at"), e.where("event_type = 'purchase'").select("site", "at"), 200).select(F.col("at").alias("event_id"))
 
 
+_MARKS = {"form": r"(?i)<form\b", "address": r"[a-z0-9.]+@[a-z0-9.]+", "phone": r"\d\d[0-9 .-]*\d\d", "link": r"(?i)<a "}
+_PLACES = " UNION ALL ".join(f"SELECT page_id, '{k}' AS kind, string_split_regex(html, '{p}') AS gaps, regexp_extract_all(html, '{p}') AS found FROM pages" for k, p in (_MARKS | {"": "(?i)tion"}).items())
+
+
+@query("v9_nearest_marks", f"""WITH x AS ({_PLACES}), s AS (SELECT page_id, kind, unnest(range(1, len(found) + 1)) AS i, gaps, found FROM x),
+    m AS (SELECT page_id, kind, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS at FROM s),
+    d AS (SELECT p.page_id, p.kind, p.at, min(abs(a.at - p.at)) AS distance FROM m p LEFT JOIN m a ON a.page_id = p.page_id AND a.kind = '' WHERE p.kind <> '' GROUP BY ALL)
+    SELECT page_id, kind, count(*) AS n, count(*) FILTER (WHERE distance <= 200) AS near, CAST(min(distance) AS BIGINT) AS distance FROM d GROUP BY page_id, kind""")
+def v9_marks(spark, sf):
+    """How near forms, addresses, phone numbers and links stand to a word of interest, in the markup of each page."""
+    return near_marks(_pages(spark, sf), "page_id", "html", _MARKS, "(?i)tion", 200)
+
+
 def _eta(names: list[str]) -> str:
     c = L.CHANNEL_COEFFICIENTS
     return f"({c['intercept']!r} + " + " + ".join(f"({c[f'F{i}']!r}) * {n}" for i, n in enumerate(names, 1)) + ")"
