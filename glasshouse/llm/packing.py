@@ -162,24 +162,26 @@ def best_fit(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeats that use the histogram (index: length) up exactly."""
+    """Patterns with repeats that use the histogram (index: length) up exactly.
+
+    Fitted counts are rounded to the nearest, but to one at least, and taken in falling order as far as the histogram goes: each pattern fills its sequences
+    to the end, so what is rounded up costs nothing.  Best fit packs what is left; where it would need fewer sequences for all pieces, it packs them all."""
     size = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     patterns = full_patterns(np.flatnonzero(histogram), size)
     out: list[tuple[tuple[int, ...], int]] = []
     if len(patterns):
         x = fit_counts(patterns, left.astype(float))
-        part = x - np.floor(x)
-        for taken, first in ((np.floor(x), x), (np.round(part), part)):
-            some = np.flatnonzero(taken)
-            for k in some[np.argsort(-first[some], kind="stable")].tolist():
-                lengths = [v for v in patterns[k].tolist() if v]
-                n = min(int(taken[k]), *(int(left[v]) // lengths.count(v) for v in lengths))
-                if n > 0:
-                    out.append((tuple(lengths), n))
-                    for v in lengths:
-                        left[v] -= n
-    return out + best_fit(left)
+        some = np.flatnonzero(x > 0)
+        for k in some[np.argsort(-x[some], kind="stable")].tolist():
+            lengths = [v for v in patterns[k].tolist() if v]
+            n = min(max(1, round(x[k])), *(int(left[v]) // lengths.count(v) for v in lengths))
+            if n > 0:
+                out.append((tuple(lengths), n))
+                for v in lengths:
+                    left[v] -= n
+    whole, alone = out + best_fit(left), best_fit(histogram.astype(np.int64))
+    return min(whole, alone, key=lambda packed: sum(n for _, n in packed))  # of equal ones the fitted
 
 
 def slots(packed: list[tuple[tuple[int, ...], int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
