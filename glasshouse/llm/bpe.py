@@ -3,9 +3,9 @@
 Two neighbouring bytes that stand side by side inside no vocabulary token can never end up in one token,
 so the place between them is a certain cut.  Each word falls into fragments at its certain cuts; the
 fragments are merged independently, remembered, and their ids concatenated.  The rules around the
-merges are read from the vocabulary file: normalisation (NFC, runs of white space to one space, lower
-case), the word pattern, byte-level letters, the word-end mark and special tokens, whose strings in a
-text become their ids before anything else.  Decoding joins the tokens as the file's decoder does:
+merges are those of the vocabulary file: the word pattern, the word-end mark and special tokens, whose strings in a
+text become their ids before anything else, are read from it; its normalisation (NFC, runs of white space to one space, lower
+case) is written here, by Python's tables, and left to the tokenizers library for texts with characters that these do not assign.  Decoding joins the tokens as the file's decoder does:
 without one, by one space.
 
 Nulls: a null text is empty and has no tokens; a null doc_id stays null.  Repeated rows get equal values.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +37,15 @@ _SEPARATORS = "\x1c\x1d\x1e\x1f"
 REMEMBERED = 300_000
 
 
+@lru_cache(maxsize=1)
+def _unassigned() -> re.Pattern:
+    """The characters that Python's Unicode tables do not assign; other tables may know some of them as letters, or their lower case."""
+    none = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    first = [c for i, c in enumerate(none) if not i or none[i - 1] != c - 1]
+    last = [c for i, c in enumerate(none) if i + 1 == len(none) or none[i + 1] != c + 1]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(first, last, strict=True)) + "]")
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         import regex
@@ -53,6 +63,7 @@ class WordTokenizer:
         self.blank = regex.compile(f"[{_BLANK}]+")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.unknown, self.path, self.library = _unassigned(), path, None
         self.inside: set[tuple[str, str]] = set()  # neighbours inside a token
         self.closing: set[tuple[str, str]] = set()  # neighbours at the end of a token that ends a word
         for token in self.vocab:
@@ -109,7 +120,10 @@ class WordTokenizer:
         return [p for p in parts if p]
 
     def word_tokens(self, word: str) -> list[str]:
-        letters = word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode("utf-8")])
+        return self.letter_tokens(word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode("utf-8")]))
+
+    def letter_tokens(self, letters: str) -> list[str]:
+        """The tokens of a word in byte-level letters."""
         pieces, out = self.cut(letters), []
         for i, piece in enumerate(pieces):
             key = (piece, i == len(pieces) - 1)
@@ -130,6 +144,14 @@ class WordTokenizer:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
+    def foreign(self, text: str) -> list[tuple[str, str, int]]:
+        """A text with characters that Python's tables do not know: its words as the tokenizers library finds them, by its own tables; merged here."""
+        from tokenizers import Tokenizer
+
+        self.library = self.library or Tokenizer.from_file(self.path)
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [(" ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)) for tokens in (self.letter_tokens(w) for w, _ in words)]
+
     def chunk(self, chunk: str) -> tuple[str, str, int]:
         """Ids and tokens of text without white space, each joined by one space, and their number."""
         found = self.chunks.get(chunk)
@@ -146,9 +168,13 @@ class WordTokenizer:
         out, at = [], 0
         marks = list(self.marks.finditer(text)) if self.marks and any(s in text for s in self.special) else []
         for mark in [*marks, None]:
-            plain = self.normalise(text[at : mark.start() if mark else len(text)])
-            pieces = self.blank.split(plain) if any(c in plain for c in _SEPARATORS) else plain.split()
-            out += [p for p in map(self.chunk, pieces) if p[2]]
+            plain = text[at : mark.start() if mark else len(text)]
+            if not plain.isascii() and self.unknown.search(plain):
+                out += self.foreign(plain)
+            else:
+                plain = self.normalise(plain)
+                pieces = self.blank.split(plain) if any(c in plain for c in _SEPARATORS) else plain.split()
+                out += [p for p in map(self.chunk, pieces) if p[2]]
             if mark:
                 out.append((str(self.special[mark[0]]), mark[0], 1))
                 at = mark.end()
