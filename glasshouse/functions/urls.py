@@ -49,6 +49,25 @@ def with_public_suffix(rows: DataFrame, domain: str, suffixes: DataFrame) -> Dat
     return rows.join(best, rows[domain] == best._d, "left").withColumn("tld", F.coalesce(F.concat(F.lit("."), F.col("_s")), F.lit(".unknown"))).drop("_d", "_s")
 
 
+def public_suffixes(rows: DataFrame, domain: str, rules: DataFrame) -> DataFrame:
+    """Adds suffix and registrable (the suffix and one label more; null for a suffix itself) by rules(rule): a name, `*.` and a name (any one label
+    before it), or `!` and a name (the suffix is what follows its first label).
+
+    An exception wins, else the longest rule; without one the last label is the suffix.  Every tail of a domain is looked up by an equi join, by itself and by
+    what follows its first label.  Rules count in lower case; a null or empty domain has neither."""
+    rule = F.lower(F.trim("rule"))
+    kinds = rules.select(F.regexp_replace(rule, r"^(!|\*\.)", "").alias("name"), F.when(rule.startswith("!"), "!").when(rule.startswith("*."), "*").otherwise("").alias("kind")).where("name != ''").distinct()
+    names = rows.select(F.col(domain).alias("_d")).where(F.col(domain) != "").distinct().withColumn("_l", F.split(F.lower("_d"), "[.]"))
+    tails = names.select("_d", "_l", F.posexplode(F.transform("_l", lambda _, i: F.array_join(F.slice("_l", i + 1, F.size("_l")), "."))).alias("_i", "_t"))
+    asked = tails.select("_d", (F.size("_l") - F.col("_i")).alias("_n"), F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("_t").alias("at")), F.struct(F.lit(False).alias("own"), F.regexp_replace("_t", r"^[^.]*[.]?", "").alias("at")))).alias("_a"))
+    hit = asked.select("_d", "_n", "_a.*").join(kinds, F.col("at") == F.col("name")).where("(own AND kind != '*') OR (NOT own AND kind = '*')")
+    best = hit.groupBy("_d").agg(F.max(F.when(F.col("kind") == "!", F.col("_n") - 1)).alias("_e"), F.max("_n").alias("_n")).select("_d", F.coalesce("_e", "_n").alias("_n"))
+    found = names.join(best, "_d", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    tail = lambda n: F.array_join(F.slice("_l", F.size("_l") - n + 1, n), ".")
+    longer = F.when(F.size("_l") > F.col("_n"), tail(F.least(F.col("_n") + 1, F.size("_l"))))
+    return rows.join(found.select("_d", tail(F.col("_n")).alias("suffix"), longer.alias("registrable")), rows[domain] == F.col("_d"), "left").drop("_d")
+
+
 def tails_of(name: str) -> Column:
     """All proper tails of a dotted name: a.b.c gives b.c and c."""
     return F.expr(f"transform(sequence(1, greatest(size(split({name}, '[.]')) - 1, 1)), i -> array_join(slice(split({name}, '[.]'), i + 1, 100), '.'))")

@@ -84,6 +84,17 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     return F.when(n == 0, 0.0).otherwise(F.greatest(centre - half, F.lit(0.0))), F.when(n == 0, 1.0).otherwise(F.least(centre + half, F.lit(1.0)))
 
 
+def sample_size(error: float, p: Column | float = 0.5, z: float = 1.96) -> Column:
+    """Rows to draw for an error of `error` at a share of p; 0.5 is the worst case."""
+    p = p if isinstance(p, Column) else F.lit(p)
+    return F.ceil(z * z * p * (1 - p) / (error * error) - 1e-9)
+
+
+def margin(p: Column, n: Column, z: float = 1.96) -> Column:
+    """Half the width of the interval of a share of p among n rows."""
+    return z * F.sqrt(p * (1 - p) / n)
+
+
 def brier(rows: DataFrame, p: str, y: str, group: str) -> DataFrame:
     """Brier score with Murphy's parts over groups of equal treatment: reliability, resolution, uncertainty, residual."""
     g = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mp"), F.avg(F.col(y).cast("double")).alias("my"), F.sum(F.pow(F.col(p) - F.col(y).cast("double"), 2)).alias("sq"), F.sum(F.col(y).cast("double")).alias("yes"))

@@ -56,8 +56,8 @@ def wide_rows(results: DataFrame, variables: list[str]) -> DataFrame:
     counted = flat.join(reason, "dominio", "left").select(
         "*", count("false").alias("n_sinais_ausentes"), count("nao_aplicavel").alias("n_nao_aplicavel"), count("nao_coletado").alias("n_nao_coletado"), (count("true") + count("false")).alias("n_medidas")
     )
-    # buckets of the order: the counts, then the first letters of the host
-    counts = [(F.col("n_nao_coletado") > 0).cast("int"), -F.col("n_nao_aplicavel"), -F.col("n_sinais_ausentes"), F.substring("dominio", 1, 6)]
+    # buckets of the order: the counts, then the letters of the host, three a level
+    counts = [(F.col("n_nao_coletado") > 0).cast("int"), -F.col("n_nao_aplicavel"), -F.col("n_sinais_ausentes"), *[F.substring("dominio", i, 3) for i in (1, 4, 7)]]
     return numbered(counted, counts, [F.col("dominio")], "ordem").withColumn("ordem", F.col("ordem").cast("int"))
 
 

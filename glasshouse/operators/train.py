@@ -30,14 +30,40 @@ def fit_text(docs: DataFrame, key: str, y: str, c: float = 1.0, min_df: int = 3,
     return found.coefficients().select("term", "df", F.col("idf")[0].alias("idf"), F.col("coef")[0].alias("coef")), found.intercepts()[0]
 
 
-def challengers(rows: DataFrame, features: list[str], y: str, c: float = 1.0):
-    """A ridge and a boosted-tree model on the same features."""
+def challenge(rows: DataFrame, features: list[str], y: str, fold: str, c: float = 1.0, rounds: int = 200, depth: int = 3, rate: float = 0.1) -> DataFrame:
+    """The rows' fold, y as `actual`, model, probability and `predicted`: each row scored by a penalised fit, a ridge and boosted trees without its fold.
+
+    Features are 0 or 1, so a fold's models are fitted on its feature patterns with their counts (at most two for each set of features), however many rows there are;
+    every row is scored by its pattern.  A fold whose other rows have one class only gets that class's share from every model."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(rows.select(F.col(y).cast("double").alias("label"), *features))
-    ridge = LogisticRegression(regParam=1 / (c * data.count()), elasticNetParam=0.0, standardization=False).fit(data)
-    return ridge, GBTClassifier(maxIter=200, maxDepth=3, stepSize=0.1).fit(data)
+    from pyspark.ml.functions import vector_to_array
+
+    spark = rows.sparkSession
+    names = [f"f{i}" for i in range(len(features))]
+    counted = rows.groupBy(F.col(fold).cast("int").alias("fold"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)]).agg(F.sum(F.col(y).cast("long")).alias("yes"), F.count(F.lit(1)).alias("n")).collect()  # patterns of a fold
+    scores: list[tuple] = []
+    for k in sorted({r.fold for r in counted}):
+        others = [r for r in counted if r.fold != k]
+        points = sorted({tuple(r[n] for n in names) for r in counted})
+        known = [(float(label), float(w), *(r[n] for n in names)) for r in others for label, w in ((1, r.yes), (0, r.n - r.yes)) if w]
+        if len({x[0] for x in known}) < 2:
+            share = sum(x[0] * x[1] for x in known) / max(1.0, sum(x[1] for x in known))
+            scores += [(k, m, *p, share) for m in ("penalised", "ridge", "boosted") for p in points]
+            continue
+        x, ones, n = np.array([[r[f] for f in names] for r in others]), np.array([float(r.yes) for r in others]), np.array([float(r.n) for r in others])
+        fit_ = numeric.firth(x, ones, n)[0]
+        scores += [(k, "penalised", *p, float(1 / (1 + np.exp(-(fit_[0] + np.dot(fit_[1:], p)))))) for p in points]
+        data = VectorAssembler(inputCols=names, outputCol="features")
+        train = data.transform(spark.createDataFrame(known, "label double, w double, " + ", ".join(f"{f} double" for f in names)).coalesce(1))
+        ask = data.transform(spark.createDataFrame(points, ", ".join(f"{f} double" for f in names)).coalesce(1))
+        total = sum(w for _, w, *_ in known)
+        for name, model in (("ridge", LogisticRegression(regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, weightCol="w")), ("boosted", GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, weightCol="w", seed=1))):
+            found = model.fit(train).transform(ask).select(*names, vector_to_array("probability")[1].alias("p")).collect()
+            scores += [(k, name, *(r[f] for f in names), float(r.p)) for r in found]
+    table = spark.createDataFrame(scores, "fold int, model string, " + ", ".join(f"{f} double" for f in names) + ", probability double")
+    asked = rows.select(F.col(fold).cast("int").alias("fold"), F.col(y).alias("actual"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names, strict=True)])
+    return asked.join(F.broadcast(table), ["fold", *names]).select("fold", "actual", "model", "probability", F.when(F.col("probability") >= 0.5, "true").otherwise("false").alias("predicted"))
 
 
 def threshold_grid(scored: DataFrame, group: str, p: str, y: str, quantiles: list[float]) -> DataFrame:

@@ -180,9 +180,12 @@ def a20_intervals(spark, sf):
     return g.select("first", F.round(F.col("k") / F.col("n"), 6).alias("share"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("a21_sample_size", "SELECT e AS error_pct, CAST(ceil(1.96 * 1.96 * 0.25 / ((e / 100.0) ** 2) - 0.000000001) AS BIGINT) AS n FROM (VALUES (3), (5), (10)) t(e)")
+@query("a21_sample_size", f"WITH {_PRED}, s AS (SELECT source, count(*) AS n, avg(actual::INT) AS p FROM pred GROUP BY source) SELECT source, n, CAST(ceil(1.96 * 1.96 * p * (1 - p) / (0.05 * 0.05) - 0.000000001) AS BIGINT) AS needed, CAST(ceil(1.96 * 1.96 * 0.25 / (0.05 * 0.05) - 0.000000001) AS BIGINT) AS at_most, round(1.96 * sqrt(p * (1 - p) / n) * 100, 6) AS error_pct FROM s")
 def a21(spark, sf):
-    return spark.createDataFrame([(e, N.sample_size(e / 100)) for e in (3, 5, 10)], "error_pct int, n long")
+    """Rows to label in each source for an error of 5 points, by its own share and by the worst; and the error of the rows there are."""
+    s = _pred(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("actual").cast("int")).alias("p"))
+    p = F.col("p")
+    return s.select("source", "n", E.sample_size(0.05, p).alias("needed"), E.sample_size(0.05).alias("at_most"), F.round(E.margin(p, F.col("n")) * 100, 6).alias("error_pct"))
 
 
 # --- windows, thresholds, resampling ---
@@ -359,13 +362,10 @@ def m8(spark, sf):
 
 @query("m13_challengers", None)
 def m13(spark, sf):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    f = _features(spark, sf)
-    data = VectorAssembler(inputCols=["f1", "f2", "f3"], outputCol="features").transform(f.select(F.col("y").cast("double").alias("label"), "f1", "f2", "f3"))
-    model = LogisticRegression(regParam=1 / max(1, data.count()), elasticNetParam=0.0, standardization=False).fit(data)
-    return spark.createDataFrame([("intercept", float(model.intercept)), *((n, float(v)) for n, v in zip(("f1", "f2", "f3"), model.coefficients, strict=True))], "term string, beta double")
+    """The penalised fit, a ridge and boosted trees on the same features, each scored on the folds it did not see."""
+    rows = _features(spark, sf).withColumn("fold", (F.col("doc_id") % 2).cast("int")).withColumn("f1", (F.col("doc_id") % 5 == 0).cast("int"))
+    scored = M.challenge(rows, ["f1", "f2", "f3"], "y", "fold", rounds=10)
+    return E.balanced(E.confusion(scored, by=["model"])).select("model", "tp", "fp", "fn", "tn", F.round("balanced_accuracy", 4).alias("balanced_accuracy"), F.round("mcc", 4).alias("mcc"))
 
 
 _GRID = f"{_PRED}, t AS (SELECT lang, unnest([quantile_cont(p, 0.5), quantile_cont(p, 0.7), quantile_cont(p, 0.9)]) AS threshold, unnest([0, 1, 2]) AS q FROM pred GROUP BY lang), c AS (SELECT lang, q, threshold, count(*) FILTER (WHERE p >= threshold AND quality = 1) AS tp, count(*) FILTER (WHERE p >= threshold AND quality = 0) AS fp, count(*) FILTER (WHERE p < threshold AND quality = 1) AS fn, count(*) FILTER (WHERE p < threshold AND quality = 0) AS tn FROM pred JOIN t USING (lang) GROUP BY ALL)"

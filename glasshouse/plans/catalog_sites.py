@@ -53,6 +53,21 @@ def s6(spark, sf):
     return U.with_public_suffix(_ranks(spark, sf), "domain", listed).select(F.col("rank").cast("long").alias("rank"), "tld")
 
 
+_RULES = ["com", "net", "org", "*.example.com", "example.net", "!therha.example.com", "!thther.example.com"]
+
+
+@query("s6_public_suffix_rules", f"""WITH h AS (SELECT DISTINCT {_HOST} AS d FROM pages), r AS (SELECT unnest({_RULES}) AS rule),
+    t AS (SELECT d, unnest(range(0, len(string_split(d, '.')))) AS k, string_split(d, '.') AS ls FROM h),
+    m AS (SELECT d, k, len(ls) - k AS n, left(rule, 1) = '!' AS except_ FROM t JOIN r ON rule = array_to_string(ls[k + 1:], '.') OR rule = '!' || array_to_string(ls[k + 1:], '.') OR (len(ls) - k > 1 AND rule = '*.' || array_to_string(ls[k + 2:], '.'))),
+    b AS (SELECT d, CASE WHEN bool_or(except_) THEN max(CASE WHEN except_ THEN n - 1 END) ELSE max(n) END AS n FROM m GROUP BY d),
+    f AS (SELECT h.d, string_split(h.d, '.') AS ls, coalesce(n, 1) AS n FROM h LEFT JOIN b USING (d))
+    SELECT d AS domain, array_to_string(ls[len(ls) - n + 1:], '.') AS suffix, CASE WHEN len(ls) > n THEN array_to_string(ls[len(ls) - n:], '.') END AS registrable FROM f""")
+def s6_rules(spark, sf):
+    """Suffix and registrable domain of every host under rules with wildcards and exceptions."""
+    hosts = _pages(spark, sf).select(U.host(F.col("url")).alias("domain")).distinct()
+    return U.public_suffixes(hosts, "domain", spark.createDataFrame([(r,) for r in _RULES], "rule string")).select("domain", "suffix", "registrable")
+
+
 @query("s7_listed_hosts", f"SELECT 'https://' || h AS url, arg_min(lang, page_id) AS stratum, min(page_id) AS seq FROM (SELECT page_id, {_HOST} AS h, regexp_extract(url, '//[^/]+/([a-z]+)/', 1) AS lang FROM pages) WHERE contains(h, '.') GROUP BY h")
 def s7(spark, sf):
     rows = I.listed_hosts(_pages(spark, sf), F.col("url"), F.regexp_extract("url", "//[^/]+/([a-z]+)/", 1), F.col("page_id"))
@@ -279,11 +294,9 @@ def r11(spark, sf):
     return V.publishable(rows).select("file", "n_lines")
 
 
-@query("r12_sequence_digest", "SELECT conv_id, sha256(string_agg(text || chr(1), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+@query("r12_sequence_digest", "SELECT conv_id, sha256(unhex(string_agg(hex(encode(text)) || '00', '' ORDER BY turn))) AS digest FROM conversations GROUP BY conv_id")
 def r12(spark, sf):
-    # the oracle's engine has no NUL in strings, so this query shows the same digest with U+0001; the operator ends each part with NUL
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["text"], F.lit("\u0001"))), ""), 256).alias("digest"))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(V.sequence_digest(F.col("text"), F.col("turn")).alias("digest"))
 
 
 @query("r13_directory_digest", "SELECT source AS dir, sha256(unhex(string_agg(hex(encode(CAST(doc_id AS VARCHAR))) || '00' || hex(encode(sha256(text))), '' ORDER BY CAST(doc_id AS VARCHAR)))) AS sha256 FROM documents GROUP BY source")
