@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glasshouse.functions import lexicon as L
 from glasshouse.functions.text import counted, terms
 from glasshouse.operators.joins import by_frequency
+from glasshouse.plans.registry import scratch
 
 
 def sigmoid(eta: Column) -> Column:
@@ -18,15 +19,22 @@ def sigmoid(eta: Column) -> Column:
     return F.when(eta >= 0, 1 / (1 + F.exp(-eta))).otherwise(F.exp(eta) / (1 + F.exp(eta)))
 
 
+def counted_docs(docs: DataFrame, key: list[str], most: int = 3) -> DataFrame:
+    """key and `terms`, the counted terms of the text, written once: what is fitted on them and scored with them does not take the texts apart again."""
+    path = scratch(docs.sparkSession, "terms")
+    docs.select(*key, counted(terms(F.col("text"), most)).alias("terms")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def term_counts(docs: DataFrame, key: list[str], most: int = 3) -> DataFrame:
-    """key, term, n.  Counted within the row, so nothing is shuffled."""
-    return docs.select(*key, F.explode(counted(terms(F.col("text"), most))).alias("x")).select(*key, "x.*")
+    """key, term, n, of docs with a text or of counted_docs.  Counted within the row, so nothing is shuffled."""
+    found = F.col("terms") if "terms" in docs.columns else counted(terms(F.col("text"), most))
+    return docs.select(*key, F.explode(found).alias("x")).select(*key, "x.*")
 
 
 def term_frequencies(docs: DataFrame, key: str, most: int = 3) -> DataFrame:
     """term, n and df: occurrences, and documents that have it; one shuffle, of partial sums."""
-    rows = docs.select(F.col(key), F.col("text")).where(F.col("text").isNotNull())
-    return term_counts(rows, [key], most).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
+    return term_counts(docs, [key], most).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
 def fit_idf(docs: DataFrame, key: str, min_df: int = 3, most: int = 3) -> DataFrame:

@@ -379,7 +379,7 @@ def m7(spark, sf):
 
 @query("m1_tfidf_norms", f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w FROM tf JOIN vocab USING (term)) SELECT doc_id, count(*) AS n_terms, round(sqrt(sum(w * w)), 4) AS norm FROM w GROUP BY doc_id")
 def m1(spark, sf):
-    docs = _docs(spark, sf)
+    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
     return S.norms(docs, ["doc_id"], S.fit_idf(docs, "doc_id")).select("doc_id", "n_terms", F.round("norm", 4).alias("norm"))
 
 
@@ -391,14 +391,14 @@ _COEF = "(CAST(length(term) % 7 AS DOUBLE) - 3) / 10"
     f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w, {_COEF} AS c FROM tf JOIN vocab USING (term)), s AS (SELECT doc_id, sum(w * c) / sqrt(sum(w * w)) AS dot FROM w GROUP BY doc_id) SELECT doc_id, round(1 / (1 + exp(-(coalesce(dot, 0) - 0.25))), 6) AS probability FROM docs LEFT JOIN s USING (doc_id)",
 )
 def m2(spark, sf):
-    docs = _docs(spark, sf)
+    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
     vocabulary = S.fit_idf(docs, "doc_id").withColumn("coef", ((F.char_length("term") % 7).cast("double") - 3) / 10)
     return S.probabilities(docs, ["doc_id"], vocabulary, -0.25).select("doc_id", F.round("probability", 6).alias("probability"))
 
 
 @query("m3_vocab_coverage", f"{_VOCAB} SELECT doc_id, round(sum(CASE WHEN v.term IS NULL THEN 0 ELSE n END) / sum(n), 6) AS coverage FROM tf LEFT JOIN vocab v USING (term) GROUP BY doc_id")
 def m3(spark, sf):
-    docs = _docs(spark, sf)
+    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
     return S.coverage(docs, ["doc_id"], S.fit_idf(docs, "doc_id")).select("doc_id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -406,7 +406,7 @@ def m3(spark, sf):
 def m18(spark, sf):
     from glasshouse.operators.train import coverage_quantiles
 
-    docs = _docs(spark, sf)
+    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
     q = coverage_quantiles(S.coverage(docs, ["doc_id"], S.fit_idf(docs, "doc_id")))
     return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
