@@ -149,13 +149,12 @@ def s19(spark, sf):
     return table(spark, sf, "events").select("event_id", k.alias("k")).where("k % 3 = 0")
 
 
-@query("s21_package_sections", "SELECT conv_id, count(*) AS n_sections, CAST(sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
+@query("s21_package_sections", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, 'SUBPAGINA' AS kind, CAST(turn AS VARCHAR) AS name, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS body FROM conversations")
 def s21(spark, sf):
     line = F.concat(F.lit("[SUBPAGINA "), F.col("turn").cast("string"), F.lit("]\n"), F.col("text"), F.lit("\n"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))
     package = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["l"]), "").alias("text"))
-    rows = V.package_sections(package)
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum(F.char_length("body")).alias("chars"))
+    return V.package_sections(package).select("conv_id", "seq", "kind", "name", F.md5("body").alias("body"))
 
 
 # --- fetch layer as data ---
@@ -600,15 +599,17 @@ def o3(spark, sf):
     return R.evidence_rows(rows).select(F.col("domain_url").cast("long").alias("doc_id"), "posicao", F.md5("texto").alias("digest"))
 
 
-@query("o5_nested_json", f"WITH {_STATES} SELECT 'd' || site || '.com' AS dominio, count(*) AS n FROM resolved GROUP BY site")
+@query("o5_nested_json", f"WITH {_STATES} SELECT 'd' || site || '.com' AS dominio, variable_name, state AS valor, reason AS motivo FROM resolved")
 def o5(spark, sf):
-    return R.nested_rows(_rendered(spark, sf)).select("dominio", F.size(F.map_keys(F.from_json("json", "map<string, string>"))).cast("long").alias("n"))
+    """The objects taken apart again."""
+    nested = F.from_json("json", "map<string, struct<valor: string, confianca: double, motivo: string>>")
+    return R.nested_rows(_rendered(spark, sf)).select("dominio", F.explode(nested).alias("variable_name", "v")).select("dominio", "variable_name", "v.valor", "v.motivo")
 
 
-@query("o4_typed_parquet", f"WITH {_LATEST} SELECT run_id, variable_name, count(*) AS n, round(avg(event_id % 7), 6) AS mean_flagged FROM latest GROUP BY ALL")
+@query("o4_typed_parquet", f"WITH {_LATEST} SELECT run_id, domain_url, variable_name, trim(value, '\"') AS value, CAST(event_id % 7 AS BIGINT) AS n_sentencas_sinalizadas, CAST(event_id % 40 AS BIGINT) AS n_segmentos_avaliados, CASE WHEN event_id % 40 > 0 THEN round((event_id % 7) / (event_id % 40), 6) END AS densidade_sinalizacao FROM latest")
 def o4(spark, sf):
     typed = R.typed_rows(_latest(spark, sf).withColumn("computed_at", F.col("computed_at.ts")))
-    return typed.groupBy("run_id", "variable_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_sentencas_sinalizadas"), 6).alias("mean_flagged"))
+    return typed.select("run_id", "domain_url", "variable_name", "value", "n_sentencas_sinalizadas", "n_segmentos_avaliados", "densidade_sinalizacao")
 
 
 @query(
