@@ -127,7 +127,7 @@ def text_variable(scored: DataFrame, sites: DataFrame, threshold: float, most: i
 
 
 def write_model(vocabulary: DataFrame, meta: dict, path: str) -> str:
-    """vocabulary(term, idf, coef) as Parquet with its metadata; returns the identity of the content."""
+    """vocabulary(term, idf, coef), or another model's table, as Parquet with its metadata; returns the identity of the content."""
     vocabulary.write.mode("errorifexists").parquet(f"{path}/vocabulary")
     spark = vocabulary.sparkSession
     identity = model_identity(spark.read.parquet(f"{path}/vocabulary"), meta)
@@ -137,8 +137,9 @@ def write_model(vocabulary: DataFrame, meta: dict, path: str) -> str:
 
 def model_identity(vocabulary: DataFrame, meta: dict) -> str:
     """A digest that does not depend on the order of rows: of the metadata and the sum and xor of row hashes."""
-    row = F.xxhash64("term", "idf", "coef")
-    got = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.hash("term", "idf", "coef").cast("long")).alias("s")).first()
+    columns = sorted(vocabulary.columns)
+    row = F.xxhash64(*columns)
+    got = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(row).alias("x"), F.sum(F.hash(*columns).cast("long")).alias("s")).first()
     import hashlib
 
     return hashlib.sha256(f"{json.dumps(meta, sort_keys=True)}|{got.n}|{got.x}|{got.s}".encode()).hexdigest()
@@ -156,5 +157,40 @@ def read_model(spark: SparkSession, path: str, sha256: str | None = None, kind:
     return vocabulary, meta
 
 
+def write_channel(spark: SparkSession, coefficients: dict[str, float], meta: dict, path: str) -> str:
+    """The channel's model by feature name, the intercept among them."""
+    rows = spark.createDataFrame([(k, float(v)) for k, v in coefficients.items()], "name string, coef double")
+    return write_model(rows, meta | {"kind": "channel"}, path)
+
+
+def read_channel(spark: SparkSession, path: str, sha256: str | None = None, version: str | None = None) -> tuple[dict[str, float], dict]:
+    table, meta = read_model(spark, path, sha256, "channel", version)
+    return {r.name: r.coef for r in table.collect()}, meta  # a row a feature
+
+
+def write_dense(spark: SparkSession, coef: list[float], intercept: float, threshold: float, variable: str, meta: dict, path: str) -> str:
+    """A variable's head on an encoder's vectors, with its threshold."""
+    rows = spark.createDataFrame([(i, float(c)) for i, c in enumerate(coef)], "place int, coef double")
+    return write_model(rows, meta | {"kind": "dense", "variable": variable, "intercept": float(intercept), "threshold": float(threshold), "dimension": len(coef)}, path)
+
+
+def read_dense(spark: SparkSession, path: str, variable: str, sha256: str | None = None, version: str | None = None) -> tuple[list[float], dict]:
+    """Stops as well if the head is of another variable, or not of the dimension it declares."""
+    table, meta = read_model(spark, path, sha256, "dense", version)
+    if meta["variable"] != variable:
+        raise ValueError(f"{path}: a head of {meta['variable']}, not of {variable}")
+    coef = [r.coef for r in table.orderBy("place").collect()]  # the vector's dimension
+    if len(coef) != meta["dimension"]:
+        raise ValueError(f"{path}: {len(coef)} coefficients, {meta['dimension']} declared")
+    return coef, meta
+
+
+def dense_variable(vectors: DataFrame, sites: DataFrame, path: str, variable: str, sha256: str | None = None, most: int = 10) -> DataFrame:
+    """vectors(site, pos, text, embedding) and sites(site, removed_pages) to a verdict for each site by the head at path, as text_variable() gives it."""
+    coef, meta = read_dense(vectors.sparkSession, path, variable, sha256)
+    scored = vectors.select("site", "pos", "text", dense_probability(F.col("embedding"), coef, meta["intercept"]).alias("probability"))
+    return text_variable(scored, sites, meta["threshold"], most)
+
+
 def log_odds(p: float) -> float:
     return math.log(p / (1 - p))

@@ -12,7 +12,7 @@ from glasshouse.operators import score as S
 from glasshouse.operators import train as M
 from glasshouse.operators.quantiles import exact_quantiles
 from glasshouse.operators.selection import nested
-from glasshouse.plans.registry import Catalog, table
+from glasshouse.plans.registry import Catalog, scratch, table
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -354,6 +354,41 @@ def m6(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(S.dense_probability(F.col("embedding"), _HEAD, 0.1), 6).alias("p"))
 
 
+_DOT = f"list_dot_product(CAST(embedding AS DOUBLE[]), {_HEAD}::DOUBLE[]) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))"
+
+
+@query("m19_artefacts", f"SELECT 'channel' AS kind, doc_id AS id, round(1 / (1 + exp(-(-0.5 + 1.25 * (doc_id % 2) - 0.75 * (doc_id % 3)))), 6) AS p FROM documents UNION ALL SELECT 'dense', vec_id, round(1 / (1 + exp(-({_DOT} + 0.1))), 6) FROM embeddings")
+def m19(spark, sf):
+    """The channel's and a dense model, written with their identity, read again by it and applied."""
+    places = {k: scratch(spark, f"m19-{k}") for k in ("channel", "dense")}
+    one = S.write_channel(spark, {"intercept": -0.5, "a": 1.25, "b": -0.75}, {"version": "1"}, places["channel"])
+    two = S.write_dense(spark, _HEAD, 0.1, 0.5, "transfer", {"version": "1"}, places["dense"])
+    coefficients, _ = S.read_channel(spark, places["channel"], one, "1")
+    head, meta = S.read_dense(spark, places["dense"], "transfer", two, "1")
+    docs, vectors = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    p = S.channel_probability({"a": F.col("doc_id") % 2, "b": F.col("doc_id") % 3}, coefficients)
+    q = S.dense_probability(F.col("embedding"), head, meta["intercept"])
+    return docs.select(F.lit("channel").alias("kind"), F.col("doc_id").alias("id"), F.round(p, 6).alias("p")).unionByName(vectors.select(F.lit("dense").alias("kind"), F.col("vec_id").alias("id"), F.round(q, 6).alias("p")))
+
+
+@query(
+    "v12_dense_variable",
+    f"""WITH s AS (SELECT d.source AS site, vec_id AS pos, 1 / (1 + exp(-({_DOT} + 0.1))) AS p FROM embeddings JOIN documents d ON vec_id = doc_id), g AS (SELECT site, bool_or(p >= 0.7) AS value, max(p) AS confidence, count(*) FILTER (WHERE p >= 0.7) AS flagged, count(*) AS n FROM s GROUP BY site),
+    best AS (SELECT site, list(pos ORDER BY p DESC, pos) AS b FROM s WHERE p >= 0.7 GROUP BY site)
+    SELECT site, value, round(confidence, 6) AS confidence, flagged, n, coalesce(b[1:10], []) AS best FROM g LEFT JOIN best USING (site)""",
+)
+def v12(spark, sf):
+    """The verdict of a dense head for each source, from the vectors of its documents."""
+    path = scratch(spark, "v12")
+    S.write_dense(spark, _HEAD, 0.1, 0.7, "transfer", {"version": "1"}, path)
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("site"))
+    vectors = table(spark, sf, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select("site", F.col("vec_id").alias("pos"), F.lit("").alias("text"), "embedding")
+    sites = vectors.select("site").distinct().withColumn("removed_pages", F.lit(0))
+    found = S.dense_variable(vectors, sites, path, "transfer")
+    best = F.transform("sentencas", lambda x: x["posicao"])
+    return found.select("site", "value", F.round("confidence", 6).alias("confidence"), F.col("n_sentencas_sinalizadas").alias("flagged"), F.col("n_segmentos_avaliados").alias("n"), best.alias("best"))
+
+
 @query("m8_penalised_fit", None)
 def m8(spark, sf):
     rows = M.fit_channel(_features(spark, sf), ["f1", "f2", "f3"], "y")
