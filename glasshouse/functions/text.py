@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glasshouse.functions import lexicon as L
 
-# Letters that decompose under NFKD into a base letter and marks, for the languages measured; the exact form is nfkd_lower() in html.py.
-_ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 _MARK = "\u0001"
 
 
+@lru_cache(maxsize=1)
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters that compatibility decomposition without combining marks makes one other (or none, at the end), what it makes them, and those that become several; Hangul apart."""
+    one, several = {}, {}
+    for code in range(0x110000):
+        char = chr(code)
+        if unicodedata.category(char) in ("Cn", "Cs", "Co") or 0xAC00 <= code < 0xAC00 + 11172:
+            continue
+        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if base != char:
+            (several if len(base) > 1 else one)[char] = base
+    order = sorted(one, key=lambda c: one[c] == "")  # what goes stands behind what is replaced
+    return "".join(order), "".join(one[c] for c in order), several
+
+
+def _ranges(codes: list[int], gap: int = 16) -> str:
+    """A class of characters that holds the codes, and some between near ones."""
+    out: list[list[int]] = []
+    for c in sorted(codes):
+        if out and c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def replace_all(col: Column, *pairs: tuple[str, str]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), pairs, col)
 
@@ -25,7 +49,24 @@ def clean(col: Column) -> Column:
 
 
 def without_accents(col: Column) -> Column:
-    return F.translate(col, _ACCENTED, _PLAIN)
+    """Compatibility decomposition without combining marks, of every character that Python's Unicode tables assign.
+
+    Most characters become one other, which one translation does; texts with characters that become several are taken apart, and those are looked up
+    (Hangul syllables by their arithmetic)."""
+    before, after, several = _decompositions()
+    kind = _ranges([*map(ord, several), 0xAC00, *range(0xAC00, 0xAC00 + 11172, 16), 0xAC00 + 11171])
+    known = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in several.items())), F.lit("\u0001"), F.lit("\u0002"))
+    jamo = lambda first, n: "".join(map(chr, range(first, first + n)))
+
+    def apart(c: Column) -> Column:
+        place = F.ascii(c) - 0xAC00
+        lead, vowel, tail = F.floor(place / 588).cast("int"), (F.floor(place / 28) % 21).cast("int"), (place % 28).cast("int")
+        pick = lambda letters, at: F.substring(F.lit(letters), at + 1, F.lit(1))
+        syllable = F.concat(pick(jamo(0x1100, 19), lead), pick(jamo(0x1161, 21), vowel), F.when(tail > 0, pick(jamo(0x11A8, 27), tail - 1)).otherwise(""))
+        return F.when(~c.rlike(kind), c).when((place >= 0) & (place < 11172), syllable).otherwise(F.coalesce(F.element_at(known, c), c))
+
+    plain = F.translate(col, before, after)
+    return F.when(plain.rlike(kind), F.array_join(F.transform(F.split(plain, ""), apart), "")).otherwise(plain)
 
 
 def normalise(col: Column) -> Column:
