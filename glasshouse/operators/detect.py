@@ -130,7 +130,8 @@ def policy(
     The best candidate decides: content with min_words words or more (0.95), else a PDF that looks like a policy, else light content behind a policy-like link (0.65)."""
     like = policy_like(F.col("url"), F.col("matched_pattern"), path_pattern)
     pdf = F.lower(F.regexp_extract("url", r"^([^?#]*)", 1)).endswith(".pdf")
-    found = lookup(selection.where(~pdf), pages).where(F.octet_length("body") >= min_bytes)
+    bodies = pages.select("site", "page_key", "seq", "body").where(F.octet_length("body") >= min_bytes)
+    found = lookup(selection.where(~pdf), pages).join(bodies, ["site", "page_key", "seq"])
     words = found.select("site", "url", "pos", "matched_pattern", count_words(F.lower("body"), keywords).alias("words"))
     level = F.when(F.col("words") >= min_words, 3).when((F.col("words") >= 1) & like, 1)
     ranked = words.select("site", "url", "pos", level.alias("level")).unionByName(selection.where(pdf & like).select("site", "url", "pos", F.lit(2).alias("level"))).where("level IS NOT NULL")

@@ -48,7 +48,10 @@ def _sentences(x: str) -> str:
     return f"replace({x}, chr(1), '.')"
 
 
-_NORMALISED = f"length(lower(trim(regexp_replace(translate(text, '{T._ACCENTED}', '{T._PLAIN}'), '[\\s\\x{{00a0}}]+', ' ', 'g'))))"
+# Letters with marks of the test tables' languages, as SQL replaces them.
+_ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
+_PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
+_NORMALISED = f"length(lower(trim(regexp_replace(translate(text, '{_ACCENTED}', '{_PLAIN}'), '[\\s\\x{{00a0}}]+', ' ', 'g'))))"
 
 _SEGMENTS = f"""
     blocks AS (SELECT page_id, url, list_filter(list_transform(string_split({_BLOCKS}, chr(10)), lambda x: {_clean('x')}), lambda x: x <> '') AS b FROM pages),
@@ -77,7 +80,7 @@ def t2(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("digest"))
 
 
-@query("t3_normalise", f"SELECT doc_id, md5(lower(trim(regexp_replace(translate(text, '{T._ACCENTED}', '{T._PLAIN}'), '[\\s\\x{{00a0}}]+', ' ', 'g')))) AS digest FROM documents")
+@query("t3_normalise", f"SELECT doc_id, md5(lower(trim(regexp_replace(translate(text, '{_ACCENTED}', '{_PLAIN}'), '[\\s\\x{{00a0}}]+', ' ', 'g')))) AS digest FROM documents")
 def t3(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalise(F.col("text"))).alias("digest"))
 
@@ -303,7 +306,7 @@ def t23(spark, sf):
 
 @query(
     "t24_divergent_marks",
-    f"""WITH {_LINES}, m AS (SELECT trim(regexp_replace(regexp_replace(lower(translate(text, '{T._ACCENTED}', '{T._PLAIN}')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS t, doc_id % 4 = 0 AS label FROM lines)
+    f"""WITH {_LINES}, m AS (SELECT trim(regexp_replace(regexp_replace(lower(translate(text, '{_ACCENTED}', '{_PLAIN}')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS t, doc_id % 4 = 0 AS label FROM lines)
     SELECT t, count(DISTINCT label) AS labels, count(*) AS n FROM m WHERE length(t) >= 25 GROUP BY t HAVING count(DISTINCT label) > 1""",
 )
 def t24(spark, sf):
@@ -442,7 +445,7 @@ def a15(spark, sf):
     return E.repetition(_lines(spark, sf), "doc_id", "text").groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_rows").alias("n_rows"))
 
 
-@query("v13_requirement_rules", "SELECT doc_id, regexp_matches(t, '(?:\\bof\\b|\\bfor\\b)[^.;]{0,70}(?:tion\\w*|ing)') AND NOT regexp_matches(t, 'the of the') AS met FROM (SELECT doc_id, lower(trim(regexp_replace(translate(text, '" + T._ACCENTED + "', '" + T._PLAIN + "'), '[\\s\\x{00a0}]+', ' ', 'g'))) AS t FROM documents)")
+@query("v13_requirement_rules", "SELECT doc_id, regexp_matches(t, '(?:\\bof\\b|\\bfor\\b)[^.;]{0,70}(?:tion\\w*|ing)') AND NOT regexp_matches(t, 'the of the') AS met FROM (SELECT doc_id, lower(trim(regexp_replace(translate(text, '" + _ACCENTED + "', '" + _PLAIN + "'), '[\\s\\x{00a0}]+', ' ', 'g'))) AS t FROM documents)")
 def v13(spark, sf):
     from glasshouse.operators.detect import requirement
 
