@@ -8,11 +8,11 @@ A document is one chain.  It is computed in pieces of PIECE words side by side:
 carries the state over its boundaries in both directions, so the result is that of the uncut chain.
 
 The model is fitted on a bounded sample of labelled rows: at most `per_label` documents of each of MOST_LABELS
-labels (more are an error), in the order of a hash of the identifier.  Whole texts are used, in runs of PIECE words; runs from documents of
+labels (more are an error), in the order of a hash of the identifier; repeated rows of an identifier are rows like others.  Whole texts are used, in runs of PIECE words; runs from documents of
 different languages are spliced so that switching is learned.
 
 Nulls: a null or empty text, or one without a letter, is `und` with score 0; rows with a null label are
-never learned from.  Long texts are read whole.  With no label to learn at all every document is `und`.  Repeated rows get equal values.
+never learned from.  Of labels that score alike the first in order wins.  Long texts are read whole.  With no label to learn at all every document is `und`.  Repeated rows get equal values.
 Empty table: empty result.  Other columns are ignored.
 """
 
@@ -29,7 +29,9 @@ from glasshouse.llm.common import ASCII_LOWER, buffers, mix, steps, strings, wor
 
 PIECE = 32
 BITS = 17
-PER_LABEL, MOST_LABELS = 250, 200  # bounds of what is fitted on: documents of a label, and labels
+PER_LABEL, MOST_LABELS = 250, 64  # bounds of what is fitted on: documents of a label, and labels
+CELLS = 4 << 20  # numbers in the transfer matrices that exist at once
+STEP = 1 << 18  # bytes of text labelled at once; a longer text is one step
 UNKNOWN = "und"
 _KINDS = 9  # word, 3 prefixes, 3 suffixes, bigrams, trigrams
 
@@ -114,42 +116,64 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
     return marginal, pairs, float(np.log(norm)[real].sum() + top[:, :, 0][real].sum())
 
 
-def boundaries(scores: np.ndarray, begin: np.ndarray, lengths: np.ndarray, text: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What comes over both boundaries of each piece (begin, lengths, text that it is of) of chains that are whole texts."""
+def products(scores: np.ndarray, begin: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The product of each piece's transfer matrices, scaled."""
+    k = scores.shape[1]
+    part = padded(scores, begin, lengths, PIECE)
+    local = np.exp(part - part.max(axis=2, keepdims=True))
+    now = np.eye(k, dtype=np.float32)[None] * local[:, 0, None, :]
+    for i in range(1, PIECE):
+        then = (now.reshape(-1, k) @ trans).reshape(now.shape) * local[:, i, None, :]
+        done = i >= lengths
+        if done.any():
+            then[done] = now[done]
+        now = then
+        if i % 4 == 3:
+            now /= now.max(axis=(1, 2), keepdims=True)
+    return now
+
+
+def boundaries(scores: np.ndarray, begin: np.ndarray, lengths: np.ndarray, text: np.ndarray, moves: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """What comes over both boundaries of each piece (begin, lengths, text that it is of) of chains that are whole texts.
+
+    Products (labels x labels a piece) exist for one chunk of pieces at a time, at most `cells` numbers of them; what goes over a chunk's ends is one
+    vector.  If there are several chunks their products are computed again on the way back."""
     n, k = len(begin), scores.shape[1]
     enter, leave = np.full((n, k), 1 / k), np.ones((n, k))
-    count = np.bincount(text, minlength=int(text[-1]) + 1 if n else 0)
-    if not n or count.max() < 2:
+    if not n or not (text[1:] == text[:-1]).any():
         return enter, leave
     trans = np.exp(moves.astype(np.float64))
-    product = np.empty((n, k, k), dtype=np.float32)
-    for a in range(0, n, 1 << 12):
-        size = lengths[a : a + (1 << 12)]
-        part = padded(scores, begin[a : a + (1 << 12)], size, PIECE)
-        local = np.exp(part - part.max(axis=2, keepdims=True))
-        now = np.eye(k, dtype=np.float32)[None] * local[:, 0, None, :]
-        for i in range(1, PIECE):
-            then = (now.reshape(-1, k) @ trans.astype(np.float32)).reshape(now.shape) * local[:, i, None, :]
-            done = i >= size
-            if done.any():
-                then[done] = now[done]
-            now = then
-            if i % 4 == 3:
-                now /= now.max(axis=(1, 2), keepdims=True)
-        product[a : a + (1 << 12)] = now
-    first = np.cumsum(count) - count
-    # texts by falling number of pieces, so that those with a next piece are a prefix
-    order = np.argsort(-count, kind="stable")
-    start, size = first[order], count[order]
-    for r in range(1, int(size[0])):
-        at = start[: int(np.searchsorted(-size, -r))] + r
-        v = np.einsum("nk,nkj->nj", enter[at - 1], product[at - 1]) @ trans
-        enter[at] = v / v.sum(axis=1, keepdims=True)
-    last = start + size - 1
-    for r in range(1, int(size[0])):
-        at = last[: int(np.searchsorted(-size, -r))] - r
-        v = np.einsum("nkj,nj->nk", product[at + 1], leave[at + 1]) @ trans.T
-        leave[at] = v / v.sum(axis=1, keepdims=True)
+    unit = lambda v: v / v.sum(axis=-1, keepdims=True)
+    size = max(16, cells // (k * k))
+    chunks = [(a, min(a + size, n)) for a in range(0, n, size)]
+
+    def runs(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """First piece and number of pieces of each text's run in the chunk, longest first: those with a next piece are a prefix."""
+        first = np.flatnonzero(np.r_[True, text[a + 1 : b] != text[a : b - 1]]) + a
+        count = np.diff(np.r_[first, b])
+        order = np.argsort(-count, kind="stable")
+        return first[order], count[order]
+
+    product = None
+    for a, b in chunks:
+        if a and text[a] == text[a - 1]:
+            enter[a] = unit(enter[a - 1] @ product[-1] @ trans)
+        product = products(scores, begin[a:b], lengths[a:b], trans.astype(np.float32))
+        start, count = runs(a, b)
+        for r in range(1, int(count[0])):
+            at = start[: int(np.searchsorted(-count, -r))] + r
+            enter[at] = unit(np.einsum("nk,nkj->nj", enter[at - 1], product[at - 1 - a]) @ trans)
+    for c in range(len(chunks) - 1, -1, -1):
+        a, b = chunks[c]
+        if c < len(chunks) - 1:
+            if text[b] == text[b - 1]:
+                leave[b - 1] = unit((product[0] @ leave[b]) @ trans.T)
+            product = products(scores, begin[a:b], lengths[a:b], trans.astype(np.float32))
+        start, count = runs(a, b)
+        last = start + count - 1
+        for r in range(1, int(count[0])):
+            at = last[: int(np.searchsorted(-count, -r))] - r
+            leave[at] = unit(np.einsum("nkj,nj->nk", product[at + 1 - a], leave[at + 1]) @ trans.T)
     return enter, leave
 
 
@@ -261,14 +285,16 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(spark: SparkSession, docs: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fits on at most `per_label` documents of each label that are not held out."""
+    """Fits on at most `per_label` rows of each label that are not held out; rows equal in identifier, label and text count once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     if rows.select("lang").distinct().count() > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} languages")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # identifiers first, without the texts: each task keeps at most per_label of a label before anything is shuffled
-    chosen = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_label).select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").isNotNull()).orderBy("lang", "doc_id", F.xxhash64("text")).collect()  # per_label rows a label
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark"))
+    # rows without their texts first: each task keeps at most per_label of a label before they meet
+    marked = rows.where(F.col("text").isNotNull()).withColumn("mark", F.xxhash64("text"))
+    chosen = marked.select("doc_id", "lang", "mark").distinct().withColumn("place", place).where(F.col("place") <= per_label).select("doc_id", "lang", "mark")
+    texts = marked.join(F.broadcast(chosen), ["doc_id", "lang", "mark"]).groupBy("doc_id", "lang", "mark").agg(F.first("text").alias("text"))
+    sample = texts.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "mark").collect()  # per_label rows a label
     return fit([r.text for r in sample], [r.lang for r in sample])
 
 
@@ -277,7 +303,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # 2**BITS weights a label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text", 1 << 20):
+        for b in steps(batches, "text", STEP):
             labels, scores = shared.value.predict(strings(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -290,7 +316,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, model: Model, least: f
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text", 1 << 20):
+        for b in steps(batches, "text", STEP):
             labels, scores = shared.value.predict(strings(b.column("text")))
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(labels, scores, strict=True)], pa.bool_()))
 
