@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -103,8 +105,15 @@ def buffers(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives memory that has been freed back to the system: a worker lives through many stages, and the C library and Arrow keep what each of them needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `limit` bytes of text, so that memory does not follow the batch size."""
+    """Slices of the batches with about `limit` bytes of text, so that memory does not follow the batch size; frees memory at the end of a task."""
     for batch in batches:
         _, offsets = buffers(strings(batch.column(column)))
         at = 0
@@ -112,6 +121,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
