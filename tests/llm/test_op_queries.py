@@ -21,7 +21,8 @@ def test_query(spark, name):
     assert {r[key] for r in df.select(key).collect()} == ids
     if name in ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        for t in ("documents", "conversations"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         res = con.execute(ORACLES[name])
         names = [d[0] for d in res.description]
         assert got == sorted(tuple(r[names.index(c)] for c in cols) for r in res.fetchall())
