@@ -47,3 +47,11 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glasshouse-")
     return f"{base.rstrip('/')}/glasshouse-{name}-{uuid.uuid4().hex}"
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that was written to a scratch() path and that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f[: f.index("/", f.index("/glasshouse-") + 1)] for f in df.inputFiles() if "/glasshouse-" in f}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
