@@ -39,11 +39,19 @@ REMEMBERED = 300_000
 
 @lru_cache(maxsize=1)
 def _unassigned() -> re.Pattern:
-    """The characters that Python's Unicode tables do not assign; other tables may know some of them as letters, or their lower case."""
-    none = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    first = [c for i, c in enumerate(none) if not i or none[i - 1] != c - 1]
-    last = [c for i, c in enumerate(none) if i + 1 == len(none) or none[i + 1] != c + 1]
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(first, last, strict=True)) + "]")
+    """The characters up to U+FFFF that Python's Unicode tables do not assign (a set of these is one bitmap; wider ones are searched range by range)."""
+    none = [c for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn"]
+    return re.compile("[" + "".join(re.escape(chr(c)) for c in none) + "]")
+
+
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
+
+
+def unknown(text: str) -> bool:
+    """Has the text a character that Python's tables do not assign?  Other tables may know some of them as letters, or their lower case."""
+    if text.isascii():
+        return False
+    return bool(_unassigned().search(text)) or any(unicodedata.category(c) == "Cn" for c in _WIDE.findall(text))
 
 
 class WordTokenizer:
@@ -63,7 +71,7 @@ class WordTokenizer:
         self.blank = regex.compile(f"[{_BLANK}]+")
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.unknown, self.path, self.library = _unassigned(), path, None
+        self.path, self.library = path, None
         self.inside: set[tuple[str, str]] = set()  # neighbours inside a token
         self.closing: set[tuple[str, str]] = set()  # neighbours at the end of a token that ends a word
         for token in self.vocab:
@@ -169,7 +177,7 @@ class WordTokenizer:
         marks = list(self.marks.finditer(text)) if self.marks and any(s in text for s in self.special) else []
         for mark in [*marks, None]:
             plain = text[at : mark.start() if mark else len(text)]
-            if not plain.isascii() and self.unknown.search(plain):
+            if unknown(plain):
                 out += self.foreign(plain)
             else:
                 plain = self.normalise(plain)
