@@ -11,6 +11,7 @@ from glasshouse.functions import text as T
 from glasshouse.operators import citations as K
 from glasshouse.operators import evaluate as E
 from glasshouse.operators import score as S
+from glasshouse.operators.terms import Texts
 from glasshouse.plans.registry import Catalog, spread, table
 
 CATALOG = Catalog()
@@ -220,7 +221,7 @@ def _docs(spark, sf) -> DataFrame:
 
 @query("t15_ngrams", f"WITH docs AS (SELECT doc_id, text FROM documents), {_GRAMS} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM grams GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
 def t15(spark, sf):
-    return S.term_frequencies(_docs(spark, sf), "doc_id").where("df >= 5")
+    return S.term_frequencies(_docs(spark, sf), "doc_id", least=5)
 
 
 @query("t16_locate_excerpt", "SELECT d.doc_id, b.item_id, CASE WHEN instr(d.text, b.text) > 0 THEN instr(d.text, b.text) - 1 WHEN instr(d.text, substring(b.text, 1, 120)) > 0 THEN instr(d.text, substring(b.text, 1, 120)) - 1 WHEN instr(d.text, substring(b.text, 1, 80)) > 0 THEN instr(d.text, substring(b.text, 1, 80)) - 1 WHEN instr(d.text, substring(b.text, 1, 50)) > 0 THEN instr(d.text, substring(b.text, 1, 50)) - 1 END AS place FROM documents d JOIN benchmark b ON instr(d.text, substring(b.text, 1, 50)) > 0")
@@ -380,8 +381,8 @@ def m7(spark, sf):
 
 @query("m1_tfidf_norms", f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w FROM tf JOIN vocab USING (term)) SELECT doc_id, count(*) AS n_terms, round(sqrt(sum(w * w)), 4) AS norm FROM w GROUP BY doc_id")
 def m1(spark, sf):
-    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
-    return S.norms(docs, ["doc_id"], S.fit_idf(docs, "doc_id")).select("doc_id", "n_terms", F.round("norm", 4).alias("norm"))
+    docs = Texts(_docs(spark, sf), ["doc_id"])
+    return S.own_norms(docs).select("doc_id", "n_terms", F.round("norm", 4).alias("norm"))
 
 
 _COEF = "(CAST(length(term) % 7 AS DOUBLE) - 3) / 10"
@@ -392,23 +393,23 @@ _COEF = "(CAST(length(term) % 7 AS DOUBLE) - 3) / 10"
     f"{_VOCAB}, w AS (SELECT doc_id, (1 + ln(n)) * idf AS w, {_COEF} AS c FROM tf JOIN vocab USING (term)), s AS (SELECT doc_id, sum(w * c) / sqrt(sum(w * w)) AS dot FROM w GROUP BY doc_id) SELECT doc_id, round(1 / (1 + exp(-(coalesce(dot, 0) - 0.25))), 6) AS probability FROM docs LEFT JOIN s USING (doc_id)",
 )
 def m2(spark, sf):
-    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
+    docs = Texts(_docs(spark, sf), ["doc_id"])
     vocabulary = S.fit_idf(docs, "doc_id").withColumn("coef", ((F.char_length("term") % 7).cast("double") - 3) / 10)
     return S.probabilities(docs, ["doc_id"], vocabulary, -0.25).select("doc_id", F.round("probability", 6).alias("probability"))
 
 
 @query("m3_vocab_coverage", f"{_VOCAB} SELECT doc_id, round(sum(CASE WHEN v.term IS NULL THEN 0 ELSE n END) / sum(n), 6) AS coverage FROM tf LEFT JOIN vocab v USING (term) GROUP BY doc_id")
 def m3(spark, sf):
-    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
-    return S.coverage(docs, ["doc_id"], S.fit_idf(docs, "doc_id")).select("doc_id", F.round("coverage", 6).alias("coverage"))
+    docs = Texts(_docs(spark, sf), ["doc_id"])
+    return S.own_coverage(docs).select("doc_id", F.round("coverage", 6).alias("coverage"))
 
 
 @query("m18_coverage_quantiles", f"{_VOCAB}, c AS (SELECT doc_id, sum(CASE WHEN v.term IS NULL THEN 0 ELSE n END) / sum(n) AS coverage FROM tf LEFT JOIN vocab v USING (term) GROUP BY doc_id) SELECT round(quantile_cont(coverage, 0.05), 6) AS p05, round(quantile_cont(coverage, 0.25), 6) AS p25, round(quantile_cont(coverage, 0.5), 6) AS median, round(quantile_cont(coverage, 0.75), 6) AS p75, round(avg(coverage), 6) AS mean FROM c")
 def m18(spark, sf):
     from glasshouse.operators.train import coverage_quantiles
 
-    docs = S.counted_docs(_docs(spark, sf), ["doc_id"])
-    q = coverage_quantiles(S.coverage(docs, ["doc_id"], S.fit_idf(docs, "doc_id")))
+    docs = Texts(_docs(spark, sf), ["doc_id"])
+    q = coverage_quantiles(S.own_coverage(docs))
     return q.select(*[F.round(c, 6).alias(c) for c in q.columns])
 
 
