@@ -51,8 +51,9 @@ def clean(col: Column) -> Column:
 def without_accents(col: Column) -> Column:
     """Compatibility decomposition without combining marks, of every character that Python's Unicode tables assign.
 
-    Most characters become one other, which one translation does; texts with characters that become several are taken apart, and those are looked up
-    (Hangul syllables by their arithmetic)."""
+    Texts of ASCII stay as they are.  Most characters become one other, which one translation does; texts with characters that become several are taken apart, and those
+    are looked up (Hangul syllables by their arithmetic).  Whether a text has any of them is asked of a table of characters, as a pattern tries its ranges one by one for each
+    character."""
     before, after, several = _decompositions()
     kind = _ranges([*map(ord, several), 0xAC00, *range(0xAC00, 0xAC00 + 11172, 16), 0xAC00 + 11171])
     known = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in several.items())), F.lit("\u0001"), F.lit("\u0002"))
@@ -65,8 +66,15 @@ def without_accents(col: Column) -> Column:
         syllable = F.concat(pick(jamo(0x1100, 19), lead), pick(jamo(0x1161, 21), vowel), F.when(tail > 0, pick(jamo(0x11A8, 27), tail - 1)).otherwise(""))
         return F.when(~c.rlike(kind), c).when((place >= 0) & (place < 11172), syllable).otherwise(F.coalesce(F.element_at(known, c), c))
 
-    plain = F.translate(col, before, after)
-    return F.when(plain.rlike(kind), F.array_join(F.transform(F.split(plain, ""), apart), "")).otherwise(plain)
+    ascii_only = lambda c: F.octet_length(c) == F.char_length(c)
+    composed = "".join(several) + "".join(map(chr, range(0xAC00, 0xAC00 + 11172)))
+
+    def decomposed(plain: Column) -> Column:
+        has = ~ascii_only(plain) & (F.char_length(F.translate(plain, composed, "")) < F.char_length(plain))
+        return F.when(has, F.array_join(F.transform(F.split(plain, ""), apart), "")).otherwise(plain)
+
+    # bound to a lambda's variable, a text is translated once
+    return F.transform(F.array(col), lambda c: F.when(ascii_only(c), c).otherwise(F.transform(F.array(F.translate(c, before, after)), decomposed)[0]))[0]
 
 
 def normalise(col: Column) -> Column:
@@ -146,9 +154,9 @@ def useful(segs: DataFrame, key: str, least: int = L.MIN_SEGMENT) -> DataFrame:
 def offsets(segs: DataFrame, key: str) -> DataFrame:
     """Character intervals of the segments in the normalised document, which joins the non-empty ones by one character."""
     before = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.char_length(normalise(F.col("text")))
-    rows = segs.where(size > 0).withColumn("begin", F.coalesce(F.sum(size + 1).over(before), F.lit(0)))
-    return rows.withColumn("end", F.col("begin") + size)
+    size = F.filter(F.array(F.char_length(normalise(F.col("text")))), lambda n: n > 0)  # exploded, it is found once and not again for the condition and the sum
+    rows = segs.select("*", F.explode(size).alias("_size")).withColumn("begin", F.coalesce(F.sum(F.col("_size") + 1).over(before), F.lit(0)))
+    return rows.withColumn("end", F.col("begin") + F.col("_size")).drop("_size")
 
 
 def language_hits(text: Column, pattern: str) -> Column:

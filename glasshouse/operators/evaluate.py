@@ -169,15 +169,19 @@ def multiset_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def divergent_marks(rows: DataFrame, text: Column, label: str, least: int = 25) -> DataFrame:
     """Texts that were marked in more than one way."""
-    return rows.select(text.alias("t"), label).where(F.char_length("t") >= least).groupBy("t").agg(F.count_distinct(label).alias("labels"), F.count(F.lit(1)).alias("n")).where("labels > 1")
+    long = F.filter(F.array(text), lambda t: F.char_length(t) >= least)  # exploded, the text is found once and not again for the condition
+    return rows.select(F.explode(long).alias("t"), label).groupBy("t").agg(F.count_distinct(label).alias("labels"), F.count(F.lit(1)).alias("n")).where("labels > 1")
 
 
 def overlap_labels(segments: DataFrame, evidence: DataFrame, key: str, share: float = 0.5) -> DataFrame:
-    """Segments (key, idx, begin, end) that an evidence interval (key, e_begin, e_end) covers by `share` of the shorter one; an equi join on the key carries the range."""
-    common = F.least("end", "e_end") - F.greatest("begin", "e_begin")
-    shorter = F.least(F.col("end") - F.col("begin"), F.col("e_end") - F.col("e_begin"))
-    hit = segments.join(evidence, key).where((common > 0) & (common >= share * shorter)).select(key, "idx").distinct().withColumn("label", F.lit(1))
-    return segments.join(hit, [key, "idx"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    """Segments (key, idx, begin, end) that an evidence interval (key, e_begin, e_end) covers by `share` of the shorter one; the intervals of a key come to its segments in one join, and segments are read once."""
+
+    def covers(e):
+        common = F.least(F.col("end"), e["e_end"]) - F.greatest(F.col("begin"), e["e_begin"])
+        return (common > 0) & (common >= share * F.least(F.col("end") - F.col("begin"), e["e_end"] - e["e_begin"]))
+
+    given = evidence.where("e_begin IS NOT NULL AND e_end IS NOT NULL").groupBy(key).agg(F.collect_set(F.struct("e_begin", "e_end")).alias("_evidence"))
+    return segments.join(given, key, "left").withColumn("label", F.coalesce(F.exists("_evidence", covers).cast("int"), F.lit(0))).drop("_evidence")
 
 
 def consolidate(rows: DataFrame, key: list[str], label: str = "label", order: str = "idx") -> DataFrame:

@@ -141,3 +141,29 @@ def test_excerpts_of_any_size(spark):
     assert sorted((r.d, r.i) for r in found.collect()) == want
     none = containing(spark.createDataFrame(docs, "d long, text string"), "d", "text", spark.createDataFrame([(1, "")], "i long, part string"), "i", "part")
     assert none.columns == ["d", "text", "i", "part"] and none.collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_segments_meet_their_evidence_in_one_join(spark):
+    from glasshouse.operators.evaluate import overlap_labels
+
+    segs = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 11, 20), (2, 0, 0, 10), (None, 0, 0, 10)], "doc int, idx int, begin int, end int")
+    ev = spark.createDataFrame([(1, 5, 10), (1, 9, 12), (2, 10, 30), (2, None, 5), (3, 0, 9), (None, 0, 10)], "doc int, e_begin int, e_end int")
+    got = overlap_labels(segs, ev, "doc")
+    assert sorted((r.doc or 0, r.idx, r.label) for r in got.collect()) == [(0, 0, 0), (1, 0, 1), (1, 1, 0), (2, 0, 0)]
+    assert plan_of(got).count("Join ") <= 1
+
+
+def test_texts_are_normalised_once(spark):
+    from glasshouse.functions.text import offsets
+    from glasshouse.operators.evaluate import divergent_marks
+
+    rows = spark.createDataFrame([(1, 0, "Árvore ½ grande", True), (1, 1, "  ", True), (1, 2, "한 ação", False), (2, 0, "Árvore ½ grande", False)], "doc int, idx int, text string, label boolean")
+    marks, placed = divergent_marks(rows, T.normalise_ascii(F.col("text")), "label", 5), offsets(rows, "doc")
+    assert [(r.t, r.labels, r.n) for r in marks.collect()] == [("arvore 1 2 grande", 2, 2)]
+    assert sorted((r.doc, r.idx, r.begin, r.end) for r in placed.collect()) == [(1, 0, 0, 17), (1, 2, 18, 26), (2, 0, 0, 17)]
+    for df in (marks, placed):
+        assert plan_of(df).count("translate(") <= 2  # the translation and the question whether it left anything
