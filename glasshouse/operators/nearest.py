@@ -16,11 +16,10 @@ CHUNK = 1 << 16
 
 def starts(text: Column, pattern: str) -> Column:
     """Where the matches of a pattern start, from 0: what lies between matches and the matches themselves, measured and added up.  The pattern must not match nothing."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    lengths = F.transform(found, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m))
+    # zipped, the text is split once and not again for every match; behind the last match there is a gap only
+    pieces = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0), lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("own"))), lambda x: x["own"].isNotNull())
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
-    ends = F.aggregate(lengths, zero, lambda s, n: F.struct((s["end"] + n).alias("end"), F.array_append(s["at"], s["end"] + n).alias("at")))["at"]
-    return F.zip_with(ends, found, lambda end, m: end - F.char_length(m))
+    return F.aggregate(pieces, zero, lambda s, x: F.struct((s["end"] + x["gap"] + x["own"]).alias("end"), F.array_append(s["at"], s["end"] + x["gap"]).alias("at")))["at"]
 
 
 def nearest(points: DataFrame, anchors: DataFrame, key: str = "site", at: str = "at") -> DataFrame:

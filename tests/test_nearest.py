@@ -34,3 +34,12 @@ def test_starts(spark):
     texts = ["", "abab", "xaby", "éabéab", "no", None, "ab" * 300]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", nearest.starts(F.col("t"), "ab").alias("s"))
     assert {r.i: r.s for r in df.collect()} == {i: None if t is None else [m.start() for m in re.finditer("ab", t)] for i, t in enumerate(texts)}
+
+
+def test_texts_are_split_once(spark):
+    """Not again for every match: the split stands outside of what runs for each."""
+    from glasshouse.operators.nearest import starts
+
+    df = spark.createDataFrame([("a-bb--c",), ("",), ("--",), (None,)], "t string").select(starts(F.col("t"), "-").alias("at"))
+    assert [r["at"] for r in df.collect()] == [[1, 4, 5], [], [0, 1], None]
+    assert not re.search(r"lambdafunction\(.*split\(", df._jdf.queryExecution().optimizedPlan().toString())
