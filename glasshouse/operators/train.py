@@ -11,6 +11,7 @@ from glasshouse.operators.linear import fit
 from glasshouse.operators.quantiles import exact_quantiles
 from glasshouse.operators.score import sigmoid
 from glasshouse.operators.selection import group_folds
+from glasshouse.plans.registry import scratch
 
 
 def patterns(rows: DataFrame, features: list[str], y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +95,10 @@ def out_of_fold(docs: DataFrame, document: str, key: str, y: str, folds: int = 5
 
 
 def coverage_quantiles(covered: DataFrame) -> DataFrame:
+    """The coverage of each document is written once, as every round of the quantiles and the mean read it."""
+    spark, path = covered.sparkSession, scratch(covered.sparkSession, "coverage")
+    covered.select("coverage").write.parquet(path)
+    covered = spark.read.parquet(path)
     q = exact_quantiles(covered, [], "coverage", [0.05, 0.25, 0.5, 0.75])
     wide = q.agg(*[F.max(F.when(F.col("q") == i, F.col("quantile"))).alias(n) for i, n in enumerate(("p05", "p25", "median", "p75"))])
     return wide.crossJoin(covered.agg(F.avg("coverage").alias("mean")))  # one row each

@@ -42,3 +42,20 @@ def test_no_groups_and_empty(spark):
     assert exact_quantiles(df.limit(0), [], "p", [0.5]).collect() == []
     with pytest.raises(ValueError):
         exact_quantiles(df, [], "p", [1.5])
+
+
+def test_coverage_is_found_once(spark):
+    """However many rounds the quantiles take."""
+    from glasshouse.operators.train import coverage_quantiles
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 12_000, 1, 2).selectExpr("id / 11999 AS coverage").mapInArrow(counted, "coverage double")
+    r = coverage_quantiles(rows).first()
+    assert [round(r[c], 9) for c in ("p05", "p25", "median", "p75", "mean")] == [0.05, 0.25, 0.5, 0.75, 0.5]
+    assert seen.value == 12_000
