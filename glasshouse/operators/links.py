@@ -7,14 +7,16 @@ from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glasshouse.functions import lexicon as L
-from glasshouse.functions.html import anchors_of
+from glasshouse.functions.html import anchors_of, steps
 from glasshouse.functions.urls import page_key, path
 
+_FIELDS = ["text", "label", "title", "href", "url"]
+
 
 def check_config(categories: dict[str, list[str]], blockers: list[str]) -> None:
     for pattern in [*(p for ps in categories.values() for p in ps), *blockers]:
@@ -26,15 +28,18 @@ def check_config(categories: dict[str, list[str]], blockers: list[str]) -> None:
 
 def anchors(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with `anchors`: the page's links in order, with their text, label, title, reference and absolute URL (null if there is none)."""
-    fields = ["text", "label", "title", "href", "url"]
-    schema = ", ".join(f"{f}: string" for f in fields)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [[{**{f: getattr(a, f) for f in fields[:-1]}, "url": _joined(u or "", a.href)} for a in anchors_of(h or "")] for u, h in zip(part["url"], part["html"], strict=True)]
-            yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "anchors": found})
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, anchors array<struct<{schema}>>")
+    schema = ", ".join(f"{f}: string" for f in _FIELDS)
+    return pages.select("page_id", "url", "html").mapInArrow(anchor_rows, f"page_id long, url string, anchors array<struct<{schema}>>")
+
+
+def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of page_id, url and html to page_id, url and anchors, in pieces, so that memory does not follow the batch's size."""
+    kind = pa.list_(pa.struct([(f, pa.string()) for f in _FIELDS]))
+    for batch in batches:
+        for at, n in steps(batch.column("html")):
+            part = batch.slice(at, n)
+            found = [[{**{f: getattr(a, f) for f in _FIELDS[:-1]}, "url": _joined(u or "", a.href)} for a in anchors_of(h or "")] for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(found, kind)], names=["page_id", "url", "anchors"])
 
 
 def _joined(base: str, href: str | None) -> str | None:
