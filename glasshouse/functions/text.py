@@ -115,9 +115,10 @@ def sentences(block: Column) -> Column:
     words = "|".join(sorted(L.ABBREVIATIONS, key=len, reverse=True))
     marked = replace_all(
         block,
-        (rf"(?iuU)\b({words})\.", rf"$1{_MARK}"),
-        (rf"(?U)\b([{L.UPPER}])\.", rf"$1{_MARK}"),
-        (r"(\d)\.(?=\d)", rf"$1{_MARK}"),
+        # the full stop is looked for first, as a pattern that begins with a boundary is tried at every character
+        (rf"(?iuU)\.(?<=\b(?:{words})\.)", _MARK),
+        (rf"(?U)\.(?<=\b[{L.UPPER}]\.)", _MARK),
+        (r"\.(?<=\d\.)(?=\d)", _MARK),
         (rf"(?<=[.!?;:])\s+(?=[{L.UPPER}])", "\n"),
         (rf"\s+(?=\d+(?:{_MARK}\d+)*[).]\s+[{L.UPPER}])", "\n"),
         (rf"\s+(?={L.BRACKET_MARK}\s)", "\n"),
@@ -135,7 +136,8 @@ def segments_of_sites(pages: DataFrame, key: str, html: str, keep: Column | None
     """key, idx, text: the sentences of the pages in the own language; and the keys of the pages that were left out.
 
     `keep` decides on the joined blocks of a page (column `body`); all pages stay if it is a true literal."""
-    blocks = pages.select(key, html_blocks(F.coalesce(F.col(html), F.lit(""))).alias("blocks")).withColumn("body", F.array_join("blocks", " "))
+    found = F.array(html_blocks(F.coalesce(F.col(html), F.lit(""))))  # exploded, the blocks are found once and not again for every part of the condition
+    blocks = pages.select(key, F.explode(found).alias("blocks")).withColumn("body", F.array_join("blocks", " "))
     own = is_own_language(F.col("body")) if keep is None else keep
     return blocks.where(own).select(key, F.posexplode(F.flatten(F.transform("blocks", sentences))).alias("idx", "text")), blocks.where(~own).select(key)
 

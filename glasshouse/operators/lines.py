@@ -22,7 +22,8 @@ def rebuild(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Short lines that recur go first.  A part begins at an item mark and after a line that ends a sentence, unless that line is a mark
     and nothing else; its lines are joined by a space, or without the hyphen that a line ends in."""
-    lines = recurrent_lines(line_rows(docs, key, text), key).where("keep")
+    whole = docs.select(key, text).repartition(key)  # texts are shuffled once, and their lines not again
+    lines = recurrent_lines(line_rows(whole, key, text), key).where("keep")
     order = Window.partitionBy(key).orderBy("idx")
     marked = F.col("text").rlike(L.ITEM_MARK)
     ends = F.col("text").rlike(r"[.!?;]\s*$") & ~F.col("text").rlike(f"^(?:{_WHOLE_MARK})$")

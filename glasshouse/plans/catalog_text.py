@@ -175,7 +175,8 @@ def t10(spark, sf):
 
     pages, docs = _pages(spark, sf), table(spark, sf, "documents").select("doc_id", "text", "source")
     own = T.is_own_language(F.col("body"), foreign=_FOREIGN, own=_OWN)
-    of_pages = T.segments_of_sites(pages, "page_id", "html", own)[0].join(pages.select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("site")), "page_id").withColumn("kind", F.lit("page"))
+    of_site = pages.where("page_id IS NOT NULL").withColumn("site", F.regexp_extract("url", "//([^/]+)", 1))
+    of_pages = T.segments_of_sites(of_site, "site", "html", own)[0].withColumn("kind", F.lit("page"))
     of_docs = T.segments_of_parts(rebuild(docs, "doc_id"), "doc_id").join(docs.select("doc_id", F.col("source").alias("site")), "doc_id").withColumn("kind", F.lit("pdf"))
     units = of_pages.select("site", "kind", "text").unionByName(of_docs.select("site", "kind", "text"))
     return units.groupBy("site", "kind", F.md5("text").alias("text")).agg(F.count(F.lit(1)).alias("n"))
